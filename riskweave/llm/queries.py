@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.llm import pii, toxicity
 from riskweave.llm.line_dedup import dedup_lines
 from riskweave.llm.substring_dedup import dedup_substrings
 
@@ -15,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -25,6 +33,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_units").alias("n_lines"), F.col("n_removed").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE_KINDS))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
@@ -43,7 +60,9 @@ FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": OP4_SQL}
