@@ -2,12 +2,11 @@
 
 Features of a word (a run of letters, digits and non-ASCII bytes, A-Z lowered) are the word and its first 5 and 7
 bytes, hashed into ``2 ** BUCKET_BITS`` buckets.  Training counts, for each bucket, the toxic and the other documents
-that have it; equal texts count once.  A bucket's weight is the lower confidence bound of its log-odds under an
-informative Dirichlet prior (the overall counts, scaled); buckets without a sure lean towards toxicity are drift below
-zero.  Scoring sums weights over a text in one linear scan and finds all maximal scoring segments.  A segment's score S
+that have it; of equal and nearly equal texts one counts.  A bucket's weight is the lower confidence bound of its log-odds under an
+informative Dirichlet prior (the overall counts, scaled); buckets whose bound isn't above ``LEAN`` count ``-DRIFT``.  Scoring sums weights over a text in one linear scan and finds all maximal scoring segments.  A segment's score S
 becomes an E-value K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 over the training words, K follows from
-the mean of the clean training documents' maxima under a Gumbel law.  A document's evidence is the sum of -ln E over
-its significant segments; a logistic curve fitted on the training documents maps it to 0..1.
+the upper tail (quantile ``TAIL``) of the clean training documents' maxima under a Gumbel law.  A document's evidence is the sum of -ln E over
+its segments of E below 1 (those below ``SIGNIFICANT`` are its passages); a logistic curve fitted on the training documents maps it to 0..1.
 
 Training rows are at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of their keys; they, the buckets and the
 model are of fixed size, so that all may be broadcast.  Everything else reads all rows whole, in one pass, unshuffled.
@@ -34,10 +33,12 @@ TRAIN_ROWS = 50_000
 BUCKET_BITS = 20
 BLOCK_BITS = 12
 STEMS = (5, 7)
-PRIOR_SCALE = 0.01
-SURE = 1.96
-DRIFT = 0.5
-LEAST_DOCS = 8
+PRIOR_SCALE = 0.03
+SURE = 2.5
+DRIFT = 1.0
+LEAST_DOCS = 4
+LEAN = 0.7
+TAIL = 0.99
 SIGNIFICANT = 0.01
 
 _OTHER = np.ones(256, bool)
@@ -65,6 +66,19 @@ def _features(column: pa.ChunkedArray):
         yield low, part, offs[low : high + 1] - base, starts, ends, first, [(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) for x in found]
 
 
+def _sketched(batches):
+    """Two minima over the hashes of each text's 4-word windows: equal and nearly equal texts mostly share them."""
+    for batch in batches:
+        least = np.zeros((2, batch.num_rows), np.uint64)
+        for low, _, _, _, _, first, buckets in _features(batch.column("text")):
+            for i, factor in enumerate((0xD6E8FEB86659FD93, 0xA3EC647659359ACD)):
+                value = vec.windows(buckets[0].astype(np.uint64), 4, factor)
+                for r, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                    own = value[a : b - 3] if b - a >= 4 else buckets[0][a:b].astype(np.uint64)
+                    least[i, low + r] = own.min() if len(own) else 0
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in least)], ["text", "toxic", "a", "b"])
+
+
 def _count(batches):
     """Per block of buckets: documents of either label that have the bucket, and how often it comes, over a partition."""
     size = 1 << BUCKET_BITS
@@ -128,10 +142,11 @@ def _evidence(batch: pa.RecordBatch, text: str, weights: np.ndarray, rate: float
             best[low + r] = max(s for _, _, s in found)
             size = math.log(words[low + r]) + log_k
             for i, j, s in found:
-                if (sure := rate * s - size) > -math.log(SIGNIFICANT):
+                sure = rate * s - size
+                total[low + r] += max(0.0, sure)
+                if sure > -math.log(SIGNIFICANT):
                     head, tail = (len(data[offs[r] : p].tobytes().decode("utf-8", "replace")) for p in (starts[at[i]], ends[at[j]]))
                     passages[low + r].append({"start": head, "end": tail, "evidence": sure})
-                    total[low + r] += sure
     return best, words, total, passages
 
 
@@ -170,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     chosen = chosen.orderBy(F.xxhash64("key", F.lit(1)), "toxic").limit(rows).groupBy("key").agg(F.max("toxic").alias("toxic"))
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     # Of fixed size, see the module's docstring; in the shared folder it is as large as ``rows`` whole texts.
-    sample = store.written(own.join(F.broadcast(chosen), "key").dropDuplicates(["text"]).select("text", "toxic"), "toxic")
+    sample = own.join(F.broadcast(chosen), "key").select("text", "toxic").mapInArrow(_sketched, "text string, toxic int, a long, b long")
+    sample = store.written(sample.dropDuplicates(["a", "b"]).select("text", "toxic"), "toxic")
     counts = sample.mapInArrow(_count, "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, counts binary").toArrow()
     size, step = 1 << BUCKET_BITS, 1 << BLOCK_BITS
     table = np.zeros((3, size), np.int64)
@@ -185,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     a1, a0 = toxic + prior, clean + prior
     odds = np.log(a1 / (n1 * (1 + PRIOR_SCALE))) - np.log(a0 / (n0 * (1 + PRIOR_SCALE)))
     bound = odds - SURE * np.sqrt(1 / a1 + 1 / a0)
-    weights = np.where((bound > 0) & (toxic >= LEAST_DOCS), bound, -DRIFT).astype(np.float32)
+    weights = np.where((bound > LEAN) & (toxic >= LEAST_DOCS), bound, -DRIFT).astype(np.float32)
     rate = _law(weights, words)
     cast = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -197,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     seen = sample.mapInArrow(measure, "best double, n long, toxic int").where("n > 0").toArrow()
     best, n, y = (seen.column(c).to_numpy() for c in ("best", "n", "toxic"))
     rest = y == 0
-    log_k = float(np.mean(rate * best[rest] - np.log(n[rest])) - np.euler_gamma) if rest.any() else 0.0
+    log_k = float(np.quantile(rate * best[rest] - np.log(n[rest]), TAIL) + math.log(-math.log(TAIL))) if rest.any() else 0.0
 
     def weigh(batches):
         for batch in batches:
