@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, media, packing, pii, sharding, store, toxicity
+from riskweave.llm import chat, jaccard_join, media, packing, pii, sharding, store, toxicity
 from riskweave.llm.line_dedup import dedup_lines
 from riskweave.llm.substring_dedup import dedup_substrings
 
@@ -45,6 +45,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard_join.Rule(words=3, percent=90))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -92,7 +96,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words),
 windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM starts),
 firsts AS (SELECT g, min(doc_id) AS d FROM windows GROUP BY g),
@@ -124,6 +128,7 @@ FROM safe GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
