@@ -14,7 +14,12 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import zlib
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from riskweave.llm import store, vec
 
 WINDOW = 2048
 END_ID = 1
-CACHE = 400_000
+CACHE = 1_000_000
 LONGEST = 200
 
 
@@ -33,12 +38,9 @@ class _Tokens:
     """Token ids of texts; runs between single spaces are encoded once while the cache (at most ``CACHE``) holds them.
 
     The pattern of byte-level BPE never joins across a single space between other characters; texts with white space
-    beside white space, or a run over ``LONGEST``, are encoded whole."""
+    beside white space, or a run over ``LONGEST``, are encoded whole.  A full cache keeps what came again."""
 
     def __init__(self, vocabulary: str):
-        import os
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,54 +48,86 @@ class _Tokens:
         self.encoder.encode_special_tokens = True
         self.special = tuple(t.content for t in self.encoder.get_added_tokens_decoder().values())
         self.double = re.compile(r"\s\s")
-        self.clear()
-
-    def clear(self):
         self.at: dict[str, int] = {}
-        self.pool, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.starts, self.sizes, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
 
+    @staticmethod
+    def of_worker(vocabulary: str) -> _Tokens:
+        """The cache that tasks of one Python worker share, whichever function brought it."""
+        held = sys.modules.setdefault("riskweave_token_cache", ModuleType("riskweave_token_cache")).__dict__
+        return held.setdefault(vocabulary, None) or held.update({vocabulary: _Tokens(vocabulary)}) or held[vocabulary]
+
+    def _flat(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after another, and where each ends."""
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.hits[: len(self.at)] > 1)
+        keep = keep if len(keep) < CACHE // 2 else keep[:0]
+        names = list(self.at)
+        flat, ends = self._flat(keep)
+        self.at = {names[i]: j for j, i in enumerate(keep.tolist())}
+        self.pool[: len(flat)], self.used = flat, len(flat)
+        n, sizes = len(keep), self.sizes[keep]
+        self.starts[:n], self.sizes[:n], self.hits[:n], self.hits[n:] = ends - sizes, sizes, 1, 0
+
     def _learn(self, chunks: list[str]) -> None:
         found = [e.ids for e in self.encoder.encode_batch_fast(chunks, add_special_tokens=False)]
         n, sizes = len(self.at), np.fromiter(map(len, found), np.int64, len(found))
-        for name, need in (("starts", n + len(chunks)), ("sizes", n + len(chunks)), ("pool", self.used + int(sizes.sum()))):
+        total = int(sizes.sum())
+        for name, need in (("starts", n + len(chunks)), ("sizes", n + len(chunks)), ("hits", n + len(chunks)), ("pool", self.used + total)):
             have = getattr(self, name)
             if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self.pool[self.used : self.used + len(flat)] = flat
+                setattr(self, name, np.concatenate([have, np.zeros(max(need, len(have) * 3 // 2) - len(have), have.dtype)]))
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.starts[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(chunks)] = sizes
-        self.used += len(flat)
+        self.used += total
         self.at.update(zip(chunks, range(n, n + len(chunks))))
 
-    def encode(self, text: str) -> np.ndarray:
-        chunks = text.replace(" ", "\0 ").split("\0")
-        if not chunks[0]:
-            chunks = chunks[1:]
-        if "\0" in text or self.double.search(text) or any(s in text for s in self.special) or max(map(len, chunks), default=0) > LONGEST:
-            return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        out, split, rows = [np.zeros(0, np.uint32)] * len(texts), [], []
+        for i, text in enumerate(texts):
+            chunks = text.replace(" ", "\0 ").split("\0")
+            if not chunks[0]:
+                del chunks[0]
+            if "\0" in text or self.double.search(text) or any(s in text for s in self.special) or max(map(len, chunks), default=0) > LONGEST:
+                out[i] = np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif chunks:
+                split.append(chunks)
+                rows.append(i)
+        every = list(chain.from_iterable(split))
+        if not every:
+            return out
         if len(self.at) > CACHE:
-            self.clear()
-        if new := [c for c in dict.fromkeys(chunks) if c not in self.at]:
+            self._forget()
+        if new := [c for c in dict.fromkeys(every) if c not in self.at]:
             self._learn(new)
-        which = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self.sizes[which]
-        ends = np.cumsum(sizes)
-        return self.pool[np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        which = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
+        self.hits += np.bincount(which, minlength=len(self.hits))
+        flat, ends = self._flat(which)
+        edges = ends[np.cumsum([len(c) for c in split]) - 1]
+        for i, ids in zip(rows, np.split(flat, edges[:-1])):
+            out[i] = ids
+        return out
 
 
 def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of at most ``window`` ids: key, start, length, ids_crc32, doc_tokens, and on wish their ``ids``."""
 
     def run(batches):
-        tokens = _Tokens(vocabulary)
+        tokens = _Tokens.of_worker(vocabulary)
         for batch in batches:
             texts = batch.column(1)
             for low, high in vec.spans(vec.text_buffer(texts)[1], 1 << 20):
                 rows, starts, sizes, sums, totals, kept = [], [], [], [], [], []
-                for i, t in enumerate(texts[low:high].to_pylist(), low):
-                    ids = np.append(tokens.encode(t or ""), np.uint32(END_ID)).astype("<u4")
+                for i, found in enumerate(tokens.encode([t or "" for t in texts[low:high].to_pylist()]), low):
+                    ids = np.append(found, np.uint32(END_ID)).astype("<u4")
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
                         rows.append(i)
