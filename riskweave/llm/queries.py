@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, jaccard_join, media, packing, pii, sharding, store, toxicity
+from riskweave.llm import chat, decontamination, jaccard_join, media, packing, pii, sharding, store, toxicity
 from riskweave.llm.line_dedup import dedup_lines
 from riskweave.llm.substring_dedup import dedup_substrings
 
@@ -80,6 +80,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("n_units").alias("n_lines"), F.col("n_removed").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -133,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
+    "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
 }
