@@ -1,0 +1,5 @@
+"""Queries over the shared tables, with the DuckDB SQL that says the same."""
+
+from riskweave.plans import market
+
+MODULES = (market,)
