@@ -1,5 +1,5 @@
 """Queries over the shared tables, with the DuckDB SQL that says the same."""
 
-from riskweave.plans import evidence, market
+from riskweave.plans import evidence, market, records
 
-MODULES = (market, evidence)
+MODULES = (market, evidence, records)
