@@ -10,8 +10,10 @@ the threshold, and a document's component is the least key that links reach.
    with the prefix's estimated candidates: two classes at or above the threshold share min(l_x, l_y) prefix shingles.
 3. Dense groups are thinned first: classes that agree on bands of min-hashes are compared with one leader for each
    band, and what is linked is one component from here on.
-4. Prefix shingles of more than one component are joined; pairs of different components that share enough of them are
-   candidates.  Pairs within a component need no link.  A candidate is verified on both whole texts.
+4. Classes of different components that share a prefix shingle meet, a frequent shingle's classes in tiles of ``TILE``
+   by ``TILE``.  A set is also dealt into ``CELLS`` cells with a byte of hash each: sets that differ in more cells than
+   the threshold allows them to differ in shingles are no link, exactly.  Pairs that pass and share enough prefix
+   shingles are candidates.  Pairs within a component need no link.  A candidate is verified on both whole texts.
 
 So no pairs within a group of copies are formed, and no link between components is lost: order and bands decide cost
 only.  Texts reach verification through a fixed-size bit filter of the keys, then joins.
@@ -38,6 +40,8 @@ BANDS, ROWS = 4, 2
 AGREE = 5
 FILTER_BITS = 23
 MOST_MATCHES = 8
+CELLS = 256
+TILE = 2048
 
 
 @dataclass(frozen=True)
@@ -122,7 +126,7 @@ def _magnitudes(docs: DataFrame, rule: Rule) -> np.ndarray:
 def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     """Per row: key, n, digest of the set (a, b), min-hashes, and the prefix with its number of matches."""
     table = docs.sparkSession.sparkContext.broadcast(_magnitudes(docs, rule))
-    seeds = [np.uint64(s) for s in np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, BANDS * ROWS + 2, dtype=np.uint64)]
+    seeds = [np.uint64(s) for s in np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, BANDS * ROWS + 4, dtype=np.uint64)]
 
     def run(batches):
         slots = table.value
@@ -140,6 +144,8 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                     b[some] = np.bitwise_xor.reduceat(vec.mix(key ^ seeds[-2]), first[some])
                     for i in range(BANDS * ROWS):
                         mins[some, i] = np.minimum.reduceat(vec.mix(key ^ seeds[i]), first[some])
+                cell = owner * CELLS + (vec.mix(key ^ seeds[-3]) >> np.uint64(56)).astype(np.int64)
+                cells = np.bincount(cell, (vec.mix(key ^ seeds[-4]) & np.uint64(0xFFFF)).astype(np.float64), rows * CELLS).astype(np.int64).astype(np.uint8)
                 need = (n * rule.percent + 99) // 100
                 base = n - need + 1
                 cost = np.concatenate([[0], np.cumsum(2.0 ** (key >> np.uint64(56)).astype(np.float64))])
@@ -148,12 +154,12 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                 size = np.where(n > 0, n - need + matches, 0)
                 prefixes = [key[f : f + s].tobytes() for f, s in zip(first[:-1], size)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(low, rows), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), BANDS * ROWS).cast(pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())],
-                    ["key", "n", "a", "b", "mins", "matches", "prefix"],
+                    [batch.column("key").slice(low, rows), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), BANDS * ROWS).cast(pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary()), pa.array([c.tobytes() for c in cells.reshape(rows, CELLS)], pa.binary())],
+                    ["key", "n", "a", "b", "mins", "matches", "prefix", "cells"],
                 )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, n long, a long, b long, mins array<long>, matches int, prefix binary")
+    return docs.mapInArrow(run, f"key {kind}, n long, a long, b long, mins array<long>, matches int, prefix binary, cells binary")
 
 
 def _near(percent: int) -> str:
@@ -216,10 +222,46 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
 
     rows = classes.select("key", "comp", "n", "matches", "prefix").mapInArrow(send, "part int, blob binary").groupBy("part")
     rows = store.written(rows.applyInArrow(shared, "token long, key long, comp long, n long, matches int"), "prefixes")
-    one, two = (rows.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("key", "comp", "n", "matches"))) for i in (1, 2))
-    pairs = one.join(two, "token").where(f"key1 < key2 and comp1 <> comp2 and {_near(rule.percent)}")
-    pairs = pairs.groupBy(F.col("key1").alias("x"), F.col("key2").alias("y"), F.least("matches1", "matches2").alias("need")).count()
-    return pairs.where("count >= need").select("x", "y")
+    tiled = rows.join(rows.groupBy("token").agg(F.count("*").alias("size")), "token").join(classes.select("key", "cells"), "key")
+    side = F.ceil(F.col("size") / TILE)
+    tiled = tiled.withColumn("own", F.pmod(F.xxhash64("key"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (side - 1).cast("int"))))
+    tiled = tiled.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    tiled = tiled.withColumn("part", F.pmod(F.xxhash64("token", "low", "high"), F.lit(4 * store.partitions(classes.sparkSession))).cast("int"))
+    percent = rule.percent
+
+    def meet(table: pa.Table) -> pa.Table:
+        token, key, comp, n, matches, own, low, high = (table.column(c).to_numpy() for c in ("token", "key", "comp", "n", "matches", "own", "low", "high"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        order = np.lexsort((high, low, token))
+        new = np.any([np.diff(c[order]) != 0 for c in (token, low, high)], axis=0)
+        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
+        xs, ys, needs = [], [], []
+        for start, end in zip(edges[:-1], edges[1:]):
+            tile = order[start:end]
+            one = two = tile
+            if low[tile[0]] != high[tile[0]]:
+                one, two = tile[own[tile] == low[tile[0]]], tile[own[tile] == high[tile[0]]]
+            for i in range(0, len(one), 256):
+                left = one[i : i + 256, None]
+                sizes = n[left], n[two]
+                good = (comp[left] != comp[two]) & (np.minimum(*sizes) * 100 >= np.maximum(*sizes) * percent)
+                if one is two:
+                    good &= key[left] < key[two]
+                u, v = np.nonzero(good)
+                u, v = left[u, 0], two[v]
+                for j in range(0, len(u), 8192):
+                    p, q = u[j : j + 8192], v[j : j + 8192]
+                    near = (cells[p] != cells[q]).sum(1) * (100 + percent) <= (100 - percent) * (n[p] + n[q])
+                    p, q = p[near], q[near]
+                    xs.append(np.minimum(key[p], key[q]))
+                    ys.append(np.maximum(key[p], key[q]))
+                    needs.append(np.minimum(matches[p], matches[q]))
+        none = np.zeros(0, np.int64)
+        x, y, need = (np.concatenate(c) if c else none for c in (xs, ys, needs))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "need": pa.array(need, pa.int32())})
+
+    met = tiled.select("part", "token", "key", "comp", "n", "matches", "own", "low", "high", "cells").groupBy("part").applyInArrow(meet, "x long, y long, need int")
+    return met.groupBy("x", "y", "need").count().where("count >= need").select("x", "y")
 
 
 def _filtered(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -272,12 +314,12 @@ def join(docs: DataFrame, rule: Rule = Rule(), text: str = "text", key: str = "d
     """Per row of ``docs``: ``key`` (long), ``n_shingles`` (long) and ``component_id`` (long)."""
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = store.written(_signatures(own, rule), "signatures")
-    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), F.first("mins").alias("mins"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), F.first("mins").alias("mins"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
     classes = store.written(sets, "classes")
     near = store.written(_leader_pairs(classes, rule), "leaders")
     links = store.written(_verified(own, near, rule), "links")
     comps = components(links)
-    named = classes.join(comps, classes["key"] == comps["node"], "left").select(*(classes[c] for c in ("key", "n", "matches", "prefix")), F.coalesce("component", classes["key"]).alias("comp"))
+    named = classes.join(comps, classes["key"] == comps["node"], "left").select(*(classes[c] for c in ("key", "n", "matches", "prefix", "cells")), F.coalesce("component", classes["key"]).alias("comp"))
     far = store.written(_prefix_pairs(named, rule), "pairs")
     more = store.written(_verified(own, far, rule), "links")
     comps = components(links.union(more))
