@@ -40,7 +40,7 @@ BANDS, ROWS = 4, 2
 AGREE = 5
 FILTER_BITS = 23
 MOST_MATCHES = 8
-CELLS = 256
+CELLS = 128
 TILE = 2048
 
 
@@ -144,7 +144,7 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                     b[some] = np.bitwise_xor.reduceat(vec.mix(key ^ seeds[-2]), first[some])
                     for i in range(BANDS * ROWS):
                         mins[some, i] = np.minimum.reduceat(vec.mix(key ^ seeds[i]), first[some])
-                cell = owner * CELLS + (vec.mix(key ^ seeds[-3]) >> np.uint64(56)).astype(np.int64)
+                cell = owner * CELLS + (vec.mix(key ^ seeds[-3]) % np.uint64(CELLS)).astype(np.int64)
                 cells = np.bincount(cell, (vec.mix(key ^ seeds[-4]) & np.uint64(0xFFFF)).astype(np.float64), rows * CELLS).astype(np.int64).astype(np.uint8)
                 need = (n * rule.percent + 99) // 100
                 base = n - need + 1
@@ -170,8 +170,12 @@ def _leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of a class and the leader of a band's group, where most min-hashes agree."""
     bands = F.array(*(F.xxhash64(F.lit(i), *(F.col("mins")[i * ROWS + j] for j in range(ROWS))) for i in range(BANDS)))
     banded = classes.select("key", "n", "mins", F.explode(bands).alias("band"))
-    lead = F.min_by(F.struct("key", "n", "mins"), F.xxhash64("key", "band"))
-    leaders = banded.groupBy("band").agg(lead.alias("lead"), F.count("*").alias("size")).where("size > 1").select("band", "lead")
+    # The class whose bands are the most common is nearest to the middle of its group, and leads it.
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    common = banded.select("key", "band").join(sizes, "band").groupBy("key").agg(F.sum("size").alias("weight"))
+    banded = banded.join(common, "key")
+    lead = F.max_by(F.struct("key", "n", "mins"), F.struct("weight", F.xxhash64("key", "band")))
+    leaders = banded.join(sizes.select("band"), "band", "left_semi").groupBy("band").agg(lead.alias("lead"))
     pairs = banded.join(leaders, "band").where("key <> lead.key")
     same = F.size(F.filter(F.zip_with("mins", F.col("lead.mins"), lambda x, y: x == y), lambda x: x))
     pairs = pairs.where(same >= AGREE).select(F.least("key", "lead.key").alias("x"), F.greatest("key", "lead.key").alias("y"), F.col("n").alias("n1"), F.col("lead.n").alias("n2"))
@@ -258,10 +262,14 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
                     needs.append(np.minimum(matches[p], matches[q]))
         none = np.zeros(0, np.int64)
         x, y, need = (np.concatenate(c) if c else none for c in (xs, ys, needs))
-        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "need": pa.array(need, pa.int32())})
-
-    met = tiled.select("part", "token", "key", "comp", "n", "matches", "own", "low", "high", "cells").groupBy("part").applyInArrow(meet, "x long, y long, need int")
-    return met.groupBy("x", "y", "need").count().where("count >= need").select("x", "y")
+        order = np.lexsort((y, x))
+        x, y, need = x[order], y[order], need[order]
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else none
+        found = np.diff(np.append(first, len(x)))
+        return pa.table({"x": pa.array(x[first], pa.int64()), "y": pa.array(y[first], pa.int64()), "need": pa.array(need[first], pa.int32()), "found": pa.array(found, pa.int64())})
+
+    met = tiled.select("part", "token", "key", "comp", "n", "matches", "own", "low", "high", "cells").groupBy("part").applyInArrow(meet, "x long, y long, need int, found long")
+    return met.groupBy("x", "y", "need").agg(F.sum("found").alias("found")).where("found >= need").select("x", "y")
 
 
 def _filtered(docs: DataFrame, pairs: DataFrame) -> DataFrame:
