@@ -129,6 +129,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM safe GROUP BY conv_id
 """
 
+# Lines end with one line feed in these tables, which is how what is left is joined here.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\r\n]+'), lambda x: x <> '') AS l FROM documents),
+starts AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d),
+runs AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS g FROM starts),
+firsts AS (SELECT g, min(doc_id * 1000000 + i) AS place FROM runs GROUP BY g),
+later AS (SELECT r.doc_id, r.i FROM runs r JOIN firsts f ON r.g = f.g AND r.doc_id * 1000000 + r.i > f.place),
+covered AS (SELECT doc_id, i FROM later UNION SELECT doc_id, i + 1 FROM later),
+single AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+kept AS (
+  SELECT s.doc_id, count(*) AS n, string_agg(s.line, chr(10) ORDER BY s.i) AS t
+  FROM single s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.i = c.i WHERE c.i IS NULL GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN coalesce(n, 0) = len(l) THEN text ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_formatting": op2_chat_formatting,
@@ -141,4 +158,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
