@@ -129,6 +129,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM safe GROUP BY conv_id
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 1, 2) END)) AS i FROM words),
+sets AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT edges.b, reached.c FROM reached JOIN edges ON reached.node = edges.a),
+least AS (SELECT node, min(c) AS component_id FROM reached GROUP BY node)
+SELECT node AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM least LEFT JOIN sizes ON sizes.doc_id = node
+"""
+
 # Lines end with one line feed in these tables, which is how what is left is joined here.
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\r\n]+'), lambda x: x <> '') AS l FROM documents),
@@ -158,4 +173,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
