@@ -42,6 +42,7 @@ FILTER_BITS = 23
 MOST_MATCHES = 8
 CELLS = 128
 TILE = 2048
+AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -297,9 +298,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     both = pairs.join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y")
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
             sides = []
             for c in ("tx", "ty"):
                 found = [(low, *_distinct(owner, value), rows) for low, owner, value, rows in _shingles(batch.column(c), rule.words)]
