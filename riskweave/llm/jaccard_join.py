@@ -12,8 +12,9 @@ the threshold, and a document's component is the least key that links reach.
    band, and what is linked is one component from here on.
 4. Classes of different components that share a prefix shingle meet, a frequent shingle's classes in tiles of ``TILE``
    by ``TILE``.  A set is also dealt into ``CELLS`` cells with a byte of hash each: sets that differ in more cells than
-   the threshold allows them to differ in shingles are no link, exactly.  Pairs that pass and share enough prefix
-   shingles are candidates.  Pairs within a component need no link.  A candidate is verified on both whole texts.
+   the threshold allows them to differ in shingles are no link, exactly.  A pair that passes leaves the tile of its least
+   shared shingle alone, as far as each prefix's ``LEAST`` least hashes tell.  Pairs whose prefixes share enough shingles
+   are candidates.  Pairs within a component need no link.  A candidate is verified on both whole texts.
 
 So no pairs within a group of copies are formed, and no link between components is lost: order and bands decide cost
 only.  Texts reach verification through a fixed-size bit filter of the keys, then joins.
@@ -42,6 +43,7 @@ FILTER_BITS = 23
 MOST_MATCHES = 8
 CELLS = 128
 TILE = 2048
+LEAST = 8
 AT_ONCE = 256
 
 
@@ -154,13 +156,14 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                 matches = np.clip(1 + np.floor(np.log2(np.maximum(mean, 1))).astype(np.int64), 1, np.clip(need, 1, MOST_MATCHES))
                 size = np.where(n > 0, n - need + matches, 0)
                 prefixes = [key[f : f + s].tobytes() for f, s in zip(first[:-1], size)]
+                least = [np.sort(vec.mix(key[f : f + s]))[:LEAST].tobytes().ljust(8 * LEAST, b"\xff") for f, s in zip(first[:-1], size)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(low, rows), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), BANDS * ROWS).cast(pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary()), pa.array([c.tobytes() for c in cells.reshape(rows, CELLS)], pa.binary())],
-                    ["key", "n", "a", "b", "mins", "matches", "prefix", "cells"],
+                    [batch.column("key").slice(low, rows), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), BANDS * ROWS).cast(pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary()), pa.array([c.tobytes() for c in cells.reshape(rows, CELLS)], pa.binary()), pa.array(least, pa.binary())],
+                    ["key", "n", "a", "b", "mins", "matches", "prefix", "cells", "least"],
                 )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, n long, a long, b long, mins array<long>, matches int, prefix binary, cells binary")
+    return docs.mapInArrow(run, f"key {kind}, n long, a long, b long, mins array<long>, matches int, prefix binary, cells binary, least binary")
 
 
 def _near(percent: int) -> str:
@@ -186,11 +189,11 @@ def _leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
 def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes of different components that share enough prefix shingles."""
     bits = max(0, (store.partitions(classes.sparkSession) - 1).bit_length())
-    meta = np.dtype([("key", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("matches", "<u4"), ("count", "<u4")])
+    meta = np.dtype([("key", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("count", "<u4")])
 
     def send(batches):
         for batch in batches:
-            key, comp, n, matches = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "comp", "n", "matches"))
+            key, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "comp", "n"))
             texts = batch.column("prefix").to_pylist()
             sizes = np.array([len(p) // 8 for p in texts], np.int64)
             value = np.frombuffer(b"".join(texts), np.uint64)
@@ -204,7 +207,7 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
                 if len(own):
                     who, counts = np.unique(owner[own], return_counts=True)
                     head = np.empty(len(who), meta)
-                    head["key"], head["comp"], head["n"], head["matches"], head["count"] = key[who], comp[who], n[who], matches[who], counts
+                    head["key"], head["comp"], head["n"], head["count"] = key[who], comp[who], n[who], counts
                     use.append(p)
                     blobs.append(np.uint32(len(who)).tobytes() + head.tobytes() + value[own].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
@@ -223,11 +226,11 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
         last = np.append(first[1:], len(value)) - 1
         mixed = np.repeat(head["comp"][first] != head["comp"][last], last - first + 1)
         head, value = head[mixed], value[mixed]
-        return pa.table({"token": value.view(np.int64), "key": head["key"].astype(np.int64), "comp": head["comp"].astype(np.int64), "n": head["n"].astype(np.int64), "matches": head["matches"].astype(np.int32)})
+        return pa.table({"token": value.view(np.int64), "key": head["key"].astype(np.int64), "comp": head["comp"].astype(np.int64), "n": head["n"].astype(np.int64)})
 
-    rows = classes.select("key", "comp", "n", "matches", "prefix").mapInArrow(send, "part int, blob binary").groupBy("part")
-    rows = store.written(rows.applyInArrow(shared, "token long, key long, comp long, n long, matches int"), "prefixes")
-    tiled = rows.join(rows.groupBy("token").agg(F.count("*").alias("size")), "token").join(classes.select("key", "cells"), "key")
+    rows = classes.select("key", "comp", "n", "prefix").mapInArrow(send, "part int, blob binary").groupBy("part")
+    rows = store.written(rows.applyInArrow(shared, "token long, key long, comp long, n long"), "prefixes")
+    tiled = rows.join(rows.groupBy("token").agg(F.count("*").alias("size")), "token").join(classes.select("key", "cells", "least"), "key")
     side = F.ceil(F.col("size") / TILE)
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("key"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (side - 1).cast("int"))))
     tiled = tiled.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
@@ -235,12 +238,14 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     percent = rule.percent
 
     def meet(table: pa.Table) -> pa.Table:
-        token, key, comp, n, matches, own, low, high = (table.column(c).to_numpy() for c in ("token", "key", "comp", "n", "matches", "own", "low", "high"))
+        token, key, comp, n, own, low, high = (table.column(c).to_numpy() for c in ("token", "key", "comp", "n", "own", "low", "high"))
         cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        least = np.frombuffer(b"".join(table.column("least").to_pylist()), np.uint64).reshape(-1, LEAST)
+        mixed = vec.mix(token.view(np.uint64))
         order = np.lexsort((high, low, token))
         new = np.any([np.diff(c[order]) != 0 for c in (token, low, high)], axis=0)
         edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
-        xs, ys, needs = [], [], []
+        xs, ys = [], []
         for start, end in zip(edges[:-1], edges[1:]):
             tile = order[start:end]
             one = two = tile
@@ -258,19 +263,39 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
                     p, q = u[j : j + 8192], v[j : j + 8192]
                     near = (cells[p] != cells[q]).sum(1) * (100 + percent) <= (100 - percent) * (n[p] + n[q])
                     p, q = p[near], q[near]
+                    one_least = least[p]
+                    earlier = (one_least[:, :, None] == least[q][:, None, :]) & (one_least < mixed[tile[0]])[:, :, None]
+                    p, q = (c[~earlier.any((1, 2))] for c in (p, q))
                     xs.append(np.minimum(key[p], key[q]))
                     ys.append(np.maximum(key[p], key[q]))
-                    needs.append(np.minimum(matches[p], matches[q]))
         none = np.zeros(0, np.int64)
-        x, y, need = (np.concatenate(c) if c else none for c in (xs, ys, needs))
+        x, y = (np.concatenate(c) if c else none for c in (xs, ys))
         order = np.lexsort((y, x))
-        x, y, need = x[order], y[order], need[order]
+        x, y = x[order], y[order]
         first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else none
-        found = np.diff(np.append(first, len(x)))
-        return pa.table({"x": pa.array(x[first], pa.int64()), "y": pa.array(y[first], pa.int64()), "need": pa.array(need[first], pa.int32()), "found": pa.array(found, pa.int64())})
+        return pa.table({"x": pa.array(x[first], pa.int64()), "y": pa.array(y[first], pa.int64())})
 
-    met = tiled.select("part", "token", "key", "comp", "n", "matches", "own", "low", "high", "cells").groupBy("part").applyInArrow(meet, "x long, y long, need int, found long")
-    return met.groupBy("x", "y", "need").agg(F.sum("found").alias("found")).where("found >= need").select("x", "y")
+    met = tiled.select("part", "token", "key", "comp", "n", "own", "low", "high", "cells", "least").groupBy("part").applyInArrow(meet, "x long, y long")
+    return _enough(met.distinct(), classes)
+
+
+def _enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (x, y) whose prefixes share as many shingles as the shorter of the two asks for."""
+    both = pairs
+    for side in ("x", "y"):
+        both = both.join(classes.select(F.col("key").alias(side), F.col("matches").alias(f"m{side}"), F.col("prefix").alias(f"p{side}")), side)
+
+    def run(batches):
+        for batch in batches:
+            need = np.minimum(batch.column("mx").to_numpy(), batch.column("my").to_numpy())
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (u, v) in enumerate(zip(batch.column("px").to_pylist(), batch.column("py").to_pylist())):
+                merged = np.sort(np.frombuffer(u + v, np.uint64))
+                keep[i] = (merged[1:] == merged[:-1]).sum() >= need[i]
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(mask), batch.column("y").filter(mask)], ["x", "y"])
+
+    return both.select("x", "y", "mx", "my", "px", "py").mapInArrow(run, "x long, y long")
 
 
 def _filtered(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -321,12 +346,12 @@ def join(docs: DataFrame, rule: Rule = Rule(), text: str = "text", key: str = "d
     """Per row of ``docs``: ``key`` (long), ``n_shingles`` (long) and ``component_id`` (long)."""
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = store.written(_signatures(own, rule), "signatures")
-    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), F.first("mins").alias("mins"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
+    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), F.first("mins").alias("mins"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), F.first("least").alias("least"))
     classes = store.written(sets, "classes")
     near = store.written(_leader_pairs(classes, rule), "leaders")
     links = store.written(_verified(own, near, rule), "links")
     comps = components(links)
-    named = classes.join(comps, classes["key"] == comps["node"], "left").select(*(classes[c] for c in ("key", "n", "matches", "prefix", "cells")), F.coalesce("component", classes["key"]).alias("comp"))
+    named = classes.join(comps, classes["key"] == comps["node"], "left").select(*(classes[c] for c in ("key", "n", "matches", "prefix", "cells", "least")), F.coalesce("component", classes["key"]).alias("comp"))
     far = store.written(_prefix_pairs(named, rule), "pairs")
     more = store.written(_verified(own, far, rule), "links")
     comps = components(links.union(more))
