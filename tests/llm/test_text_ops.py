@@ -123,6 +123,17 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert decontamination.find_leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_long_items_at_every_offset(spark):
+    rng = random.Random(14)
+    words = [f"term{i}" for i in range(4000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, some(250 if i < 6 else 1000)) for i in range(12)]
+    docs = [(i, f"{some(40 + i)} {items[i][1]} {some(50)}") for i in range(12)] + [(100 + i, some(400)) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = decontamination.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["common"]) for r in found.collect()) == [(i, i, 1.0) for i in range(12)]
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
