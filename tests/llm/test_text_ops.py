@@ -134,6 +134,29 @@ def test_decontamination_finds_long_items_at_every_offset(spark):
     assert sorted((r["doc_id"], r["item_id"], r["common"]) for r in found.collect()) == [(i, i, 1.0) for i in range(12)]
 
 
+def test_decontamination_of_a_full_block_finds_every_copy(spark):
+    rng = random.Random(15)
+    words = [f"term{i}" for i in range(6000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, some(40)) for i in range(1000)]
+    docs = [(i, f"{some(20 + i % 6)} {items[i][1]} {some(30)}") for i in range(1000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, text in docs for i, item in items[d : d + 1] if item in text}
+
+
+def test_decontamination_counts_the_words_it_lists():
+    rng = np.random.default_rng(5)
+    weights = rng.uniform(1, 9, 300).astype(np.float32)
+    columns = [np.unique(rng.integers(0, 300, 18) ** 2 // 300) for _ in range(90)]
+    index = decontamination.Index(*[None] * 9, *decontamination._columns(columns, weights))
+    own = np.array([rng.permutation(300)[:18] for _ in range(20)])
+    own[rng.random(own.shape) < 0.3] = -1
+    value = np.where(own < 0, 3, weights[own])
+    want = [[sum(weights[f] ** 2 for f in set(o.tolist()) & set(c.tolist())) / np.linalg.norm(weights[c]) for c in columns] for o in own]
+    assert np.allclose(decontamination._exact(own, value, index), want, rtol=1e-4)
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
