@@ -157,6 +157,16 @@ def test_decontamination_counts_the_words_it_lists():
     assert np.allclose(decontamination._exact(own, value, index), want, rtol=1e-4)
 
 
+def test_decontamination_of_adjacent_copies_and_repeated_words(spark):
+    rng = random.Random(16)
+    item = " ".join(f"term{i}" for i in range(16))
+    docs = [(i, item) for i in range(5)] + [(10 + i, " ".join(f"other{rng.randint(0, 500)}" for _ in range(60))) for i in range(20)]
+    docs += [(50, f"{' '.join(item.split()[:3] * 9)} {item}"), (51, item)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], round(r["cosine"], 3)) for r in decontamination.find_leaks(frame, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert {d for d, _ in got} == {0, 1, 2, 3, 4, 50, 51} and {c for d, c in got if d != 50} == {1.0}
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
