@@ -29,7 +29,10 @@ CONTROL_TURN = "</s>[INST] ok [/INST]"
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{CONTROL_TURN}'), (-1L, 1L, 'assistant', '{CONTROL_TURN}') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    message = F.struct("turn", "role", F.xxhash64("text").alias("h"))
+    # Every row is a turn: rows that repeat exactly differ by their ordinal, as the log counts equal events once.
+    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    rows = counted.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
+    message = F.struct("turn", "role", F.xxhash64("text").alias("h"), "nth")
     events = rows.select(F.col("conv_id").alias("conv"), message.alias("message"), F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
     done = chat.render(chat.reconstruct(events))
     turns = chat.parsed(F.col("formatted"))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from hypothesis import given
@@ -202,6 +203,18 @@ def test_chat_folds_events_and_round_trips(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chat_query_keeps_rows_that_repeat(spark, tmp_path):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "go"), (1, 1, "assistant", "go"), (1, 1, "assistant", "go"), (2, 0, "user", None), (2, 0, "user", None), (3, 0, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op2_chat_formatting(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = con.execute(queries.OP2_SQL)
+    names = [c[0] for c in found.description]
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(found.fetchall())
+    assert {r["conv_id"]: r["n_turns"] for r in got.collect()} == {-1: 2, 1: 4, 2: 2, 3: 1}
+
+
 def test_sharding_is_exact_and_gapless(spark):
     rows = [(i, f"text {i % 5}", 9) for i in range(503)] + [(None, None, 9), (7, "text 2", 9), (7, "text 2", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(4)
