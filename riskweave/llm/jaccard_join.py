@@ -10,17 +10,22 @@ the threshold, and a document's component is the least key that links reach.
    with the prefix's estimated candidates: two classes at or above the threshold share min(l_x, l_y) prefix shingles.
 3. Dense groups are thinned first: classes that agree on bands of min-hashes are compared with one leader for each
    band, and what is linked is one component from here on.
-4. Classes of different components that share a prefix shingle meet, a frequent shingle's classes in tiles of ``TILE``
-   by ``TILE``.  A set is also dealt into ``CELLS`` cells with a byte of hash each: sets that differ in more cells than
-   the threshold allows them to differ in shingles are no link, exactly.  A pair that passes leaves the tile of its least
-   shared shingle alone, as far as each prefix's ``LEAST`` least hashes tell.  Pairs whose prefixes share enough shingles
-   are candidates.  Pairs within a component need no link.  A candidate is verified on both whole texts.
-
-So no pairs within a group of copies are formed, and no link between components is lost: order and bands decide cost
-only.  Texts reach verification through a fixed-size bit filter of the keys, then joins.
+4. Classes of different components that share a prefix shingle meet, if another one of near size has it, a frequent
+   shingle's classes in tiles of ``TILE`` by ``TILE``.  A set's parity sketch has a bit for each cell of its shingles'
+   hashes, set where an odd number of them falls: sets whose sketches differ in more bits than the threshold allows the
+   sets to differ in shingles are no link, exactly.  Its width follows the set's size (``BITS`` at least); the wider of
+   two is folded.  Tiles compare the first ``BITS``.  A pair that passes leaves the tile of its least shared shingle
+   alone, as far as each prefix's ``LEAST`` least hashes tell.  Pairs whose prefixes share enough shingles and whose
+   whole sketches pass are candidates.  Pairs within a component need no link.  A candidate is verified on both whole
+   texts.
+
+So no pairs within a group of copies are formed, and no link between components is lost: order, bands and sketches
+decide cost only.  Texts reach verification through a fixed-size bit filter of the keys, then joins.  A written table is
+deleted as soon as what reads it is written.
 
 Null and empty texts have the empty set and are linked with nothing; null keys get a null component; repeated rows get a
-row each; an empty table gives an empty table.
+row each; a key is one document: where rows of different texts share it, the links of each count for all; keys are
+whole numbers; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm import store, vec
@@ -41,9 +46,10 @@ BANDS, ROWS = 4, 2
 AGREE = 5
 FILTER_BITS = 23
 MOST_MATCHES = 8
-CELLS = 128
+BITS = 512
+MOST_BITS = 1 << 16
 TILE = 2048
-LEAST = 8
+LEAST = 4
 AT_ONCE = 256
 
 
@@ -81,6 +87,30 @@ def _distinct(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner[new], value[new]
 
 
+def _sketches(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The parity sketch of every set: bit ``hash mod width`` is set where an odd number of hashes falls."""
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), BITS, MOST_BITS)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    at = begin[owner] + (hashes & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(begin[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    edges = (begin // 8).tolist()
+    return [packed[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch at a smaller width of ``size`` bytes: bits that fall together are added modulo 2."""
+    out = np.frombuffer(sketch, np.uint64)
+    while out.nbytes > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def _apart(one: bytes, two: bytes) -> int:
+    """In how many bits two sketches differ: no more than the sets do in shingles."""
+    size = min(len(one), len(two))
+    return int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
+
+
 def _magnitudes(docs: DataFrame, rule: Rule) -> np.ndarray:
     """For each slot of shingle hashes: 0, or the magnitude of its most frequent shingle's count of documents."""
     bits = min(SLOT_BITS, max(0, (store.partitions(docs.sparkSession) - 1).bit_length()))
@@ -127,9 +157,9 @@ def _magnitudes(docs: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Per row: key, n, digest of the set (a, b), min-hashes, and the prefix with its number of matches."""
+    """Per row: key, n, digest of the set (a, b), min-hashes, the prefix with its number of matches, and the sketch."""
     table = docs.sparkSession.sparkContext.broadcast(_magnitudes(docs, rule))
-    seeds = [np.uint64(s) for s in np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, BANDS * ROWS + 4, dtype=np.uint64)]
+    seeds = [np.uint64(s) for s in np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, BANDS * ROWS + 3, dtype=np.uint64)]
 
     def run(batches):
         slots = table.value
@@ -147,8 +177,7 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                     b[some] = np.bitwise_xor.reduceat(vec.mix(key ^ seeds[-2]), first[some])
                     for i in range(BANDS * ROWS):
                         mins[some, i] = np.minimum.reduceat(vec.mix(key ^ seeds[i]), first[some])
-                cell = owner * CELLS + (vec.mix(key ^ seeds[-3]) % np.uint64(CELLS)).astype(np.int64)
-                cells = np.bincount(cell, (vec.mix(key ^ seeds[-4]) & np.uint64(0xFFFF)).astype(np.float64), rows * CELLS).astype(np.int64).astype(np.uint8)
+                sketches = _sketches(owner, vec.mix(key ^ seeds[-3]), n)
                 need = (n * rule.percent + 99) // 100
                 base = n - need + 1
                 cost = np.concatenate([[0], np.cumsum(2.0 ** (key >> np.uint64(56)).astype(np.float64))])
@@ -158,12 +187,12 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                 prefixes = [key[f : f + s].tobytes() for f, s in zip(first[:-1], size)]
                 least = [np.sort(vec.mix(key[f : f + s]))[:LEAST].tobytes().ljust(8 * LEAST, b"\xff") for f, s in zip(first[:-1], size)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(low, rows), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), BANDS * ROWS).cast(pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary()), pa.array([c.tobytes() for c in cells.reshape(rows, CELLS)], pa.binary()), pa.array(least, pa.binary())],
-                    ["key", "n", "a", "b", "mins", "matches", "prefix", "cells", "least"],
+                    [batch.column("key").slice(low, rows), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), BANDS * ROWS).cast(pa.list_(pa.int64())), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), pa.array(least, pa.binary())],
+                    ["key", "n", "a", "b", "mins", "matches", "prefix", "sketch", "least"],
                 )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, n long, a long, b long, mins array<long>, matches int, prefix binary, cells binary, least binary")
+    return docs.mapInArrow(run, f"key {kind}, n long, a long, b long, mins array<long>, matches int, prefix binary, sketch binary, least binary")
 
 
 def _near(percent: int) -> str:
@@ -171,7 +200,7 @@ def _near(percent: int) -> str:
 
 
 def _leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of a class and the leader of a band's group, where most min-hashes agree."""
+    """Pairs of a class and the leader of a band's group, where most min-hashes agree and the sketches allow a link."""
     bands = F.array(*(F.xxhash64(F.lit(i), *(F.col("mins")[i * ROWS + j] for j in range(ROWS))) for i in range(BANDS)))
     banded = classes.select("key", "n", "mins", F.explode(bands).alias("band"))
     # The class whose bands are the most common is nearest to the middle of its group, and leads it.
@@ -183,12 +212,13 @@ def _leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     pairs = banded.join(leaders, "band").where("key <> lead.key")
     same = F.size(F.filter(F.zip_with("mins", F.col("lead.mins"), lambda x, y: x == y), lambda x: x))
     pairs = pairs.where(same >= AGREE).select(F.least("key", "lead.key").alias("x"), F.greatest("key", "lead.key").alias("y"), F.col("n").alias("n1"), F.col("lead.n").alias("n2"))
-    return pairs.where(_near(rule.percent)).select("x", "y").distinct()
+    return _possible(pairs.where(_near(rule.percent)).select("x", "y").distinct(), classes, rule, False)
 
 
 def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes of different components that share enough prefix shingles."""
     bits = max(0, (store.partitions(classes.sparkSession) - 1).bit_length())
+    percent = rule.percent
     meta = np.dtype([("key", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("count", "<u4")])
 
     def send(batches):
@@ -220,54 +250,54 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
             heads.append(np.repeat(head, head["count"]))
             values.append(np.frombuffer(b, np.uint64, -1, 4 + n * meta.itemsize))
         head, value = np.concatenate(heads), np.concatenate(values)
-        order = np.lexsort((head["comp"], value))
+        order = np.lexsort((head["n"], value))
         head, value = head[order], value[order]
-        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        last = np.append(first[1:], len(value)) - 1
-        mixed = np.repeat(head["comp"][first] != head["comp"][last], last - first + 1)
-        head, value = head[mixed], value[mixed]
+        met = np.zeros(len(value), bool)  # whether another one of near size has it
+        near = (value[1:] == value[:-1]) & (head["n"][:-1].astype(np.int64) * 100 >= head["n"][1:].astype(np.int64) * percent)
+        met[1:] |= near
+        met[:-1] |= near
+        head, value = head[met], value[met]
+        if len(value):
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            mixed = np.minimum.reduceat(head["comp"], first) != np.maximum.reduceat(head["comp"], first)
+            mixed = np.repeat(mixed, np.diff(np.append(first, len(value))))
+            head, value = head[mixed], value[mixed]
         return pa.table({"token": value.view(np.int64), "key": head["key"].astype(np.int64), "comp": head["comp"].astype(np.int64), "n": head["n"].astype(np.int64)})
 
     rows = classes.select("key", "comp", "n", "prefix").mapInArrow(send, "part int, blob binary").groupBy("part")
     rows = store.written(rows.applyInArrow(shared, "token long, key long, comp long, n long"), "prefixes")
-    tiled = rows.join(rows.groupBy("token").agg(F.count("*").alias("size")), "token").join(classes.select("key", "cells", "least"), "key")
+    tiled = rows.join(rows.groupBy("token").agg(F.count("*").alias("size")), "token").join(classes.select("key", "least", _small("sketch").alias("small")), "key")
     side = F.ceil(F.col("size") / TILE)
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("key"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (side - 1).cast("int"))))
     tiled = tiled.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     tiled = tiled.withColumn("part", F.pmod(F.xxhash64("token", "low", "high"), F.lit(4 * store.partitions(classes.sparkSession))).cast("int"))
-    percent = rule.percent
 
     def meet(table: pa.Table) -> pa.Table:
         token, key, comp, n, own, low, high = (table.column(c).to_numpy() for c in ("token", "key", "comp", "n", "own", "low", "high"))
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         least = np.frombuffer(b"".join(table.column("least").to_pylist()), np.uint64).reshape(-1, LEAST)
+        order = np.lexsort((n, high, low, token))
+        token, key, comp, n, own, low, high, small, least = (c[order] for c in (token, key, comp, n, own, low, high, small, least))
         mixed = vec.mix(token.view(np.uint64))
-        order = np.lexsort((high, low, token))
-        new = np.any([np.diff(c[order]) != 0 for c in (token, low, high)], axis=0)
-        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
+        tile = np.concatenate([[0], np.cumsum(np.any([np.diff(c) != 0 for c in (token, low, high)], axis=0))])
         xs, ys = [], []
-        for start, end in zip(edges[:-1], edges[1:]):
-            tile = order[start:end]
-            one = two = tile
-            if low[tile[0]] != high[tile[0]]:
-                one, two = tile[own[tile] == low[tile[0]]], tile[own[tile] == high[tile[0]]]
-            for i in range(0, len(one), 256):
-                left = one[i : i + 256, None]
-                sizes = n[left], n[two]
-                good = (comp[left] != comp[two]) & (np.minimum(*sizes) * 100 >= np.maximum(*sizes) * percent)
-                if one is two:
-                    good &= key[left] < key[two]
-                u, v = np.nonzero(good)
-                u, v = left[u, 0], two[v]
-                for j in range(0, len(u), 8192):
-                    p, q = u[j : j + 8192], v[j : j + 8192]
-                    near = (cells[p] != cells[q]).sum(1) * (100 + percent) <= (100 - percent) * (n[p] + n[q])
-                    p, q = p[near], q[near]
-                    one_least = least[p]
-                    earlier = (one_least[:, :, None] == least[q][:, None, :]) & (one_least < mixed[tile[0]])[:, :, None]
-                    p, q = (c[~earlier.any((1, 2))] for c in (p, q))
-                    xs.append(np.minimum(key[p], key[q]))
-                    ys.append(np.maximum(key[p], key[q]))
+        left, step = np.arange(len(tile)), 0
+        while len(left):  # by size, each row meets the next ones of its tile as long as they are of near size
+            step += 1
+            left = left[left + step < len(tile)]
+            right = left + step
+            left = left[(tile[left] == tile[right]) & (n[left] * 100 >= n[right] * percent)]
+            for j in range(0, len(left), 1 << 16):
+                p = left[j : j + (1 << 16)]
+                q = p + step
+                good = (comp[p] != comp[q]) & ((low[p] == high[p]) | (own[p] != own[q]))
+                p, q = p[good], q[good]
+                near = np.bitwise_count(small[p] ^ small[q]).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n[p] + n[q])
+                p, q = p[near], q[near]
+                earlier = (least[p][:, :, None] == least[q][:, None, :]) & (least[p] < mixed[p][:, None])[:, :, None]
+                p, q = (c[~earlier.any((1, 2))] for c in (p, q))
+                xs.append(np.minimum(key[p], key[q]))
+                ys.append(np.maximum(key[p], key[q]))
         none = np.zeros(0, np.int64)
         x, y = (np.concatenate(c) if c else none for c in (xs, ys))
         order = np.lexsort((y, x))
@@ -275,27 +305,41 @@ def _prefix_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
         first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else none
         return pa.table({"x": pa.array(x[first], pa.int64()), "y": pa.array(y[first], pa.int64())})
 
-    met = tiled.select("part", "token", "key", "comp", "n", "own", "low", "high", "cells", "least").groupBy("part").applyInArrow(meet, "x long, y long")
-    return _enough(met.distinct(), classes)
+    met = tiled.select("part", "token", "key", "comp", "n", "own", "low", "high", "small", "least").groupBy("part").applyInArrow(meet, "x long, y long")
+    return _possible(met.distinct(), classes, rule, True)
 
 
-def _enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (x, y) whose prefixes share as many shingles as the shorter of the two asks for."""
-    both = pairs
+def _small(sketch: str) -> Column:
+    """A sketch folded to ``BITS``, for the tiles."""
+
+    def fold(sketches: pa.Array) -> pa.Array:
+        return pa.array([_folded(s, BITS // 8).tobytes() for s in sketches.to_pylist()], pa.binary())
+
+    return F.arrow_udf(fold, "binary")(sketch)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, rule: Rule, prefixes: bool) -> DataFrame:
+    """Those of ``pairs`` (x, y) whose sketches allow a link and, on wish, whose prefixes share as many shingles as the
+    shorter of the two asks for."""
+    both, columns = pairs, ["n", "sketch"] + ["matches", "prefix"] * prefixes
     for side in ("x", "y"):
-        both = both.join(classes.select(F.col("key").alias(side), F.col("matches").alias(f"m{side}"), F.col("prefix").alias(f"p{side}")), side)
+        both = both.join(classes.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    percent = rule.percent
 
     def run(batches):
-        for batch in batches:
-            need = np.minimum(batch.column("mx").to_numpy(), batch.column("my").to_numpy())
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (u, v) in enumerate(zip(batch.column("px").to_pylist(), batch.column("py").to_pylist())):
-                merged = np.sort(np.frombuffer(u + v, np.uint64))
-                keep[i] = (merged[1:] == merged[:-1]).sum() >= need[i]
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
+            n = batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
+            apart = [_apart(*both) for both in zip(batch.column("sketch_x").to_pylist(), batch.column("sketch_y").to_pylist())]
+            keep = np.array(apart, np.int64) * (100 + percent) <= (100 - percent) * n
+            if prefixes:
+                need = np.minimum(batch.column("matches_x").to_numpy(), batch.column("matches_y").to_numpy())
+                for i in np.flatnonzero(keep):
+                    merged = np.sort(np.frombuffer(batch.column("prefix_x")[i].as_py() + batch.column("prefix_y")[i].as_py(), np.uint64))
+                    keep[i] = (merged[1:] == merged[:-1]).sum() >= need[i]
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(mask), batch.column("y").filter(mask)], ["x", "y"])
 
-    return both.select("x", "y", "mx", "my", "px", "py").mapInArrow(run, "x long, y long")
+    return both.mapInArrow(run, "x long, y long").distinct()
 
 
 def _filtered(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -342,19 +386,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _same_key(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a key."""
+    of_row = members.where("n > 0 and key is not null").join(classes.select("a", "b", "n", F.col("key").alias("class")), ["a", "b", "n"])
+    first = Window.partitionBy("key")
+    return of_row.select("class", F.min("class").over(first).alias("least")).where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+
+
 def join(docs: DataFrame, rule: Rule = Rule(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``key`` (long), ``n_shingles`` (long) and ``component_id`` (long)."""
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = store.written(_signatures(own, rule), "signatures")
-    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), F.first("mins").alias("mins"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), F.first("least").alias("least"))
+    members = store.written(signed.select("key", "n", "a", "b"), "members")
+    of_class = ("mins", "matches", "prefix", "sketch", "least")
+    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in of_class))
     classes = store.written(sets, "classes")
+    store.drop(signed)
     near = store.written(_leader_pairs(classes, rule), "leaders")
-    links = store.written(_verified(own, near, rule), "links")
+    links = store.written(_verified(own, near, rule).union(_same_key(members, classes)), "links")
     comps = components(links)
-    named = classes.join(comps, classes["key"] == comps["node"], "left").select(*(classes[c] for c in ("key", "n", "matches", "prefix", "cells", "least")), F.coalesce("component", classes["key"]).alias("comp"))
+    named = classes.join(comps, classes["key"] == comps["node"], "left").select(*(classes[c] for c in ("key", "n", "matches", "prefix", "sketch", "least")), F.coalesce("component", classes["key"]).alias("comp"))
     far = store.written(_prefix_pairs(named, rule), "pairs")
+    labels = store.written(classes.select("a", "b", "n", "key"), "labels")
+    store.drop(classes)
     more = store.written(_verified(own, far, rule), "links")
     comps = components(links.union(more))
-    placed = classes.select("a", "b", "n", "key").join(comps, F.col("key") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "key").alias("component_id"))
-    done = signed.select("key", "n", "a", "b").join(placed, ["a", "b", "n"], "left")
+    placed = labels.join(comps, F.col("key") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "key").alias("component_id"))
+    done = members.join(placed.distinct(), ["a", "b", "n"], "left")
     return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
