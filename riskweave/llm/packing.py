@@ -32,13 +32,16 @@ WINDOW = 2048
 END_ID = 1
 CACHE = 1_000_000
 LONGEST = 200
+TOGETHER = 128
 
 
 class _Tokens:
-    """Token ids of texts; runs between single spaces are encoded once while the cache (at most ``CACHE``) holds them.
+    """Token ids of texts; runs from a single space to the next are encoded once while the cache holds them.
 
     The pattern of byte-level BPE never joins across a single space between other characters; texts with white space
-    beside white space, or a run over ``LONGEST``, are encoded whole.  A full cache keeps what came again."""
+    beside white space, special strings, or a run over ``LONGEST`` are encoded whole.  The cache knows a run by two 64-bit
+    hashes, in a sorted array, and its ids in a pool: at most ``CACHE`` runs, some 40 bytes each.  A full cache keeps what
+    came again."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,71 +51,117 @@ class _Tokens:
         self.encoder.encode_special_tokens = True
         self.special = tuple(t.content for t in self.encoder.get_added_tokens_decoder().values())
         self.double = re.compile(r"\s\s")
-        self.at: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
-        self.used = 0
+        names = self.encoder.get_vocab()
+        self.opens = np.zeros(max(names.values()) + 1, bool)  # ids that begin with a space
+        self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint32)
 
     @staticmethod
     def of_worker(vocabulary: str) -> _Tokens:
-        """The cache that tasks of one Python worker share, whichever function brought it."""
+        """The cache that tasks of one Python worker share: functions come to it by value, so a module holds it."""
         held = sys.modules.setdefault("riskweave_token_cache", ModuleType("riskweave_token_cache")).__dict__
         return held.setdefault(vocabulary, None) or held.update({vocabulary: _Tokens(vocabulary)}) or held[vocabulary]
 
     def _flat(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries one after another, and where each ends."""
-        sizes = self.sizes[which]
+        sizes = self.sizes[which].astype(np.int64)
         ends = np.cumsum(sizes)
         return self.pool[np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
     def _forget(self) -> None:
-        keep = np.flatnonzero(self.hits[: len(self.at)] > 1)
+        keep = np.flatnonzero(self.hits > 1)
         keep = keep if len(keep) < CACHE // 2 else keep[:0]
-        names = list(self.at)
-        flat, ends = self._flat(keep)
-        self.at = {names[i]: j for j, i in enumerate(keep.tolist())}
-        self.pool[: len(flat)], self.used = flat, len(flat)
-        n, sizes = len(keep), self.sizes[keep]
-        self.starts[:n], self.sizes[:n], self.hits[:n], self.hits[n:] = ends - sizes, sizes, 1, 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.encoder.encode_batch_fast(chunks, add_special_tokens=False)]
-        n, sizes = len(self.at), np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        for name, need in (("starts", n + len(chunks)), ("sizes", n + len(chunks)), ("hits", n + len(chunks)), ("pool", self.used + total)):
-            have = getattr(self, name)
-            if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(need, len(have) * 3 // 2) - len(have), have.dtype)]))
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.starts[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(chunks)] = sizes
-        self.used += total
-        self.at.update(zip(chunks, range(n, n + len(chunks))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.pool, ends = self._flat(keep)
+        self.one, self.two, self.sizes = self.one[keep], self.two[keep], self.sizes[keep]
+        self.starts, self.hits = ends - self.sizes, np.ones(len(keep), np.int32)
+
+    def _ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``runs`` and the number of each: many that begin with a space are encoded as one text."""
+        sizes = np.zeros(len(runs), np.int64)
+        found: list[np.ndarray | None] = [None] * -(-len(runs) // TOGETHER)
+        groups = [runs[i : i + TOGETHER] for i in range(0, len(runs), TOGETHER)]
+        for k, e in enumerate(self.encoder.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            edges = np.flatnonzero(self.opens[ids])
+            if groups[k][0][:1] != " " or len(edges) != len(groups[k]):  # a run at a row's start
+                each = [e.ids for e in self.encoder.encode_batch_fast(groups[k], add_special_tokens=False)]
+                ids, edges = np.fromiter(chain.from_iterable(each), np.uint32), np.cumsum([0, *map(len, each)])[:-1]
+            found[k] = ids
+            sizes[k * TOGETHER : (k + 1) * TOGETHER] = np.diff(np.append(edges, len(ids)))
+        return np.concatenate(found), sizes
+
+    def _learn(self, one: np.ndarray, two: np.ndarray, runs: list[str]) -> np.ndarray:
+        """Add entries; returns where all entries, old ones and then the new, are from here on."""
+        ids, sizes = self._ids(runs)
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, ids])
+        one = np.concatenate([self.one, one])
+        order = np.argsort(one, kind="stable")
+        self.one, self.two = one[order], np.concatenate([self.two, two])[order]
+        self.starts, self.sizes = np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes.astype(np.int32)])[order]
+        self.hits = np.concatenate([self.hits, np.zeros(len(sizes), np.int32)])[order]
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        return moved
+
+    def _find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The entry of each run, or -1."""
+        if not len(self.one):
+            return np.full(len(one), -1)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return np.where((self.one[at] == one) & (self.two[at] == two), at, -1)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of every text."""
-        out, split, rows = [np.zeros(0, np.uint32)] * len(texts), [], []
-        for i, text in enumerate(texts):
-            chunks = text.replace(" ", "\0 ").split("\0")
-            if not chunks[0]:
-                del chunks[0]
-            if "\0" in text or self.double.search(text) or any(s in text for s in self.special) or max(map(len, chunks), default=0) > LONGEST:
-                out[i] = np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
-            elif chunks:
-                split.append(chunks)
-                rows.append(i)
-        every = list(chain.from_iterable(split))
-        if not every:
+        data, offs = vec.text_buffer(column)
+        texts = column.to_pylist()
+        head = np.zeros(len(data) + 1, bool)
+        head[np.flatnonzero(data == 0x20)] = True
+        head[offs[:-1]] = True
+        starts = np.flatnonzero(head[:-1])
+        ends = np.append(starts[1:], len(data))
+        first = np.searchsorted(starts, offs)
+        longest = np.zeros(len(texts), np.int64)
+        filled = np.flatnonzero(np.diff(first))
+        if len(filled):
+            longest[filled] = np.maximum.reduceat(ends - starts, first[filled])
+        whole = [i for i, t in enumerate(texts) if t and (longest[i] > LONGEST or self.double.search(t) or any(s in t for s in self.special))]
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        for i, e in zip(whole, self.encoder.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = np.array(e.ids, np.uint32)
+        rows = np.setdiff1d(filled, whole)
+        counts = first[rows + 1] - first[rows]
+        use = np.repeat(first[rows] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        if not len(use):
             return out
-        if len(self.at) > CACHE:
+        if len(self.one) > CACHE:
             self._forget()
-        if new := [c for c in dict.fromkeys(every) if c not in self.at]:
-            self._learn(new)
-        which = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
-        self.hits += np.bincount(which, minlength=len(self.hits))
+        one, two = (vec.hashes(data, starts, ends, table)[use] for table in (vec.BYTES, vec.OTHER_BYTES))
+        which = self._find(one, two)
+        if len(new := np.flatnonzero(which < 0)):
+            known = len(self.one)
+            _, at, same = np.unique(one[new], return_index=True, return_inverse=True)
+            chosen = new[at]
+            runs = [data[starts[k] : ends[k]].tobytes().decode() for k in use[chosen]]
+            order = np.argsort([r[:1] != " " for r in runs], kind="stable")  # runs at a row's start come last
+            moved = self._learn(one[chosen[order]], two[chosen[order]], [runs[k] for k in order])
+            place = np.empty(len(order), np.int64)
+            place[order] = moved[known:]
+            which = np.where(which >= 0, moved[which], -1)
+            which[new] = np.where(two[new] == two[chosen][same], place[same], -1)
+        if (lost := which < 0).any():  # equal in one hash only: encoded on their own
+            for i in np.unique(np.repeat(rows, counts)[lost]):
+                out[i] = np.array(self.encoder.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            keep = ~np.isin(np.repeat(rows, counts), np.unique(np.repeat(rows, counts)[lost]))
+            rows, which = np.unique(np.repeat(rows, counts)[keep], return_counts=True), which[keep]
+            rows, counts = rows
+            if not len(rows):
+                return out
+        self.hits += np.bincount(which, minlength=len(self.hits)).astype(np.int32)
         flat, ends = self._flat(which)
-        edges = ends[np.cumsum([len(c) for c in split]) - 1]
-        for i, ids in zip(rows, np.split(flat, edges[:-1])):
+        for i, ids in zip(rows.tolist(), np.split(flat, ends[np.cumsum(counts) - 1][:-1])):
             out[i] = ids
         return out
 
@@ -126,7 +175,7 @@ def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool =
             texts = batch.column(1)
             for low, high in vec.spans(vec.text_buffer(texts)[1], 1 << 20):
                 rows, starts, sizes, sums, totals, kept = [], [], [], [], [], []
-                for i, found in enumerate(tokens.encode([t or "" for t in texts[low:high].to_pylist()]), low):
+                for i, found in enumerate(tokens.encode(texts.slice(low, high - low)), low):
                     ids = np.append(found, np.uint32(END_ID)).astype("<u4")
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]

@@ -15,6 +15,7 @@ _SLICE = 1 << 18
 _STEP = 0x9E3779B97F4A7C15
 _UNSTEP = pow(_STEP, -1, 1 << 64)
 BYTES = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_BYTES = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER_BYTES = BYTES.copy()
 LOWER_BYTES[65:91] = BYTES[97:123]
 _pow: dict[int, np.ndarray] = {}
