@@ -8,7 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from riskweave.llm import chat, decontamination, media, packing, pii, queries, sharding, toxicity, vec
 
 
+@settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n\t\x0b\x00Z", max_size=30)), max_size=8))
 def test_words_split_as_the_pattern_says(texts):
     data, offs = vec.text_buffer(pa.array(texts, pa.string()))
@@ -83,6 +84,7 @@ def base_truth(text):
     return out
 
 
+@settings(deadline=None)
 @given(st.text(alphabet="a@.-+_ 0127()é", max_size=60))
 def test_pii_base_matches_the_patterns(text):
     assert [x[:3] for x in pii.find_pii(text) if x[0] in pii.BASE_KINDS] == base_truth(text)
