@@ -1,13 +1,14 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Kinds, in this order: ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19 digits, Luhn), ``phone`` (+, 8 to 15
-digits) and ``iban`` (two letters, two digits, 11 to 30 more letters or digits in groups, mod 97 equal to 1).  Per kind
+digits) and ``iban`` (two letters, two digits, 11 to 30 more capitals or digits, single spaces between them, mod 97 equal to
+1; where the longest run fails, the one before its last space is tried, and so on).  Per kind
 the matches are leftmost and don't overlap; those that fail their check are dropped without another try.  Kinds may
 overlap.  Every pattern runs in linear time on any text: emails are grown from each ``@``, runs of digits are entered
 at their start only.
 
 A span's score starts from its kind's base, rises for a checksum and for a word of its kind within 40 characters, and
-falls for a word such as ``example``.  Null texts count as empty and have no span; positions are code points, end
+falls for a word such as ``example``; spans of ``LIKELY`` or more are those that a filter should act on.  Null texts count as empty and have no span; positions are code points, end
 exclusive; rows are treated alone, so repeated rows get equal spans; other columns pass through.
 """
 
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from riskweave.llm import store
+from riskweave.llm import store, vec
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
 CONTEXT = 40
+LIKELY = 0.5
 _BASE_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.5, "phone": 0.5, "iban": 0.5}
 _CHECKED = {"card": 0.3, "iban": 0.4}
 _NEAR = {
@@ -39,7 +41,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ODD = str.maketrans("0123456789", "0246813579")
 
 
@@ -94,9 +96,11 @@ def find_pii(text: str) -> list[tuple[str, int, int, float]]:
     """All spans of a text as (kind, start, end, score), by kind and start."""
     found = list(_base(text))
     for m in _IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            found.append(("iban", m.start(), m.end()))
+        shown = m[0]
+        while 15 <= len(account := shown.replace(" ", "")) and not mod97(account):
+            shown = shown.rpartition(" ")[0]
+        if len(account) >= 15:
+            found.append(("iban", m.start(), m.start() + len(shown)))
     out = []
     for kind, start, end in found:
         near = f"{text[max(0, start - CONTEXT) : start]} {text[end : end + CONTEXT]}"
@@ -115,8 +119,10 @@ def detect_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "score"), x)) for x in find_pii(t or "")] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind_of)], [*batch.schema.names, "__pii"])
+            for low, high in vec.spans(vec.text_buffer(batch.column(at))[1]):
+                part = batch.slice(low, high - low)
+                found = [[dict(zip(("kind", "start", "end", "score"), x)) for x in find_pii(t or "")] for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind_of)], [*part.schema.names, "__pii"])
 
     schema = StructType([*inner.schema.fields, StructField("__pii", ArrayType(span))])
     return inner.mapInArrow(run, schema).toDF(*docs.columns, store.fresh(docs, "pii"))

@@ -96,9 +96,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of_kind = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    likely = F.filter("pii", lambda x: x["score"] >= pii.LIKELY)
     base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE_KINDS))
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), joined(likely).alias("likely_spans"))
 
 
 OP4_SQL = r"""
@@ -151,10 +152,13 @@ SELECT node AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_i
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\r\n]+'), lambda x: x <> '') AS l FROM documents),
 starts AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d),
-runs AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS g FROM starts),
+every_line AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+runs AS (
+  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS g, 2 AS n FROM starts UNION ALL
+  SELECT doc_id, i, line, 1 FROM every_line WHERE len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 50),
 firsts AS (SELECT g, min(doc_id * 1000000 + i) AS place FROM runs GROUP BY g),
-later AS (SELECT r.doc_id, r.i FROM runs r JOIN firsts f ON r.g = f.g AND r.doc_id * 1000000 + r.i > f.place),
-covered AS (SELECT doc_id, i FROM later UNION SELECT doc_id, i + 1 FROM later),
+later AS (SELECT r.doc_id, r.i, r.n FROM runs r JOIN firsts f ON r.g = f.g AND r.doc_id * 1000000 + r.i > f.place),
+covered AS (SELECT doc_id, i FROM later UNION SELECT doc_id, i + 1 FROM later WHERE n = 2),
 single AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
 kept AS (
   SELECT s.doc_id, count(*) AS n, string_agg(s.line, chr(10) ORDER BY s.i) AS t

@@ -12,7 +12,8 @@ are shuffled once.
 3. Every group marks the units that its later windows cover.
 
 Work and shuffle follow the input: a frequent passage is one hash per group, no pairs of documents are formed, and the
-answers are bits.  Equal hashes stand for equal windows (64 bits, and the bits that chose the reducer).
+answers are bits.  Equal hashes stand for equal windows (64 bits, and the bits that chose the reducer).  Keys are whole
+numbers of 64 bits.
 """
 
 from __future__ import annotations
@@ -22,24 +23,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import store, vec
 
 _ANCHORS, _WINDOWS = 1, 2
+_ALONE = np.uint64(0x5851F42D4C957F2D)
 _PACKED = "__part int, __group int, __blob binary"
 
 
 @dataclass(frozen=True)
 class Search:
-    """How units, anchors and repeats are defined; ``ordered``: an earlier place in the same document counts, too."""
+    """How units, anchors and repeats are defined; ``ordered``: an earlier place in the same document counts, too; units of
+    ``alone`` words or more (0: none) are windows by themselves."""
 
     separators: np.ndarray
     length: int
     gram: int
     pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
     ordered: bool
+    alone: int = 0
 
 
 def fixed_blocks(block: int) -> Callable:
@@ -103,17 +108,19 @@ class _Group:
 
     def __init__(self, table: pa.Table, search: Search, text: str, key: str, bits: int):
         self.search, self.bits = search, bits
-        texts, keys = table.column(text), table.column(key).to_numpy(zero_copy_only=False)
+        texts, keys = table.column(text), table.column(key)
         data, offs = vec.text_buffer(texts)
-        keyed = np.array([k is not None and k == k for k in keys], bool)
-        self.keys = np.where(keyed, np.nan_to_num(keys.astype(np.float64), nan=0).astype(np.int64) if keys.dtype.kind in "fO" else keys, 0)
-        self.data, self.offs, self.keyed = data, offs, keyed
-        parts = []
+        self.keys = pc.fill_null(keys.cast(pa.int64()), 0).to_numpy()
+        self.data, self.offs, self.keyed = data, offs, keys.is_valid().to_numpy()
+        parts, alone = [], []
         starts, ends, firsts, at = [], [], [np.zeros(1, np.int64)], 0
         for low, high in vec.spans(offs):
             base = offs[low]
             s, e, f = vec.split(data[base : offs[high]], offs[low : high + 1] - base, search.separators)
             parts.append(vec.hashes(data[base : offs[high]], s, e))
+            if search.alone:
+                words = vec.split(data[base : offs[high]], offs[low : high + 1] - base, vec.SPACES)[0]
+                alone.append(np.searchsorted(words, e) - np.searchsorted(words, s) >= search.alone)
             starts.append(s + base)
             ends.append(e + base)
             firsts.append(f[1:] + at)
@@ -121,6 +128,7 @@ class _Group:
         self.starts, self.ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
         self.units = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.first = np.concatenate(firsts)
+        self.alone = np.concatenate(alone) if alone else np.zeros(len(self.units), bool)
         self.owner = np.repeat(np.arange(len(self.keys)), np.diff(self.first))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, list]:
@@ -147,8 +155,8 @@ class _Group:
         ]
         return at, which, rows, edges
 
-    def candidates(self, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows around shared anchors, their hashes, order by part and its edges."""
+    def candidates(self, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows around shared anchors, their lengths and hashes, order by part and its edges."""
         at, which, _, edges = self.anchors()
         shared = np.zeros(edges[-1], bool)
         for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -163,8 +171,14 @@ class _Group:
         start = start[good & (total[start + reach] > total[start])]
         value = vec.windows(self.units, length)[start] if len(start) else np.zeros(0, np.uint64)
         other = vec.windows(self.units, length, 0xA3EC647659359ACD)[start] if len(start) else value
+        size = np.full(len(start), length)
+        if self.search.alone:
+            one = np.flatnonzero(self.alone & self.keyed[self.owner])
+            own = self.units[one]
+            start, size = np.append(start, one), np.append(size, np.ones(len(one), np.int64))
+            value, other = np.append(value, vec.mix(own ^ _ALONE)), np.append(other, vec.mix(own ^ ~_ALONE))
         order, edges = _parts_of(other, self.bits)
-        return start, value, order, edges
+        return start, size, value, order, edges
 
 
 def _answers(replies: pa.Table) -> dict[tuple[int, int], bytes]:
@@ -264,7 +278,7 @@ def remove(docs: DataFrame, search: Search, join: Callable[[bytes, np.ndarray, n
             return _packed([])
         number = table.column("__group")[0].as_py()
         _, group = group_of(table)
-        start, value, order, edges = group.candidates(_answers(replies))
+        start, _, value, order, edges = group.candidates(_answers(replies))
         owner = group.owner[start]
         rows = []
         for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -278,14 +292,14 @@ def remove(docs: DataFrame, search: Search, join: Callable[[bytes, np.ndarray, n
             return out_schema.empty_table()
         table, group = group_of(table)
         answers = _answers(replies)
-        start, _, order, edges = group.candidates(answers)
+        start, size, _, order, edges = group.candidates(answers)
         later = np.zeros(len(start), bool)
         for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
             if b > a:
                 later[order[a:b]] = np.unpackbits(np.frombuffer(answers[_WINDOWS, p], np.uint8), count=b - a).astype(bool)
         cover = np.zeros(len(group.units) + 1, np.int64)
         np.add.at(cover, start[later], 1)
-        np.add.at(cover, start[later] + search.length, -1)
+        np.add.at(cover, start[later] + size[later], -1)
         keep = np.cumsum(cover[:-1]) == 0
         texts, first, data = [], group.first, group.data.tobytes()
         for i in range(table.num_rows):

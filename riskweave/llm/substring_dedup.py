@@ -4,8 +4,9 @@ Words are the runs between ASCII white space, unchanged.  A window is ``length``
 that lies in a window which also starts in a document of a smaller key is removed.
 
 Blocks of ``(length + 1) // 2`` words at their multiples are the index, and every rolling window of that many words
-probes it: 13 words hold a whole block of 7 wherever they begin.  Hits are extended to all windows around them, which
-makes maximal repeats of the runs, and each window is then compared exactly (see ``repeats``).
+probes it: 13 words hold a whole block of 7 wherever they begin.  Hits are extended both ways to all windows of
+``length`` around them; windows are compared by 64-bit hashes (see ``repeats``), and where they go on matching, their
+union is the maximal repeat.
 
 Null texts have no words; a text of fewer words than a window keeps all; copies of a text lose all their words but in
 the smallest document; rows of equal key don't shorten each other; rows of null key stay whole and shorten none; an
