@@ -2,7 +2,7 @@
 
 Features of a word (a run of letters, digits and non-ASCII bytes, A-Z lowered) are the word and its first 5 and 7
 bytes, hashed into ``2 ** BUCKET_BITS`` buckets.  Training counts, for each bucket, the toxic and the other documents
-that have it; of equal and nearly equal texts one counts.  A bucket's weight is the lower confidence bound of its log-odds under an
+that have it; of equal and nearly equal texts one counts, a toxic one if there is any.  A bucket's weight is the lower confidence bound of its log-odds under an
 informative Dirichlet prior (the overall counts, scaled); buckets whose bound isn't above ``LEAN`` count ``-DRIFT``.  Scoring sums weights over a text in one linear scan and finds all maximal scoring segments.  A segment's score S
 becomes an E-value K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 over the training words, K follows from
 the upper tail (quantile ``TAIL``) of the clean training documents' maxima under a Gumbel law.  A document's evidence is the sum of -ln E over
@@ -107,19 +107,19 @@ def _add(table: pa.Table) -> pa.Table:
 
 def _maximal(gain: list[float], before: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments over positive items: (first, last, score); before: the sum ahead of each item."""
-    kept: list[tuple[float, float, int, int]] = []
+    kept: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, first, last, the nearest that starts lower
     for i, (g, left) in enumerate(zip(gain, before)):
-        new = (left, left + g, i, i)
+        right, first, j = left + g, i, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= new[1]:
+            while j >= 0 and kept[j][0] >= left:
+                j = kept[j][4]
+            if j < 0 or kept[j][1] >= right:
                 break
-            new = (kept[j][0], new[1], kept[j][2], new[3])
+            left, _, first, _, lower = kept[j]
             del kept[j:]
-        kept.append(new)
-    return [(a, b, right - left) for left, right, a, b in kept]
+            j = lower
+        kept.append((left, right, first, i, j))
+    return [(a, b, right - left) for left, right, a, b, _ in kept]
 
 
 def _evidence(batch: pa.RecordBatch, text: str, weights: np.ndarray, rate: float, log_k: float):
@@ -133,6 +133,7 @@ def _evidence(batch: pa.RecordBatch, text: str, weights: np.ndarray, rate: float
         if not len(good):
             continue
         sums = np.concatenate([[0.0], np.cumsum(score, dtype=np.float64)])
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
         row = np.searchsorted(first, good, "right") - 1
         edges = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(good))):
@@ -145,7 +146,7 @@ def _evidence(batch: pa.RecordBatch, text: str, weights: np.ndarray, rate: float
                 sure = rate * s - size
                 total[low + r] += max(0.0, sure)
                 if sure > -math.log(SIGNIFICANT):
-                    head, tail = (len(data[offs[r] : p].tobytes().decode("utf-8", "replace")) for p in (starts[at[i]], ends[at[j]]))
+                    head, tail = (int(points[p] - points[offs[r]]) for p in (starts[at[i]], ends[at[j]]))
                     passages[low + r].append({"start": head, "end": tail, "evidence": sure})
     return best, words, total, passages
 
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     # Of fixed size, see the module's docstring; in the shared folder it is as large as ``rows`` whole texts.
     sample = own.join(F.broadcast(chosen), "key").select("text", "toxic").mapInArrow(_sketched, "text string, toxic int, a long, b long")
-    sample = store.written(sample.dropDuplicates(["a", "b"]).select("text", "toxic"), "toxic")
+    chosen = F.max_by(F.struct("text", "toxic"), F.struct("toxic", F.xxhash64("text"), "text"))
+    sample = store.written(sample.groupBy("a", "b").agg(chosen.alias("row")).select("row.text", "row.toxic"), "toxic")
     counts = sample.mapInArrow(_count, "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, counts binary").toArrow()
     size, step = 1 << BUCKET_BITS, 1 << BLOCK_BITS
     table = np.zeros((3, size), np.int64)
@@ -232,10 +234,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("evidence", DoubleType())])
     passage_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
     spark = docs.sparkSession
-    cast = spark.sparkContext.broadcast(model)
+    cast = spark.sparkContext.broadcast(model and (model.weights, model.rate, model.log_k, model.curve))  # executors need no class
 
     def run(batches):
-        own = cast.value
+        own = cast.value and Model(*cast.value)
         for batch in batches:
             if own is None:
                 x, passages = np.full(batch.num_rows, -np.inf), [[] for _ in range(batch.num_rows)]
