@@ -10,12 +10,15 @@ Only the partitions' counts and the matrix (partitions times shards, both set by
 broadcast.  Ranks in a shard are taken in ranges of the third hash, with the counts of the ranges before, so that no
 task sorts a whole shard.
 
-Null texts or keys are values like others; equal rows are dealt each on its own; an empty table gives an empty table;
+Null texts or keys are values like others; equal rows are counted and numbered first, and dealt each on its own, so that
+columns must be of types that can be grouped; an empty table gives an empty table;
 with fewer rows than shards some shards stay empty.  Other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,24 +26,36 @@ from pyspark.sql import functions as F
 from riskweave.llm import store
 
 SHARDS = 16
-_EXACT = 10**9
+CHUNK = 1 << 20
+
+
+def hypergeometric(good: int, bad: int, n: int, u: float) -> int:
+    """How many of ``n`` rows drawn from ``good`` and ``bad`` ones are good: the hypergeometric law inverted at ``u``.
+
+    Probabilities follow from the mode's by the law's own ratios, over all counts whose weight a 53-bit ``u`` can tell
+    (40 standard deviations and more), so that one rule holds for urns of any size."""
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+    share = good / (good + bad)
+    reach = 64 + int(40 * math.sqrt(n * share * (1 - share) * (good + bad - n) / max(1, good + bad - 1)))
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    up, down = np.arange(mode, high, dtype=np.float64), np.arange(mode, low, -1, dtype=np.float64)
+    rise = np.cumsum(np.log((good - up) * (n - up)) - np.log((up + 1) * (bad - n + up + 1)))
+    fall = np.cumsum(np.log(down * (bad - n + down)) - np.log((good - down + 1) * (n - down + 1)))
+    weight = np.cumsum(np.exp(np.concatenate([fall[::-1], [0.0], rise])))
+    return low + int(np.searchsorted(weight, u * weight[-1], "right").clip(0, high - low))
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """How many rows of each partition go to each shard; shard sizes differ by one at most.
 
-    Each partition's row splits off by halves of the shards, one hypergeometric draw each.  Beyond numpy's range (10^9
-    rows left) a draw takes the normal law of the same mean and variance, rounded and bounded, and sizes stay exact."""
+    Each partition's row splits off by halves of the shards, one hypergeometric draw each."""
     total = sum(counts)
     left = np.full(shards, total // shards, np.int64) + (np.arange(shards) < total % shards)
     rng = np.random.Generator(np.random.PCG64(seed))
 
     def draw(good: int, bad: int, n: int) -> int:
-        if good + bad < _EXACT:
-            return int(rng.hypergeometric(good, bad, n)) if good and bad and n else min(n, good)
-        share = good / (good + bad)
-        spread = (n * share * (1 - share) * (good + bad - n) / max(1, good + bad - 1)) ** 0.5
-        return int(min(n, good, max(0, n - bad, round(rng.normal(n * share, spread)))))
+        return hypergeometric(good, bad, n, float(rng.random())) if good and bad and n else min(n, good)
 
     out = np.zeros((len(counts), shards), np.int64)
 
@@ -65,7 +80,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     names = [f"__{i}" for i in range(len(docs.columns))]
     parts = 4 * store.partitions(spark)
     ranges = max(1, parts // shards)
-    row = docs.toDF(*names).withColumns({"__h": F.xxhash64(*names, F.lit(seed))})
+    counted = docs.toDF(*names).groupBy(*names).agg(F.count("*").alias("__n"))
+    numbered = lambda d, *c: d.select(*names, *c, F.explode(F.sequence(F.lit(1).cast("long"), F.least("__n", F.lit(CHUNK).cast("long")))).alias("__nth"))
+    # Equal rows are numbered; what a row repeats beyond a chunk is spread by chunks first.
+    chunks = counted.where(F.col("__n") > CHUNK).select(*names, "__n", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"(__n - 1) div {CHUNK}"))).alias("__c"))
+    chunks = chunks.repartition(parts, *names, "__c").withColumn("__n", F.col("__n") - F.col("__c") * CHUNK)
+    more = numbered(chunks, "__c").select(*names, (F.col("__nth") + F.col("__c") * CHUNK).alias("__nth"))
+    row = numbered(counted).unionByName(more)
+    row = row.withColumns({"__h": F.xxhash64(*names, "__nth", F.lit(seed))}).drop("__nth")
     row = row.withColumns({"__part": F.pmod("__h", F.lit(parts)).cast("int"), "__local": F.xxhash64("__h", F.lit(1)), "__order": F.xxhash64("__h", F.lit(2))})
     counts = {r[0]: r[1] for r in row.groupBy("__part").count().collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
