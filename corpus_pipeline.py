@@ -30,18 +30,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest key of every component of near copies; rows without a key stay."""
+    """The document of the smallest key of every component of near copies.
+
+    Rows without a key stay; of rows of one key all different texts stay, equal texts once."""
     linked = jaccard_join.join(docs)
-    first = linked.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    first = linked.where("doc_id = component_id").select("doc_id").distinct()
+    mark = store.fresh(docs, "__text")
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn(mark, F.xxhash64("text"))
+    once = kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    hit = store.written(found.select("doc_id").distinct(), "leaks")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; a row without a key goes by its text."""
+    mark = store.fresh(docs, "__key")
+    keyed = docs.withColumn(mark, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256)), F.lit("")))
+    found = decontamination.find_leaks(keyed, table(spark, sf_dir, "benchmark"), key=mark)
+    hit = store.written(found.select(mark).distinct(), "leaks")
+    return keyed.join(hit, mark, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
