@@ -18,11 +18,13 @@ SCHEMA = (
 )
 # Accounts of the checks, in natural order.
 ACCOUNTS = (
-    "revenue receivables profit_after_tax operating_cash_flow "
-    "fvtpl_assets fvtpl_gain afs_assets htm_assets margin_loans margin_impairment "
-    "gross_written_premium premium_receivables claims claims_reserve reinsurance_recoverables "
-    "total_loans npl_loans general_provision specific_provision"
+    "revenue trade_receivables profit_after_tax operating_cash_flow "
+    "fvtpl_assets fvtpl_unrealized_gain afs_assets htm_assets margin_lending margin_impairment "
+    "gross_written_premium premium_receivables claims_expense insurance_reserves reinsurance_recoverables reinsurance_payables "
+    "loans_to_customers npl_loans loan_loss_allowance general_provision specific_provision "
+    "loan_group_1 loan_group_2 loan_group_3 loan_group_4 loan_group_5"
 ).split()
+STANDARD, SECURITIES, INSURANCE, CREDIT = "standard_corporate", "securities", "insurance", "credit_institution"
 
 
 def cells(reports: DataFrame) -> DataFrame:
@@ -56,11 +58,12 @@ def pairs(reports: DataFrame) -> DataFrame:
 
 
 def wide_pairs(reports: DataFrame, bases: list[str] | None = None) -> DataFrame:
-    """Pairs with every account of both sides: ``x`` and ``x_prior``, and the report's disclosures."""
+    """Pairs with every account of both sides (null where a report doesn't show it): ``x`` and ``x_prior``, and the
+    report's disclosures."""
     own = amounts(reports, bases)
     prior = own.select(F.col("report_id").alias("prior"), *(F.col(a).alias(f"{a}_prior") for a in ACCOUNTS))
     told = reports.select(F.col("report_id").alias("target"), "notes", "spans")
-    return pairs(reports).join(own.withColumnRenamed("report_id", "target"), "target").join(prior, "prior").join(told, "target")
+    return pairs(reports).join(own.withColumnRenamed("report_id", "target"), "target", "left").join(prior, "prior", "left").join(told, "target")
 
 
 def _g(account: str) -> Column:
@@ -71,49 +74,140 @@ def _s(part: str, whole: str) -> Column:
     return share_bp(part, whole)
 
 
-#: (check, profile, needed accounts, metric in basis points, condition over ``m``): a null metric is no signal.
-def checks_of() -> list[tuple[str, str, list[str], Column, Column]]:
+def _notes(*kinds: str) -> Column:
+    return F.coalesce(F.size(F.filter("notes", lambda n: n["note_type"].isin(*kinds))), F.lit(0)).cast("long")
+
+
+def _says(text: Column, *words: str) -> Column:
+    found = F.lit(True)
+    for w in words:
+        found = found & F.lower(text).contains(w)
+    return found
+
+
+def narrative_tension() -> Column:
+    """Whether the first note speaks of receivables and cash collection, and the first explanation of revenue alone."""
+    note, told = F.try_element_at("notes", F.lit(1))["text"], F.try_element_at("spans", F.lit(1))["text"]
+    return _says(note, "receivable", "cash collection") & _says(told, "revenue") & ~_says(told, "receivable") & ~_says(told, "cash")
+
+
+def weak_explanation() -> Column:
+    """Whether profit moved by more than a fifth and the first explanation doesn't speak of it."""
+    told = F.try_element_at("spans", F.lit(1))["text"]
+    return (F.abs(_g("profit_after_tax")) > 2000) & ~(_says(told, "profit") | _says(told, "net income"))
+
+
+def weak_valuation_disclosure() -> Column:
+    return F.exists("notes", lambda n: _says(n["text"], "concentrated", "no issuer-level"))
+
+
+#: (signal, profile or any, accounts of both periods, of the report alone, disclosures, metric, condition over ``m``): metrics
+#: are basis points, counts or amounts; a null one is a zero base.
+def checks_of(dialect: str = "research") -> list[tuple]:
     m = F.col("m")
     profit, cash = F.col("profit_after_tax"), F.col("operating_cash_flow")
-    weak_cash = (cash < 0) | (_s("operating_cash_flow", "profit_after_tax") < 7000)
-    coverage = _s("(general_provision + specific_provision)", "npl_loans")
-    coverage_prior = _s("(general_provision_prior + specific_provision_prior)", "npl_loans_prior")
+    ratio = _s("operating_cash_flow", "profit_after_tax")
+    both = (profit > 0) & (cash < 0)
+    premium = ("insurance_premium_receivables_outpace_gwp", INSURANCE, ["gross_written_premium", "premium_receivables"], [], [], _g("premium_receivables") - _g("gross_written_premium"), m > 2000)
+    growth = [
+        ("revenue_growth_high", STANDARD, ["revenue"], [], [], _g("revenue"), m > 2000),
+        ("receivables_growth_outpaces_revenue", STANDARD, ["revenue", "trade_receivables"], [], [], _g("trade_receivables") - _g("revenue"), m > 1000),
+        ("positive_profit_negative_cfo", STANDARD, [], ["profit_after_tax", "operating_cash_flow"], [], ratio, both),
+        ("cfo_net_income_gap_high", STANDARD, [], ["profit_after_tax", "operating_cash_flow"], [], ratio, (m < 7000) & ~both),
+    ]
+    if dialect == "runtime":
+        npl = _s("npl_loans", "loans_to_customers") - _s("npl_loans_prior", "loans_to_customers_prior")
+        cover = _s("loan_loss_allowance", "npl_loans") - _s("loan_loss_allowance_prior", "npl_loans_prior")
+        return [
+            *growth,
+            ("securities_fvtpl_profit_bridge_high", SECURITIES, [], ["fvtpl_unrealized_gain", "profit_after_tax", "operating_cash_flow"], [], _s("abs(fvtpl_unrealized_gain)", "profit_after_tax"), (m > 3000) & ((cash < 0) | (ratio < 7000))),
+            premium,
+            ("credit_institution_npl_ratio_rising_without_coverage_improvement", CREDIT, ["npl_loans", "loans_to_customers", "loan_loss_allowance"], [], [], F.when(cover.isNotNull(), npl), (m > 100) & (cover <= 0)),
+            ("related_party_disclosure_present", "any", [], [], [], _notes("related_party_note"), m > 0),
+            ("accounting_policy_disclosure_present", "any", [], [], [], _notes("accounting_policy_change", "generic_accounting_policy"), m > 0),
+            ("variance_explanation_present", "any", [], [], [], F.coalesce(F.size("spans"), F.lit(0)).cast("long"), m > 0),
+        ]
+    groups = [f"loan_group_{i}" for i in range(1, 6)]
+    bad, all_loans = (" + ".join(f"{g}{{0}}" for g in gs) for gs in (groups[2:], groups))
+    quality = _s(f"({bad.format('')})", f"({all_loans.format('')})") - _s(f"({bad.format('_prior')})", f"({all_loans.format('_prior')})")
     provisions = growth_bp("(general_provision + specific_provision)", "(general_provision_prior + specific_provision_prior)")
-    margin, margin_prior = _s("margin_impairment", "margin_loans"), _s("margin_impairment_prior", "margin_loans_prior")
-    held = "(fvtpl_assets + afs_assets + htm_assets)"
-    exposure = F.floor((_g("gross_written_premium") + _g("claims")) / 2).cast("long")
+    margin, margin_prior = _s("margin_impairment", "margin_lending"), _s("margin_impairment_prior", "margin_lending_prior")
+    share = _s("fvtpl_assets", "(fvtpl_assets + afs_assets + htm_assets)")
+    exposure = F.floor((_g("gross_written_premium") + _g("claims_expense")) / 2).cast("long")
     return [
-        ("revenue_growth_high", "any", ["revenue"], _g("revenue"), m > 2000),
-        ("receivables_growth_outpaces_revenue", "any", ["revenue", "receivables"], _g("receivables") - _g("revenue"), m > 1000),
-        ("positive_profit_negative_cfo", "any", ["profit_after_tax", "operating_cash_flow"], _s("operating_cash_flow", "profit_after_tax"), (profit > 0) & (cash < 0)),
-        ("cfo_net_income_gap_high", "any", ["profit_after_tax", "operating_cash_flow"], _s("operating_cash_flow", "profit_after_tax"), (m < 7000) & ~((profit > 0) & (cash < 0))),
-        ("fvtpl_profit_bridge_high", "securities", ["fvtpl_gain", "profit_after_tax", "operating_cash_flow"], _s("abs(fvtpl_gain)", "profit_after_tax"), (m > 3000) & weak_cash),
-        ("noncash_gain_supports_profit", "securities", ["fvtpl_gain", "profit_after_tax", "operating_cash_flow"], _s("fvtpl_gain", "profit_after_tax"), (m > 3000) & (profit > 0) & (cash < 0)),
-        ("margin_provision_gap", "securities", ["margin_loans", "margin_impairment"], _g("margin_loans") - _g("margin_impairment"), (m > 1500) & (margin < margin_prior)),
-        ("trading_book_concentration", "securities", ["fvtpl_assets", "afs_assets", "htm_assets"], _s("fvtpl_assets", held), (m > 6000) & (_g("fvtpl_assets") > 2000)),
-        ("premium_receivables_outpace_premium", "insurance", ["gross_written_premium", "premium_receivables"], _g("premium_receivables") - _g("gross_written_premium"), m > 2000),
-        ("reserve_growth_lags_exposure", "insurance", ["gross_written_premium", "claims", "claims_reserve"], exposure - _g("claims_reserve"), m > 2000),
-        ("recoverables_expand_with_weak_cash", "insurance", ["reinsurance_recoverables", "operating_cash_flow"], _g("reinsurance_recoverables"), (m > 3000) & (cash < 0)),
-        ("npl_ratio_rising_without_coverage", "bank", ["npl_loans", "total_loans", "general_provision", "specific_provision"], _s("npl_loans", "total_loans") - _s("npl_loans_prior", "total_loans_prior"), (m > 100) & (coverage <= coverage_prior)),
-        ("loan_quality_deterioration", "bank", ["npl_loans", "total_loans"], _s("npl_loans", "total_loans") - _s("npl_loans_prior", "total_loans_prior"), m > 75),
-        ("provision_growth_lags_loans", "bank", ["total_loans", "general_provision", "specific_provision"], _g("total_loans") - provisions, m > 1000),
+        *growth[:3],
+        ("disclosure_narrative_tension", STANDARD, [], [], ["notes", "spans"], narrative_tension().cast("long"), m > 0),
+        ("variance_explanation_weak_connection", STANDARD, ["profit_after_tax"], [], ["spans"], _g("profit_after_tax"), weak_explanation()),
+        ("loan_quality_deterioration", CREDIT, groups, [], [], quality, m > 75),
+        ("provision_growth_lags_risk_assets", CREDIT, ["loans_to_customers", "general_provision", "specific_provision"], [], [], _g("loans_to_customers") - provisions, m > 1000),
+        ("ctck_margin_book_provision_gap", SECURITIES, ["margin_lending", "margin_impairment"], [], [], _g("margin_lending") - _g("margin_impairment"), (m > 1500) & (margin < margin_prior)),
+        ("ctck_trading_book_valuation_concentration_with_weak_disclosure", SECURITIES, ["fvtpl_assets", "afs_assets", "htm_assets"], [], [], share, (m > 6000) & (_g("fvtpl_assets") > 2000) & weak_valuation_disclosure()),
+        ("ctck_profit_supported_by_noncash_fvtpl_with_weak_cash_support", SECURITIES, [], ["fvtpl_unrealized_gain", "profit_after_tax", "operating_cash_flow"], [], _s("fvtpl_unrealized_gain", "profit_after_tax"), (m > 3000) & both),
+        ("ctck_fvtpl_volatility_context_only", SECURITIES, [], ["fvtpl_unrealized_gain"], ["notes"], F.col("fvtpl_unrealized_gain"), F.lit(False)),
+        premium,
+        ("claims_reserve_growth_lags_claims_and_premium_exposure", INSURANCE, ["gross_written_premium", "claims_expense", "insurance_reserves"], [], [], exposure - _g("insurance_reserves"), m > 2000),
+        ("reinsurance_recoverables_expand_with_weak_cash_support", INSURANCE, ["reinsurance_recoverables"], ["operating_cash_flow"], [], _g("reinsurance_recoverables"), (m > 3000) & (cash < 0)),
     ]
 
 
-def run_checks(reports: DataFrame, bases: list[str] | None = None) -> DataFrame:
-    """A row for every pair and check of its profile: status (``flagged``, ``clear`` or why it abstains), metric_bp.
+def run_checks(reports: DataFrame, bases: list[str] | None = None, dialect: str = "research") -> DataFrame:
+    """A row for every pair and check: status (``flagged``, ``clear`` or why it abstains), metric_bp.
 
-    One pass over the wide pairs; ordered reasons to abstain: missing accounts, then a zero base."""
-    rows = []
-    for name, profile, needed, metric, condition in checks_of():
+    One pass over the wide pairs; ordered reasons to abstain: another profile (``runtime`` says so, ``research`` leaves
+    such checks out), missing evidence, then a zero base."""
+    suite, rows = checks_of(dialect), []
+    for name, profile, two, one, told, metric, _ in suite:
         missing = F.lit(False)
-        for account in needed:
-            missing = missing | F.col(account).isNull() | F.col(f"{account}_prior").isNull()
+        for account in [*two, *one]:
+            missing = missing | F.col(account).isNull()
+        for account in two:
+            missing = missing | F.col(f"{account}_prior").isNull()
+        for surface in told:
+            missing = missing | (F.coalesce(F.size(surface), F.lit(0)) <= 0)
         rows.append(F.struct(F.lit(name).alias("check"), F.lit(profile).alias("for_profile"), missing.alias("missing"), metric.alias("m")))
-    stacked = wide_pairs(reports, bases).withColumn("c", F.explode(F.array(*rows))).select("*", "c.*").where("for_profile in ('any', profile)")
-    flagged = F.coalesce(*(F.when(F.col("check") == name, F.coalesce(condition, F.lit(False))) for name, _, _, _, condition in checks_of()))
-    status = first_failing((F.col("missing"), "missing_evidence"), (F.col("m").isNull(), "zero_denominator"), (flagged, "flagged"), default="clear")
-    return stacked.select("target", "prior", "profile", "check", F.when(~F.col("missing"), F.col("m")).alias("metric_bp"), status.alias("status"))
+    stacked = wide_pairs(reports, bases).withColumn("c", F.explode(F.array(*rows))).select("*", "c.*")
+    other = ~F.col("for_profile").isin("any") & (F.col("for_profile") != F.col("profile"))
+    stacked = stacked if dialect == "runtime" else stacked.where(~other)
+    flagged = F.coalesce(*(F.when(F.col("check") == name, F.coalesce(condition, F.lit(False))) for name, *_, condition in suite))
+    status = first_failing((other, "wrong_profile"), (F.col("missing"), "missing_evidence"), (F.col("m").isNull(), "zero_denominator"), (flagged, "flagged"), default="clear")
+    return stacked.select("target", "prior", "profile", "check", F.when(~F.col("missing") & ~other, F.col("m")).alias("metric_bp"), status.alias("status"))
+
+
+#: (tool, accounts of both periods, disclosures): sixteen tools; a tool's first word names its profile.
+TOOLS = (
+    ("standard_corporate_revenue_growth_tool", ["revenue"], []),
+    ("standard_corporate_receivables_vs_revenue_growth_tool", ["revenue", "trade_receivables"], []),
+    ("standard_corporate_earnings_cashflow_mismatch_tool", ["profit_after_tax", "operating_cash_flow"], []),
+    ("standard_corporate_disclosure_consistency_tool", [], ["notes", "spans"]),
+    ("standard_corporate_variance_explanation_quality_tool", ["profit_after_tax"], ["spans"]),
+    ("standard_corporate_related_party_exposure_tool", [], ["related_party_note"]),
+    ("standard_corporate_accounting_policy_change_tool", [], ["accounting_policy_change"]),
+    ("credit_institution_loan_quality_tool", [f"loan_group_{i}" for i in range(1, 6)], []),
+    ("credit_institution_provision_movement_tool", ["loans_to_customers", "general_provision", "specific_provision"], []),
+    ("ctck_margin_book_quality_tool", ["margin_lending", "margin_impairment"], []),
+    ("ctck_trading_book_valuation_bridge_tool", ["fvtpl_assets", "afs_assets", "htm_assets"], []),
+    ("ctck_earnings_cash_bridge_tool", ["profit_after_tax", "operating_cash_flow", "fvtpl_unrealized_gain"], []),
+    ("ctck_disclosure_consistency_tool", ["fvtpl_unrealized_gain"], ["notes"]),
+    ("insurance_premium_receivable_coherence_tool", ["gross_written_premium", "premium_receivables"], []),
+    ("insurance_reserve_movement_tool", ["gross_written_premium", "claims_expense", "insurance_reserves"], []),
+    ("insurance_reinsurance_balance_tool", ["reinsurance_recoverables", "reinsurance_payables", "operating_cash_flow"], []),
+)
+PROFILE_OF = (("credit_institution_", CREDIT), ("ctck_", SECURITIES), ("insurance_", INSURANCE), ("", STANDARD))
+
+
+def gating(reports: DataFrame, bases: list[str] | None = None) -> DataFrame:
+    """A row for every pair and tool: enabled, or disabled for its profile, its accounts (named) or its disclosures."""
+    rows = []
+    for tool, accounts, told in TOOLS:
+        own = next(name for start, name in PROFILE_OF if tool.startswith(start))
+        missing = F.array_compact(F.array(*(F.when(F.col(a).isNull() | F.col(f"{a}_prior").isNull(), F.lit(a)) for a in accounts))) if accounts else F.array().cast("array<string>")
+        shown = F.lit(True)
+        for kind in told:
+            shown = shown & ((F.coalesce(F.size(kind), F.lit(0)) > 0) if kind in ("notes", "spans") else (_notes(kind) > 0))
+        rows.append(F.struct(F.lit(tool).alias("tool"), F.lit(own).alias("for_profile"), missing.alias("lost"), shown.alias("shown")))
+    out = wide_pairs(reports, bases).withColumn("t", F.explode(F.array(*rows))).select("target", "prior", "profile", "t.*")
+    status = first_failing((F.col("profile") != F.col("for_profile"), "disabled_not_applicable"), (F.size("lost") > 0, "disabled_missing_context"), (~F.col("shown"), "skipped_missing_disclosure_context"), default="enabled")
+    return out.select("target", "prior", "tool", status.alias("status"), F.when(F.col("profile") == F.col("for_profile"), F.array_join("lost", ", ")).otherwise("").alias("missing"))
 
 
 def support(findings: DataFrame) -> DataFrame:
@@ -125,12 +219,14 @@ def support(findings: DataFrame) -> DataFrame:
 
 
 def packets(findings: DataFrame, cap: int = 5) -> DataFrame:
-    """Flagged findings of a report by check name, the first ``cap`` kept, with the packet's id and what was omitted."""
+    """Flagged findings of a report by check name: the first ``cap`` in a packet, the others as ``omitted`` rows' names; the
+    packets of a company (what precedes the year in a report's id) are numbered by report."""
     spot = Window.partitionBy("target").orderBy("check")
     rows = findings.where("status = 'flagged'").withColumn("n", F.row_number().over(spot))
-    out = rows.groupBy("target").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= cap, F.col("check")))).alias("checks"), F.count("*").alias("found"))
-    number = F.row_number().over(Window.partitionBy(F.substring_index("target", ":", 1)).orderBy("target"))
-    return out.select(F.format_string("PACKET_%s_%03d", "target", number).alias("packet_id"), "target", "checks", (F.col("found") - F.size("checks")).cast("long").alias("omitted"))
+    listed = lambda kept: F.array_sort(F.collect_list(F.when(kept, F.col("check"))))
+    out = rows.groupBy("target").agg(listed(F.col("n") <= cap).alias("checks"), listed(F.col("n") > cap).alias("omitted"))
+    number = F.row_number().over(Window.partitionBy(F.regexp_replace("target", r"\d{4}.*$", "")).orderBy("target"))
+    return out.select(F.format_string("PACKET_%s_%03d", "target", number).alias("packet_id"), "target", "checks", "omitted")
 
 
 def quality(reports: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """Queries over the shared tables, with the DuckDB SQL that says the same."""
 
-from riskweave.plans import evidence, market, records
+from riskweave.plans import assessments, evidence, market, records, texts
 
-MODULES = (market, evidence, records)
+MODULES = (market, evidence, records, texts, assessments)
