@@ -54,14 +54,17 @@ class _Tokens:
         names = self.encoder.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)  # ids that begin with a space
         self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+        self.clear()
+
+    def clear(self) -> None:
         self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.sizes, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     @staticmethod
     def of_worker(vocabulary: str) -> _Tokens:
-        """The cache that tasks of one Python worker share: functions come to it by value, so a module holds it."""
-        held = sys.modules.setdefault("riskweave_token_cache", ModuleType("riskweave_token_cache")).__dict__
+        """The encoder that tasks of one Python worker share: functions come to it by value, so a module holds it."""
+        held = sys.modules.setdefault("riskweave_encoders", ModuleType("riskweave_encoders")).__dict__
         return held.setdefault(vocabulary, None) or held.update({vocabulary: _Tokens(vocabulary)}) or held[vocabulary]
 
     def _flat(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +191,7 @@ def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool =
                             kept.append(piece.astype(np.int32))
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, sizes, sums, totals))]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names)
+        tokens.clear()  # a task's cache goes with it
 
     names = ["key", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     kind = docs.schema[key].dataType.simpleString()

@@ -55,7 +55,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return (raw[offs[0] : offs[-1]], offs - offs[0]) if len(offs) else (raw[:0], np.zeros(1, np.int64))
 
 
-def spans(offs: np.ndarray, limit: int = 4 << 20) -> list[tuple[int, int]]:
+def spans(offs: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, int]]:
     """Runs of rows of at most ``limit`` bytes each; a longer row stands alone."""
     out, at = [], 0
     while at < len(offs) - 1:
