@@ -108,7 +108,7 @@ def checks_of(dialect: str = "research") -> list[tuple]:
     profit, cash = F.col("profit_after_tax"), F.col("operating_cash_flow")
     ratio = _s("operating_cash_flow", "profit_after_tax")
     both = (profit > 0) & (cash < 0)
-    premium = ("insurance_premium_receivables_outpace_gwp", INSURANCE, ["gross_written_premium", "premium_receivables"], [], [], _g("premium_receivables") - _g("gross_written_premium"), m > 2000)
+    premium = ("insurance_premium_receivables_outpace_gwp" if dialect == "runtime" else "premium_receivables_growth_outpaces_premium_growth", INSURANCE, ["gross_written_premium", "premium_receivables"], [], [], _g("premium_receivables") - _g("gross_written_premium"), m > 2000)
     growth = [
         ("revenue_growth_high", STANDARD, ["revenue"], [], [], _g("revenue"), m > 2000),
         ("receivables_growth_outpaces_revenue", STANDARD, ["revenue", "trade_receivables"], [], [], _g("trade_receivables") - _g("revenue"), m > 1000),
@@ -210,6 +210,43 @@ def gating(reports: DataFrame, bases: list[str] | None = None) -> DataFrame:
     return out.select("target", "prior", "tool", status.alias("status"), F.when(F.col("profile") == F.col("for_profile"), F.array_join("lost", ", ")).otherwise("").alias("missing"))
 
 
+# Candidates of both dialects: name, risk category, priority, and the signals that must all be flagged.
+CANDIDATES = {
+    "runtime": (
+        ("REV_REC", "revenue_income_recognition_risk", "high", ["revenue_growth_high", "receivables_growth_outpaces_revenue"]),
+        ("CASH", "earnings_cashflow_mismatch", "high", ["positive_profit_negative_cfo"]),
+        ("CASH", "earnings_cashflow_mismatch", "high", ["cfo_net_income_gap_high"]),
+        ("SEC_FVTPL_CASH", "earnings_cashflow_mismatch", "high", ["securities_fvtpl_profit_bridge_high"]),
+        ("INS_PREM_REC", "receivables_credit_quality_risk", "high", ["insurance_premium_receivables_outpace_gwp"]),
+        ("BANK_LOAN", "receivables_credit_quality_risk", "high", ["credit_institution_npl_ratio_rising_without_coverage_improvement"]),
+        ("RELATED", "related_party_disclosure_risk", "medium", ["related_party_disclosure_present"]),
+        ("POLICY", "disclosure_inconsistency_or_obfuscation", "medium", ["accounting_policy_disclosure_present"]),
+        ("VARIANCE", "disclosure_inconsistency_or_obfuscation", "medium", ["variance_explanation_present"]),
+    ),
+    "research": (
+        ("REV_REC", "revenue_income_recognition_risk", "high", ["revenue_growth_high", "receivables_growth_outpaces_revenue"]),
+        ("EARN_CASH", "earnings_cashflow_mismatch", "high", ["positive_profit_negative_cfo"]),
+        ("DISC_VAR", "disclosure_inconsistency_or_obfuscation", "medium", ["disclosure_narrative_tension", "variance_explanation_weak_connection"]),
+        ("LOAN_QUALITY", "receivables_credit_quality_risk", "high", ["loan_quality_deterioration"]),
+        ("PROVISION", "expense_liability_understatement_risk", "high", ["provision_growth_lags_risk_assets"]),
+        ("MARGIN_BOOK", "receivables_credit_quality_risk", "high", ["ctck_margin_book_provision_gap"]),
+        ("TRADING_VAL", "asset_quality_valuation_risk", "high", ["ctck_trading_book_valuation_concentration_with_weak_disclosure"]),
+        ("EARN_CASH", "earnings_cashflow_mismatch", "high", ["ctck_profit_supported_by_noncash_fvtpl_with_weak_cash_support"]),
+        ("PREM_REC", "receivables_credit_quality_risk", "high", ["premium_receivables_growth_outpaces_premium_growth"]),
+        ("RESERVE_MOVE", "expense_liability_understatement_risk", "high", ["claims_reserve_growth_lags_claims_and_premium_exposure"]),
+        ("REINS_CASH", "earnings_cashflow_mismatch", "high", ["reinsurance_recoverables_expand_with_weak_cash_support"]),
+    ),
+}
+
+
+def candidates(findings: DataFrame, dialect: str = "research") -> DataFrame:
+    """Candidates of a report: rules all of whose signals are flagged (a relational division by the set of flags)."""
+    flags = findings.where("status = 'flagged'").groupBy("target").agg(F.collect_set("check").alias("flags"))
+    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("risk_category"), F.lit(p).alias("priority"), F.array(*map(F.lit, s)).alias("signals")) for n, c, p, s in CANDIDATES[dialect]))
+    out = flags.select("target", "flags", F.explode(rules).alias("r")).where(F.size(F.array_except("r.signals", "flags")) == 0)
+    return out.select("target", F.concat(F.lit("CAND_"), "target", F.lit("_"), "r.name", F.lit("_001")).alias("candidate_id"), "r.risk_category", "r.priority", F.array_join("r.signals", ",").alias("signals")).dropDuplicates(["target", "candidate_id"])
+
+
 def support(findings: DataFrame) -> DataFrame:
     """Per pair, by the number of flagged checks (2 or more, 1, none): support level, confidence in percent, severity."""
     n = F.col("n_flagged")
