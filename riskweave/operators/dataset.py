@@ -51,12 +51,16 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def apportion(counts: DataFrame, count: str, shares: list[tuple[str, int]]) -> DataFrame:
-    """(split, n): a total dealt by shares in percent with the largest remainder method; ties by order of the list."""
+    """(split, n): a total dealt by shares, which need not sum to 100, with the largest remainder method; ties go to the
+    greater name; without a positive share all goes to the first split."""
+    shares = [(name, max(p, 0)) for name, p in shares]
+    whole = sum(p for _, p in shares) or 1
+    shares = shares if any(p for _, p in shares) else [(name, int(i == 0)) for i, (name, _) in enumerate(shares)]
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(name).alias("split"), F.lit(p).cast("long").alias("percent")) for i, (name, p) in enumerate(shares)))).alias("s")
     total = counts.agg(F.sum(count).cast("long").alias("total")).select("total", rows).select("total", "s.*")
-    base = total.withColumn("base", F.expr("total * percent div 100")).withColumn("rest", F.expr("total * percent % 100"))
+    base = total.withColumn("base", F.expr(f"total * percent div {whole}")).withColumn("rest", F.expr(f"total * percent % {whole}"))
     left = F.max("total").over(Window.partitionBy()) - F.sum("base").over(Window.partitionBy())
-    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), "rank"))
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), F.desc("split")))
     return base.select("split", (F.col("base") + F.when(place <= left, 1).otherwise(0)).cast("long").alias("n"))
 
 

@@ -1,5 +1,5 @@
 """Queries over the shared tables, with the DuckDB SQL that says the same."""
 
-from riskweave.plans import assessments, evidence, filings, market, records, texts
+from riskweave.plans import assessments, curation, evidence, filings, market, records, texts
 
-MODULES = (market, evidence, records, texts, assessments, filings)
+MODULES = (market, evidence, records, texts, assessments, filings, curation)

@@ -202,7 +202,7 @@ SQL = {
     "exact_text_hash_groups": f"SELECT {_HASH} AS hash, min(doc_id) AS group_id, count(*) AS n FROM documents GROUP BY 1",
     "duplicate_keys": "SELECT sha256(text) AS hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "split_assign_hash": f"{_SPLIT} SELECT doc_id, split FROM s",
-    "split_apportion": "WITH t AS (SELECT count(*) AS n FROM documents), b AS (SELECT i, split, n * p // 100 AS base, n * p % 100 AS rest, n FROM t CROSS JOIN (SELECT 0 AS i, 'train' AS split, 80 AS p UNION ALL SELECT 1, 'validation', 10 UNION ALL SELECT 2, 'test', 10)) SELECT split, CAST(base + CASE WHEN row_number() OVER (ORDER BY rest DESC, i) <= n - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS BIGINT) AS n FROM b",
+    "split_apportion": "WITH t AS (SELECT count(*) AS n FROM documents), b AS (SELECT i, split, n * p // 100 AS base, n * p % 100 AS rest, n FROM t CROSS JOIN (SELECT 0 AS i, 'train' AS split, 80 AS p UNION ALL SELECT 1, 'validation', 10 UNION ALL SELECT 2, 'test', 10)) SELECT split, CAST(base + CASE WHEN row_number() OVER (ORDER BY rest DESC, split DESC) <= n - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS BIGINT) AS n FROM b",
     "cross_split_leakage": f"{_SPLIT} SELECT {_HASH} AS hash, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "identity_components": f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 i AS (SELECT doc_id, {_HASH} AS identity FROM documents UNION SELECT doc_id, sha256({_NORM.format('line')}) FROM l WHERE length(line) >= 200),
