@@ -21,3 +21,21 @@ def split_at_cap(rows: DataFrame, keys: list[str], cap: int, *order: Column) ->
 def round_robin(rows: DataFrame, batch: str, *order: Column) -> DataFrame:
     """Rows with ``turn``: their place when batches take turns, one row each."""
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(batch).orderBy(*order)))
+
+
+def interleaved(rows: DataFrame, batch: str, *order: Column) -> DataFrame:
+    """Rows with ``turn`` and ``place``: the order in which batches take turns, from 1.
+
+    A turn's places follow those of the turns before, which are counted: one row for each turn."""
+    turns = round_robin(rows, batch, *order)
+    sizes = turns.groupBy("turn").agg(F.count("*").alias("__n"))
+    before = sizes.select("turn", F.coalesce(F.sum("__n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = turns.join(before, "turn").withColumn("place", F.col("__before") + F.row_number().over(Window.partitionBy("turn").orderBy(batch)))
+    return placed.drop("__before")
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, to be broadcast: an error if there are more than ``most``."""
+    if len(rows.head(most + 1)) > most:
+        raise ValueError(f"more than {most} rows are no small side")
+    return F.broadcast(rows)

@@ -27,7 +27,7 @@ def evidence_dedupe_keep_first(spark, sf):
 
 
 def group_by_first_link(spark, sf):
-    """Orders grouped by the part of their first line; groups numbered by first appearance."""
+    """Orders grouped by the part of their first line, with the order where each group first appears."""
     first = ranking.best(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], F.col("l_linenumber"), F.col("l_partkey"))
     return first.groupBy("l_partkey").agg(F.count("*").alias("n_orders"), F.min("l_orderkey").alias("first_order"))
 
@@ -40,15 +40,16 @@ def ordered_distinct_list(spark, sf):
 
 
 def ref_integrity_violations(spark, sf):
-    """Lines of open orders whose order isn't among the visible ones (urgent orders are hidden)."""
+    """Lines whose order isn't among the visible ones (urgent orders are hidden)."""
     visible = read(spark, sf, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return integrity.unresolved(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), visible, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
 
 
 def missing_extra_keys(spark, sf):
-    cited = read(spark, sf, "orders").where("o_custkey % 7 <> 0").select(F.col("o_custkey").alias("custkey"))
-    known = read(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("custkey"))
-    return integrity.key_difference(cited, known, ["custkey"])
+    """Suppliers of lines against suppliers of parts' sizes: keys that one side alone has."""
+    cited = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"))
+    known = read(spark, sf, "part").select((F.col("p_size") * 2).cast("long").alias("key"))
+    return integrity.key_difference(cited, known, ["key"])
 
 
 def required_field_violations(spark, sf):
@@ -88,14 +89,15 @@ def latest_per_identity(spark, sf):
 
 
 def interleave_round_robin(spark, sf):
-    turns = ranking.round_robin(read(spark, sf, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", F.col("s_suppkey"))
-    return turns.select("s_nationkey", "s_suppkey", "turn")
+    """Nations' suppliers in turns: whose turn, and the place in the whole order."""
+    turns = ranking.interleaved(read(spark, sf, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", F.col("s_suppkey"))
+    return turns.select("s_nationkey", "s_suppkey", "turn", "place")
 
 
 def scenario_cross(spark, sf):
     """Every region with every nation, ordered like a Latin square."""
     regions, nations = read(spark, sf, "region").select("r_regionkey"), read(spark, sf, "nation").select("n_nationkey")
-    crossed = regions.select("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n_nationkey")).join(F.broadcast(nations), "n_nationkey")  # 25 nations
+    crossed = regions.crossJoin(ranking.bounded(nations, 10_000))
     return crossed.select("r_regionkey", "n_nationkey", F.pmod(F.col("n_nationkey") - F.col("r_regionkey"), F.lit(4)).cast("int").alias("turn"))
 
 
@@ -127,9 +129,10 @@ def basis_family_match(spark, sf):
 
 def suffix_repair(spark, sf):
     """References that lack their prefix, repaired where exactly one visible id ends with them: an equi-join on the suffix."""
-    lines = read(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
-    visible = lines.select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("full"), F.col("l_partkey").cast("string").alias("suffix"))
-    refs = read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("suffix"))
+    local = lambda part, number: F.concat_ws("-", F.col(part).cast("string"), F.col(number).cast("string"))
+    lines = read(spark, sf, "lineitem")
+    visible = lines.select(F.concat_ws(":", F.col("l_orderkey").cast("string"), local("l_partkey", "l_linenumber")).alias("full"), local("l_partkey", "l_linenumber").alias("suffix"))
+    refs = read(spark, sf, "part").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(local("p_partkey", "n").alias("suffix"))
     found = refs.join(visible.distinct(), "suffix", "left").groupBy("suffix").agg(F.count("full").alias("n"), F.min("full").alias("full"))
     return found.select("suffix", checks.first_failing((F.col("n") == 0, "missing"), (F.col("n") > 1, "ambiguous"), default="repaired").alias("status"), F.when(F.col("n") == 1, F.col("full")).alias("repaired"))
 
@@ -187,20 +190,20 @@ SQL = {
     "group_by_first_link": "SELECT l_partkey, count(*) AS n_orders, min(l_orderkey) AS first_order FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1 GROUP BY l_partkey",
     "ordered_distinct_list": "SELECT user_id, string_agg(event_type, '>' ORDER BY a) AS types FROM (SELECT user_id, event_type, min(event_id) AS a FROM events GROUP BY user_id, event_type) GROUP BY user_id",
     "ref_integrity_violations": "SELECT l_orderkey, count(*) AS n_lines FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority <> '1-URGENT') GROUP BY l_orderkey",
-    "missing_extra_keys": "WITH a AS (SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_custkey % 7 <> 0), b AS (SELECT c_custkey AS custkey FROM customer WHERE c_custkey % 5 <> 0) SELECT custkey, 'missing' AS side FROM (SELECT custkey FROM a EXCEPT SELECT custkey FROM b) UNION ALL SELECT custkey, 'extra' FROM (SELECT custkey FROM b EXCEPT SELECT custkey FROM a)",
+    "missing_extra_keys": "WITH a AS (SELECT DISTINCT l_suppkey AS key FROM lineitem), b AS (SELECT DISTINCT CAST(p_size * 2 AS BIGINT) AS key FROM part) SELECT key, 'missing' AS side FROM (SELECT key FROM a EXCEPT SELECT key FROM b) UNION ALL SELECT key, 'extra' FROM (SELECT key FROM b EXCEPT SELECT key FROM a)",
     "required_field_violations": _RULES,
     "reason_histogram": f"SELECT code, count(*) AS n FROM ({_RULES}) GROUP BY code",
     "manifest_reconcile": "WITH o AS (SELECT year(o_orderdate) AS y, o_orderstatus, o_orderkey FROM orders), e AS (SELECT y, o_orderstatus, count(*) AS expected FROM o GROUP BY y, o_orderstatus), a AS (SELECT y, o_orderstatus, count(*) AS actual FROM o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10) GROUP BY y, o_orderstatus) SELECT e.y, e.o_orderstatus, expected, actual FROM e LEFT JOIN a ON e.y = a.y AND e.o_orderstatus = a.o_orderstatus WHERE actual IS NULL OR actual <> expected",
     "best_of_n": "SELECT l_orderkey, l_linenumber, l_partkey, c AS candidates FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, CAST(round(l_discount * 100) AS BIGINT) DESC, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1",
     "sweep_rank": "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(round(s_acctbal * 100) AS BIGINT) DESC, s_suppkey % 3 DESC, s_suppkey) AS INTEGER) AS rank FROM supplier",
     "latest_per_identity": "SELECT user_id, event_type, max(event_id) AS event_id, count(*) AS versions FROM events GROUP BY user_id, event_type",
-    "interleave_round_robin": "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS turn FROM supplier",
+    "interleave_round_robin": "WITH t AS (SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS turn FROM supplier) SELECT *, row_number() OVER (ORDER BY turn, s_nationkey) AS place FROM t",
     "scenario_cross": "SELECT r_regionkey, n_nationkey, CAST(((n_nationkey - r_regionkey) % 4 + 4) % 4 AS INTEGER) AS turn FROM region CROSS JOIN nation",
     "matched_pairs_complete": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2 AND sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1",
     "number_parse": "WITH p AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part) SELECT p_partkey, '(' || CAST(c // 100000 AS VARCHAR) || '.' || lpad(CAST((c // 100) % 1000 AS VARCHAR), 3, '0') || ',' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || ')' AS shown, -c AS minor_units FROM p",
     "account_classify": "SELECT CASE WHEN lower(p_type) LIKE '%promo%' THEN 'promotion' WHEN lower(p_type) LIKE '%steel%' THEN 'metal' WHEN lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%copper%' THEN 'alloy' WHEN p_size > 25 THEN 'large' ELSE 'other' END AS label, count(*) AS n FROM part GROUP BY 1",
     "basis_family_match": "WITH f AS (SELECT c_nationkey, CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'consumer' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'vehicle' ELSE 'industry' END AS family FROM customer) SELECT c_nationkey, string_agg(DISTINCT family, ',' ORDER BY family) AS families, CAST(sum(CASE WHEN family = 'industry' THEN 1 ELSE 0 END) AS BIGINT) AS n_industry FROM f GROUP BY c_nationkey",
-    "suffix_repair": "WITH v AS (SELECT DISTINCT l_orderkey || ':' || l_partkey AS f, CAST(l_partkey AS VARCHAR) AS suffix FROM lineitem WHERE l_orderkey % 10 = 0), m AS (SELECT CAST(p_partkey AS VARCHAR) AS suffix, count(f) AS n, min(f) AS f FROM part LEFT JOIN v ON v.suffix = CAST(p_partkey AS VARCHAR) GROUP BY 1) SELECT suffix, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'repaired' END AS status, CASE WHEN n = 1 THEN f END AS repaired FROM m",
+    "suffix_repair": "WITH v AS (SELECT DISTINCT l_orderkey || ':' || l_partkey || '-' || l_linenumber AS f, l_partkey || '-' || l_linenumber AS suffix FROM lineitem), p AS (SELECT p_partkey || '-' || n AS ref FROM part CROSS JOIN range(1, 4) r(n)), m AS (SELECT ref AS suffix, count(f) AS n, min(f) AS f FROM p LEFT JOIN v ON v.suffix = ref GROUP BY 1) SELECT suffix, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'repaired' END AS status, CASE WHEN n = 1 THEN f END AS repaired FROM m",
     "note_match_cardinality": "WITH n AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) SELECT c_custkey AS o_custkey, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM customer LEFT JOIN n ON o_custkey = c_custkey",
     "json_canonical_hash": "SELECT event_id, sha256('{\"event\":\"' || event_type || '\",\"k\":' || coalesce(json_extract_string(props, '$.k'), 'null') || '}') AS hash FROM events",
     "stage_machine_state": "WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS latest, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS a, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS b, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS c, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS d FROM events GROUP BY user_id) SELECT user_id, latest, errors, CASE WHEN a = 0 THEN 'signup' WHEN b = 0 THEN 'view' WHEN c = 0 THEN 'click' WHEN d = 0 THEN 'purchase' ELSE 'complete' END AS next_stage FROM s",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskweave.operators import checks, dataset, evaluate, integrity
+from riskweave.operators import checks, dataset, evaluate, integrity, ranking
+from riskweave.plans.texts import _TEXT
 from riskweave.sources import html
 from riskweave.sources.tables import read
 
@@ -52,19 +53,22 @@ def identity_components(spark, sf):
 
 
 def reserved_collision(spark, sf):
-    """Documents that hold a benchmark text: both sides meet on the text's first 40 characters.
+    """Documents that hold a benchmark text anywhere.
 
-    Every text of 40 characters or more is a candidate at each place where its opening occurs; openings are found by
-    their first five words as an equi-join, then compared in full."""
+    A held text's words, but for the first and the last, are whole words of the document: both sides meet on up to four of
+    them, and only the texts of those that met are compared in full.  Texts of fewer than three words have no such word;
+    they are few, which is checked, and are looked for in every document."""
     docs = read(spark, sf, "documents").select("doc_id", "text")
     words = F.split("text", " ")
-    grams = docs.select("doc_id", "text", words.alias("w")).select("doc_id", "text", F.explode(F.when(F.size("w") >= 6, F.sequence(F.lit(0), F.size("w") - 6))).alias("i"), "w")
-    middle = lambda at: F.array_join(F.slice("w", at, 4), " ")
-    probes = grams.select("doc_id", "text", middle(F.col("i") + 2).alias("gram"))
-    items = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w"))
-    keys = items.select("item_id", "passage", middle(F.lit(2)).alias("gram"))
-    ids = probes.join(keys, "gram").where(F.col("text").contains(F.col("passage")))
-    return ids.select("doc_id", "item_id").distinct()
+    items = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w")).withColumn("k", F.least(F.lit(4), F.size("w") - 2))
+    keys = items.where("k > 0").select("item_id", "k", F.array_join(F.slice("w", F.lit(2), F.col("k")), " ").alias("gram"))
+    sizes = ranking.bounded(keys.select("k").distinct(), 4)  # one to four
+    places = F.explode(F.when(F.size("w") >= F.col("k"), F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)))
+    grams = docs.select("doc_id", words.alias("w")).crossJoin(sizes).select("doc_id", "k", "w", places.alias("i")).select("doc_id", "k", F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("gram"))
+    met = grams.join(keys, ["k", "gram"]).select("doc_id", "item_id").distinct()
+    long = met.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    short = docs.crossJoin(ranking.bounded(items.where("k <= 0").select("item_id", "passage"), 100_000)).where(F.col("text").contains(F.col("passage")))
+    return long.unionByName(short.select("doc_id", "item_id"))
 
 
 def group_manifest(spark, sf):
@@ -160,7 +164,8 @@ def prohibited_phrase_scan(spark, sf):
 
 
 def html_row_extract(spark, sf):
-    return html.elements(read(spark, sf, "pages").select("page_id", "html"), "li").select("page_id", "pos", "text")
+    """Paragraphs, headings and list items in order, without the tags inside."""
+    return html.elements(read(spark, sf, "pages").select("page_id", "html")).select("page_id", "pos", "text")
 
 
 def chat_export(spark, sf):
@@ -225,7 +230,7 @@ SELECT node AS doc_id, min(c) AS component FROM r GROUP BY node""",
     "quality_reason_codes": "WITH d AS (SELECT documents.doc_id, n_chars, quality, toxic FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id) SELECT doc_id, 'short' AS reason FROM d WHERE n_chars < 100 UNION ALL SELECT doc_id, 'unlabelled' FROM d WHERE quality IS NULL UNION ALL SELECT doc_id, 'low_quality' FROM d WHERE quality = 0 UNION ALL SELECT doc_id, 'toxic' FROM d WHERE toxic = 1 UNION ALL SELECT doc_id, 'eligible' FROM d WHERE n_chars >= 100 AND quality = 1 AND toxic = 0",
     "profile_markers": f"SELECT * FROM (SELECT doc_id, {' + '.join(f'''CASE WHEN contains(lower(text), '{m}') THEN 1 ELSE 0 END''' for m in ('license', 'copyright', 'http', '@', 'version'))} AS markers FROM documents) WHERE markers >= 2",
     "prohibited_phrase_scan": "SELECT doc_id, phrase FROM documents JOIN (SELECT 'all rights reserved' AS phrase UNION ALL SELECT 'licensed under' UNION ALL SELECT 'password' UNION ALL SELECT 'secret') ON contains(lower(text), phrase)",
-    "html_row_extract": "WITH x AS (SELECT page_id, regexp_extract_all(html, '<(?:li)(?: [^>]*)?>([^<]*)<', 1) AS l FROM pages) SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS text FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM x)",
+    "html_row_extract": f"WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:p|li|h[1-6])(?: [^>]*)?>(.*?)</(?:p|li|h[1-6])>', 1) AS l FROM pages) SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, {_TEXT.format('l[i]')} AS text FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM x)",
     "chat_export": "WITH x AS (SELECT conv_id, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(CASE WHEN CASE WHEN role = 'user' THEN coalesce(b = 'user', false) WHEN role = 'assistant' THEN coalesce(b, 'none') <> 'user' ELSE b IS NOT NULL END THEN 1 ELSE 0 END) = 0 AS valid FROM x GROUP BY conv_id",
     "token_preflight": "WITH s AS (SELECT conv_id, CAST((sum(length(text)) + 3) // 4 AS BIGINT) AS tokens FROM conversations GROUP BY conv_id) SELECT max(tokens) AS max_tokens, CAST(sum(tokens) AS BIGINT) AS all_tokens, CAST(sum(CASE WHEN tokens > 512 THEN 1 ELSE 0 END) AS BIGINT) AS too_long, count(*) AS n FROM s",
     "canonical_selection": "SELECT source, doc_id, lang, CASE WHEN e > 1 THEN 'preferred_among_many' WHEN e = 1 THEN 'preferred' ELSE 'fallback' END AS basis FROM (SELECT *, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS e, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 1 ELSE 0 END DESC, n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1",

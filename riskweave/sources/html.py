@@ -7,11 +7,14 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.dialects import html_text
 
-def elements(pages: DataFrame, tags: str = "p|li|h1", html: str = "html") -> DataFrame:
-    """Texts of simple elements, in order: the page's columns, ``pos`` and ``text`` without tags."""
-    found = F.regexp_extract_all(F.col(html), F.lit(rf"<(?:{tags})(?: [^>]*)?>([^<]*)<"), 1)
-    return pages.select(*(c for c in pages.columns if c != html), F.posexplode(found).alias("pos", "text"))
+
+def elements(pages: DataFrame, tags: str = "p|li|h[1-6]", html: str = "html") -> DataFrame:
+    """Texts of elements, in order: the page's columns, ``pos`` and ``text``, whose inner tags are spaces."""
+    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?s)<(?:{tags})(?: [^>]*)?>(.*?)</(?:{tags})>"), 1)
+    out = pages.select(*(c for c in pages.columns if c != html), F.posexplode(found).alias("pos", "text"))
+    return out.withColumn("text", html_text(F.col("text")))
 
 
 class _Tables(HTMLParser):
