@@ -30,6 +30,7 @@ whole numbers; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,12 +148,12 @@ def _magnitudes(docs: DataFrame, rule: Rule) -> np.ndarray:
         often = total >= RARE
         slots = np.zeros(1 << own, np.uint8)
         np.maximum.at(slots, (value[first[often]] >> np.uint32(32 - own)).astype(np.int64), np.ceil(np.log2(total[often])).astype(np.uint8))
-        return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "blob": pa.array([slots.tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "blob": pa.array([zlib.compress(slots.tobytes(), 1)], pa.binary())})
 
     found = docs.select("text").mapInArrow(send, "part int, blob binary").groupBy("part").applyInArrow(count, "part int, blob binary").toArrow()
     out = np.zeros(1 << SLOT_BITS, np.uint8)  # what the driver gets is as large as this table
     for part, blob in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
-        out[part << own : (part + 1) << own] = np.frombuffer(blob, np.uint8)
+        out[part << own : (part + 1) << own] = np.frombuffer(zlib.decompress(blob), np.uint8)
     return out
 
 

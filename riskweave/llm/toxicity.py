@@ -19,6 +19,7 @@ inputs.  Extra columns pass through.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,7 +103,7 @@ def _count(batches):
 
 def _add(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in table.column("counts").to_pylist())
-    return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def _maximal(gain: list[float], before: list[float]) -> list[tuple[int, int, float]]:
@@ -193,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     size, step = 1 << BUCKET_BITS, 1 << BLOCK_BITS
     table = np.zeros((3, size), np.int64)
     for block, blob in zip(counts.column("block").to_pylist(), counts.column("counts").to_pylist()):
-        table[:, block * step : (block + 1) * step] = np.frombuffer(blob, np.int64).reshape(3, step)
+        table[:, block * step : (block + 1) * step] = np.frombuffer(zlib.decompress(blob), np.int64).reshape(3, step)
     clean, toxic, words = table
     marks = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n0, n1 = marks.get(0, 0), marks.get(1, 0)
