@@ -27,7 +27,7 @@ GOLD = {
 WANT = {
     ("std", "revenue_growth_high"): 5000, ("std", "receivables_growth_outpaces_revenue"): 5000, ("std", "positive_profit_negative_cfo"): -2500,
     ("sec", "ctck_margin_book_provision_gap"): 4792, ("sec", "ctck_trading_book_valuation_concentration_with_weak_disclosure"): 6655, ("sec", "ctck_profit_supported_by_noncash_fvtpl_with_weak_cash_support"): 6364,
-    ("ins", "insurance_premium_receivables_outpace_gwp"): 7818, ("ins", "claims_reserve_growth_lags_claims_and_premium_exposure"): 3045, ("ins", "reinsurance_recoverables_expand_with_weak_cash_support"): 10769,
+    ("ins", "premium_receivables_growth_outpaces_premium_growth"): 7818, ("ins", "claims_reserve_growth_lags_claims_and_premium_exposure"): 3045, ("ins", "reinsurance_recoverables_expand_with_weak_cash_support"): 10769,
 }
 NOTE = "Holdings are concentrated and no issuer-level detail is given."
 
