@@ -232,8 +232,8 @@ def _gates() -> str:
 _CAND = ", ".join(f"('{n}', '{c}', '{p}', ['{chr(39).join(s).replace(chr(39), chr(39) + ', ' + chr(39))}'])" for n, c, p, s in reports.CANDIDATES["runtime"])
 _RAWROWS = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, CAST(l_partkey % {len(RAW)} AS INTEGER) AS k, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS tab, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
 x AS (SELECT l_orderkey, tab, bool_or(k IN (1, 11)) AS cash, bool_or(k = 13) AS ytd FROM l GROUP BY 1, 2),
-a AS (SELECT l.*, cash, ytd, CASE WHEN k = 0 THEN 'trade_receivables' WHEN k IN (1, 11) OR (k = 10 AND cash) THEN 'operating_cash_flow' WHEN k = 2 THEN 'margin_lending' WHEN k = 3 THEN 'margin_impairment' WHEN k = 4 THEN 'fvtpl_assets' WHEN k = 5 THEN 'afs_assets' WHEN k = 6 THEN 'htm_assets' WHEN k = 7 THEN 'fvtpl_unrealized_gain' WHEN k IN (8, 9) THEN 'revenue' WHEN k = 10 THEN 'profit_after_tax' END AS account FROM l JOIN x ON l.l_orderkey = x.l_orderkey AND l.tab = x.tab),
-b AS (SELECT *, ['{"', '".join(c for c, _ in RAW)}'][k + 1] AS code, CASE WHEN account = 'profit_after_tax' OR (account = 'fvtpl_unrealized_gain' AND ytd) THEN -(cents // 3) ELSE cents END AS value,
+a AS (SELECT l.*, cash, ytd, CASE WHEN k = 0 THEN 'trade_receivables' WHEN k IN (1, 11) OR (k = 10 AND cash) OR (k = 13 AND cash AND l_discount > 0.05 AND CAST(l_quantity AS INTEGER) = 20) THEN 'operating_cash_flow' WHEN k = 2 THEN 'margin_lending' WHEN k = 3 THEN 'margin_impairment' WHEN k = 4 THEN 'fvtpl_assets' WHEN k = 5 THEN 'afs_assets' WHEN k = 6 THEN 'htm_assets' WHEN k = 7 THEN 'fvtpl_unrealized_gain' WHEN k IN (8, 9) THEN 'revenue' WHEN k = 10 THEN 'profit_after_tax' END AS account FROM l JOIN x ON l.l_orderkey = x.l_orderkey AND l.tab = x.tab),
+b AS (SELECT *, ['{"', '".join(c for c, _ in RAW)}'][k + 1] AS own, CASE WHEN k = 13 THEN '20' ELSE own END AS code, CASE WHEN account = 'profit_after_tax' OR (account = 'fvtpl_unrealized_gain' AND ytd) THEN -(cents // 3) ELSE cents END AS value,
   CASE WHEN account IN ('fvtpl_unrealized_gain', 'profit_after_tax') THEN 'income_to_date' WHEN account = 'revenue' THEN 'income_quarter' WHEN account = 'operating_cash_flow' THEN 'cash_flow' ELSE 'balance' END AS bucket FROM a WHERE account IS NOT NULL),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, bucket, account ORDER BY CASE WHEN bucket = 'income_quarter' AND k = 9 THEN 1 ELSE 0 END, tab, pos) AS n FROM b) WHERE n = 1)"""
 _SOURCES = """WITH d AS (SELECT l_orderkey AS package, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS doc, CASE WHEN l_quantity < 3 THEN NULL WHEN l_quantity < 6 THEN 'inconclusive' ELSE 'classified' END AS state,
