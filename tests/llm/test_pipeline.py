@@ -54,3 +54,18 @@ def test_stages_take_nulls_and_empty_tables(spark):
             assert docs.columns == schema.names
         assert {r["doc_id"] for r in docs.collect()} == left
         assert {r["doc_id"] for r in pipeline.STAGES[-1][1](spark, docs, SF).collect()} == left
+
+
+def test_texts_of_one_key_stay_and_leaks_without_a_key_go(spark):
+    import corpus_pipeline as pipeline
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(7, a, "en", "s", 1), (7, b, "en", "s", 1), (8, b, "en", "s", 1), (7, a, "en", "s", 1), (None, item, "en", "s", 1), (None, a, "en", "s", 1), (9, item, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = pipeline.near_copies(spark, docs, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, a), (7, b), (9, item), (None, item), (None, a)], key=str)
+    clean = pipeline.leaks(spark, kept, SF)
+    assert clean.columns == schema.names
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted([(7, a), (7, b), (None, a)], key=str)
