@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import dialects
-from riskweave.operators import dataset, evaluate, gate, integrity, splits
+from riskweave.operators import dataset, evaluate, gate, integrity, ranking, splits
 from riskweave.plans import records
 from riskweave.sources.tables import read
 
@@ -59,7 +59,7 @@ def stamped_records(spark, sf):
 def split_order(spark, sf):
     """Documents' places by split, then id; an unknown split comes last."""
     rows = records._splits(spark, sf).withColumn("split", F.when(F.col("lang") == "fr", "archive").otherwise(F.col("split"))).withColumn("rank", splits.split_rank(F.col("split")))
-    return rows.select("doc_id", "split", "rank", F.row_number().over(Window.partitionBy("rank").orderBy("doc_id")).alias("place"))
+    return ranking.placed(rows, "rank", "doc_id").select("doc_id", "split", "rank", "place")
 
 
 def leakage_fields(spark, sf):
@@ -286,7 +286,7 @@ z AS (SELECT i, split, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, s
 b AS (SELECT split, sum(n) OVER (ORDER BY i) AS top, sum(n) OVER (ORDER BY i) - n AS low FROM z) SELECT group_id, split FROM k JOIN b ON k.n > low AND k.n <= top""",
     "split_viability": f"{_S}, c AS (SELECT split, count(*) AS n FROM s GROUP BY 1), w AS (SELECT 'train' AS split, 8000 AS wanted_bp UNION ALL SELECT 'validation', 1000 UNION ALL SELECT 'test', 500 UNION ALL SELECT 'holdout', 500), v AS (SELECT w.split, coalesce(n, 0) AS n, CAST(wanted_bp AS BIGINT) AS wanted_bp, CAST(coalesce(n, 0) * 10000 // (SELECT sum(n) FROM c) AS BIGINT) AS actual_bp FROM w LEFT JOIN c ON c.split = w.split) SELECT *, CASE WHEN n = 0 THEN 'empty_requested_split' WHEN abs(actual_bp - wanted_bp) > 200 THEN 'outside_tolerance' ELSE 'viable' END AS code FROM v",
     "stamped_records": f"{_S}, k AS (SELECT s.*, CASE WHEN toxic = 1 THEN 'excluded' ELSE split END AS sp FROM s LEFT JOIN labels ON labels.doc_id = s.doc_id) SELECT doc_id, source AS group_key, sp AS split, sha256('{{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}}') AS packet_content_hash, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS assessment_rationale_hash, sp <> 'excluded' AS usable_for_training, CASE WHEN sp = 'excluded' THEN 'excluded' END AS exclusion_reason FROM k",
-    "split_order": f"{_S}, k AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'archive' ELSE split END AS split FROM s), r AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 WHEN 'holdout' THEN 3 WHEN 'excluded' THEN 4 ELSE 99 END AS rank FROM k) SELECT doc_id, split, rank, CAST(row_number() OVER (PARTITION BY rank ORDER BY doc_id) AS INTEGER) AS place FROM r",
+    "split_order": f"{_S}, k AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'archive' ELSE split END AS split FROM s), r AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 WHEN 'holdout' THEN 3 WHEN 'excluded' THEN 4 ELSE 99 END AS rank FROM k) SELECT doc_id, split, rank, row_number() OVER (PARTITION BY rank ORDER BY doc_id) AS place FROM r",
     "leakage_fields": f"{_S}, k AS (SELECT s.* FROM s LEFT JOIN labels ON labels.doc_id = s.doc_id AND toxic = 1 WHERE toxic IS NULL), l AS (SELECT split, 'text' AS field, sha256(text) AS value FROM k UNION ALL SELECT split, 'normalised', {records._HASH} FROM k UNION ALL SELECT split, 'head', sha256(substring(text, 1, 80)) FROM k UNION ALL SELECT split, 'tail', sha256(right(text, 80)) FROM k UNION ALL SELECT split, 'size', source || ':' || length(text) FROM k UNION ALL SELECT split, 'line', sha256(string_split(text, chr(10))[1]) FROM k), f AS (SELECT field, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM l GROUP BY 1, 2 HAVING count(DISTINCT split) > 1) SELECT field, splits, count(*) AS n FROM f GROUP BY 1, 2",
     "composed_dataset": f"{_S} SELECT split, CASE WHEN lang <> 'de' OR split = 'test' THEN 'base' ELSE 'extra' END AS origin, count(*) AS n, CASE WHEN split = 'test' THEN true END AS reserved_kept FROM s GROUP BY 1, 2",
     "scenario_variants": "SELECT n_nationkey AS family, CAST(support AS INTEGER) AS support, CAST(slot AS INTEGER) AS slot, CAST(((support - n_nationkey) % 4 + 4) % 4 AS INTEGER) AS turn, CAST(1000 + n_nationkey * 32 + support * 8 + slot AS BIGINT) AS seed FROM nation CROSS JOIN range(4) a(support) CROSS JOIN range(8) b(slot) WHERE (n_nationkey + support) % 3 > 0",
