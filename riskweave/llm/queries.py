@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, decontamination, jaccard_join, media, packing, pii, sharding, store, toxicity
+from riskweave.llm import chat, decontamination, jaccard_join, media, packing, pii, sharding, store, toxicity, vector_codes
 from riskweave.llm.line_dedup import dedup_lines
 from riskweave.llm.substring_dedup import dedup_substrings
 
@@ -102,6 +102,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), joined(likely).alias("likely_spans"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None if books is None else vector_codes.digest(books)).cast("string")
+    return coded.select(F.col("key").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -168,6 +174,30 @@ SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(n, 0)
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+_OP12_ROUND = """near{r} AS MATERIALIZED (
+  SELECT x.vec_id, x.label, x.p, x.v, min(struct_pack(
+    d := CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.c[i]) * (x.v[i] - b.c[i]))) AS BIGINT), k := b.k)) AS best
+  FROM parts x JOIN book{r} b ON x.p = b.p GROUP BY x.vec_id, x.label, x.p, x.v)"""
+_OP12_MEANS = """each{r} AS (SELECT p, best.k AS k, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM near{r}),
+sums{r} AS (SELECT p, k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM each{r} GROUP BY p, k, i),
+means{r} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums{r} GROUP BY p, k),
+book{next} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN means{r} m ON m.p = b.p AND m.k = b.k)"""
+OP12_SQL = rf"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+eight AS (SELECT unnest(range(0, 8)) AS p),
+parts AS MATERIALIZED (SELECT vec_id, label, p, list_slice(v, p * (len(v) // 8) + 1, (p + 1) * (len(v) // 8)) AS v FROM kept, eight),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT 16),
+book0 AS MATERIALIZED (SELECT p, k, v AS c FROM parts JOIN firsts USING (vec_id)),
+{", ".join(_OP12_ROUND.format(r=r) + ", " + _OP12_MEANS.format(r=r, next=r + 1) for r in range(6))}, {_OP12_ROUND.format(r=6)},
+codes AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(best.k AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near6 GROUP BY vec_id, label),
+labels AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM codes GROUP BY label),
+entries AS (SELECT p, k, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM book6),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, i)) AS codebooks_sha256 FROM entries)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM codes JOIN labels ON codes.label IS NOT DISTINCT FROM labels.label, digest
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_formatting": op2_chat_formatting,
@@ -179,5 +209,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op12_vector_codes": op12_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op12_vector_codes": OP12_SQL}

@@ -32,7 +32,7 @@ def sha(raw: bytes) -> str:
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in found.description]

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -148,16 +149,23 @@ def test_decontamination_of_a_full_block_finds_every_copy(spark):
     assert got == {(d, i) for d, text in docs for i, item in items[d : d + 1] if item in text}
 
 
-def test_decontamination_counts_the_words_it_lists():
+@pytest.mark.parametrize("spread", [1, 2, 6])
+def test_decontamination_finds_near_columns_as_a_dense_product_does(spread):
     rng = np.random.default_rng(5)
     weights = rng.uniform(1, 9, 300).astype(np.float32)
-    columns = [np.unique(rng.integers(0, 300, 18) ** 2 // 300) for _ in range(90)]
+    columns = [np.unique(rng.integers(0, 300, 18) ** spread // 300 ** (spread - 1)) for _ in range(90)]
     index = decontamination.Index(*[None] * 9, *decontamination._columns(columns, weights))
-    own = np.array([rng.permutation(300)[:18] for _ in range(20)])
+    own = np.array([rng.permutation(300 if i % 2 else 80)[:18] for i in range(40)])
     own[rng.random(own.shape) < 0.3] = -1
     value = np.where(own < 0, 3, weights[own])
-    want = [[sum(weights[f] ** 2 for f in set(o.tolist()) & set(c.tolist())) / np.linalg.norm(weights[c]) for c in columns] for o in own]
-    assert np.allclose(decontamination._exact(own, value, index), want, rtol=1e-4)
+    norm = np.sqrt((value**2).sum(1))
+    dense = np.array([[sum(weights[f] ** 2 for f in set(o.tolist()) & set(c.tolist())) / np.linalg.norm(weights[c]) for c in columns] for o in own]) / norm[:, None]
+    rows, cols, cosine = decontamination._exact(own, value, norm, index)
+    assert np.allclose(cosine, dense[rows, cols], rtol=1e-4) and len(set(zip(rows.tolist(), cols.tolist()))) == len(rows)
+    sure, perhaps = dense >= decontamination.COSINE + 1e-4, dense >= decontamination.COSINE - 1e-4
+    found = np.zeros(dense.shape, bool)
+    found[rows, cols] = True
+    assert sure.any() and not (sure & ~found).any() and not (found & ~perhaps).any()
 
 
 def test_decontamination_of_adjacent_copies_and_repeated_words(spark):
