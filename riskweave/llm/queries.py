@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, decontamination, jaccard_join, media, packing, pii, sharding, store, toxicity, vector_codes
+from riskweave.llm import chat, decontamination, jaccard_join, media, packing, pii, sharding, store, structure, toxicity, vector_codes
 from riskweave.llm.line_dedup import dedup_lines
 from riskweave.llm.substring_dedup import dedup_substrings
 
@@ -102,6 +102,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), joined(likely).alias("likely_spans"))
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = structure.damage(table(spark, sf_dir, "conversations"))
+    return structure.repair(damaged, absent=F.col("absent")).withColumnRenamed("conv", "conv_id")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
     digest = F.lit(None if books is None else vector_codes.digest(books)).cast("string")
@@ -174,6 +179,53 @@ SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(n, 0)
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+_OP11_ADD = "{{'c': {f}.c + {cost}, 'a': {f}.a || '{edit}', 't': {f}.t || {text}}}"
+_add = lambda f, cost, edit, text="''": _OP11_ADD.format(f=f, cost=cost, edit=edit, text=text)
+# Of the rows so far, for each state of the grammar (nothing, system, user, assistant) the least cost, its least audit and
+# the repaired text: a shorter audit that another begins with never has its cost, as only inserts follow.
+OP11_SQL = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(unicode(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT)),
+    lambda c, b: list_reduce(range(0, 8), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text,
+    unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM damaged),
+faults AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+marked AS (
+  SELECT conv_id, i, initial, chr(10) || role || ':' || text AS kept, chr(10) || 'user:' || text AS as_user, chr(10) || 'assistant:' || text AS as_assistant,
+    fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM faults),
+fold AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS f0, {{'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''}} AS f1,
+    {{'c': CAST(3 AS BIGINT), 'a': 'I', 't': chr(10) || 'user:'}} AS f2, {{'c': CAST(6 AS BIGINT), 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS f3
+  FROM (SELECT DISTINCT conv_id FROM marked)
+  UNION ALL
+  SELECT conv_id, i, g0, g1, h2, list_min([g3, {_add("h2", 3, "I", "chr(10) || 'assistant:'")}]) FROM (
+    SELECT *, list_min([g2, {", ".join(_add(f, 3, "I", "chr(10) || 'user:'") for f in ("g0", "g1", "g3"))}]) AS h2 FROM (
+      SELECT conv_id, i, {_add("f0", 4, "D")} AS g0,
+        CASE WHEN gone OR initial <> 's' THEN {_add("f1", 4, "D")} ELSE list_min([{_add("f1", 4, "D")}, {_add("f0", "more", "K", "kept")}]) END AS g1,
+        CASE WHEN gone THEN {_add("f2", 4, "D")} WHEN initial = 'u' THEN list_min([{_add("f2", 4, "D")}, {_add("f0", "more", "K", "kept")}, {_add("f1", "more", "K", "kept")}, {_add("f3", "more", "K", "kept")}])
+          ELSE list_min([{_add("f2", 4, "D")}, {", ".join(_add(f, "more + 3", "R", "as_user") for f in ("f0", "f1", "f3"))}]) END AS g2,
+        CASE WHEN gone THEN {_add("f3", 4, "D")} WHEN initial = 'a' THEN list_min([{_add("f3", 4, "D")}, {_add("f2", "more", "K", "kept")}])
+          ELSE list_min([{_add("f3", 4, "D")}, {_add("f2", "more + 3", "R", "as_assistant")}]) END AS g3
+      FROM (SELECT fold.conv_id, m.i, f0, f1, f2, f3, initial, gone, more, kept, as_user, as_assistant FROM fold JOIN marked m ON m.conv_id IS NOT DISTINCT FROM fold.conv_id AND m.i = fold.i + 1)))),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faults GROUP BY conv_id),
+best AS (SELECT c.*, list_min([f.f0, f.f3]) AS f FROM counted c JOIN fold f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(f.c, 0) AS BIGINT) AS cost, coalesce(f.a, '') AS audit, sha256(coalesce(substr(f.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 _OP12_ROUND = """near{r} AS MATERIALIZED (
   SELECT x.vec_id, x.label, x.p, x.v, min(struct_pack(
     d := CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.c[i]) * (x.v[i] - b.c[i]))) AS BIGINT), k := b.k)) AS best
@@ -209,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op11_structure": op11_structure,
     "op12_vector_codes": op12_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op12_vector_codes": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_structure": OP11_SQL, "op12_vector_codes": OP12_SQL}
