@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, decontamination, jaccard_join, media, packing, pii, sharding, store, structure, toxicity, vector_codes
+from riskweave.llm import chat, decontamination, fingerprints, jaccard_join, media, packing, pii, sharding, store, structure, toxicity, vector_codes
 from riskweave.llm.line_dedup import dedup_lines
 from riskweave.llm.substring_dedup import dedup_substrings
 
@@ -113,6 +113,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("key").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -263,5 +267,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_structure": op11_structure,
     "op12_vector_codes": op12_vector_codes,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_structure": OP11_SQL, "op12_vector_codes": OP12_SQL}
