@@ -7,12 +7,12 @@ are shuffled once.
 1. Every group sends the hashes of its anchors, each once, packed by hash range (``_ANCHORS``).  A reducer holds one
    hash range and answers with one bit for each hash: does another place have it, indexed.
 2. Every group extends its shared anchors both ways: all windows of ``length`` units that hold one are candidates.
-   Their 64-bit hashes go to reducers by other hash bits, which know the first place of each window and answer with a
-   bit for each: is there an earlier one.
-3. Every group marks the units that its later windows cover.
+   Of every distinct one its 64-bit hash and the group's first place go to reducers by other hash bits, which know the
+   first place of all and answer with a bit for each: is there an earlier one in another group.
+3. Every group marks the units that its later windows cover: those beyond the group's first, or of which that bit is set.
 
-Work and shuffle follow the input: a frequent passage is one hash per group, no pairs of documents are formed, and the
-answers are bits.  Equal hashes stand for equal windows (64 bits, and the bits that chose the reducer).  Keys are whole
+Work and shuffle follow the input: a frequent passage is one hash per group in both exchanges, no pairs of documents are
+formed, and the answers are bits.  Equal hashes stand for equal windows (64 bits, and the bits that chose the reducer).  Keys are whole
 numbers of 64 bits.
 """
 
@@ -91,13 +91,6 @@ def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def _parts_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by the top ``bits`` of each hash, and where each part begins."""
-    part = (hashes >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange((1 << bits) + 1))
-
-
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     part, group, blob = zip(*rows) if rows else ((), (), ())
     return pa.table({"__part": pa.array(part, pa.int32()), "__group": pa.array(group, pa.int32()), "__blob": pa.array(blob, pa.binary())})
@@ -155,8 +148,8 @@ class _Group:
         ]
         return at, which, rows, edges
 
-    def candidates(self, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows around shared anchors, their lengths and hashes, order by part and its edges."""
+    def candidates(self, answers: dict[tuple[int, int], bytes]) -> Candidates:
+        """The windows around shared anchors."""
         at, which, _, edges = self.anchors()
         shared = np.zeros(edges[-1], bool)
         for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -177,8 +170,39 @@ class _Group:
             own = self.units[one]
             start, size = np.append(start, one), np.append(size, np.ones(len(one), np.int64))
             value, other = np.append(value, vec.mix(own ^ _ALONE)), np.append(other, vec.mix(own ^ ~_ALONE))
-        order, edges = _parts_of(other, self.bits)
-        return start, size, value, order, edges
+        owner = self.owner[start]
+        key = self.keys[owner]
+        place = start - self.first[owner] if self.search.ordered else np.zeros(len(start), np.int64)
+        part = (other >> np.uint64(64 - self.bits)).astype(np.int32) if self.bits else np.zeros(len(start), np.int32)
+        order = np.lexsort((place, key, value, part))
+        new = np.ones(len(order), bool)
+        new[1:] = (value[order[1:]] != value[order[:-1]]) | (part[order[1:]] != part[order[:-1]])
+        first = order[new]
+        rank = np.lexsort((first, part[first]))  # as they stand in the documents, so that keys stand in runs
+        renamed = np.empty(len(first), np.int64)
+        renamed[rank] = np.arange(len(first))
+        which = np.empty(len(order), np.int64)
+        which[order] = renamed[np.cumsum(new) - 1]
+        first = first[rank]
+        lead = first[which]
+        later = (key > key[lead]) | ((key == key[lead]) & (place > place[lead]))
+        return Candidates(start, size, value, key, place, which, later, first, np.searchsorted(part[first], np.arange((1 << self.bits) + 1)))
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """Windows of one group: starts, lengths, hashes, keys and places; which distinct window each is and whether it is later
+    than the group's first; the first of every distinct one, by part, and where parts begin."""
+
+    start: np.ndarray
+    size: np.ndarray
+    value: np.ndarray
+    key: np.ndarray
+    place: np.ndarray
+    which: np.ndarray
+    later: np.ndarray
+    first: np.ndarray
+    edges: np.ndarray
 
 
 def _answers(replies: pa.Table) -> dict[tuple[int, int], bytes]:
@@ -235,7 +259,7 @@ def _unpack_windows(blob: bytes, ordered: bool) -> tuple[np.ndarray, np.ndarray,
 
 def _reduce_windows(ordered: bool) -> Callable[[pa.Table], pa.Table]:
     def reduce(table: pa.Table) -> pa.Table:
-        """One bit for each window: an earlier place has it."""
+        """One bit for each group's window: an earlier place than the group's first has it."""
         groups, blobs = table.column("__group").to_pylist(), table.column("__blob").to_pylist()
         each = [_unpack_windows(b, ordered) for b in blobs]
         value, keys, place = (np.concatenate([x[i] for x in each]) for i in range(3))
@@ -278,13 +302,12 @@ def remove(docs: DataFrame, search: Search, join: Callable[[bytes, np.ndarray, n
             return _packed([])
         number = table.column("__group")[0].as_py()
         _, group = group_of(table)
-        start, _, value, order, edges = group.candidates(_answers(replies))
-        owner = group.owner[start]
+        found = group.candidates(_answers(replies))
         rows = []
-        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        for p, (a, b) in enumerate(zip(found.edges[:-1], found.edges[1:])):
             if b > a:
-                use = order[a:b]
-                rows.append((p, number, _pack_windows(value[use], group.keys[owner[use]], start[use] - group.first[owner[use]] if search.ordered else None)))
+                use = found.first[a:b]
+                rows.append((p, number, _pack_windows(found.value[use], found.key[use], found.place[use] if search.ordered else None)))
         return _packed(rows)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -292,14 +315,16 @@ def remove(docs: DataFrame, search: Search, join: Callable[[bytes, np.ndarray, n
             return out_schema.empty_table()
         table, group = group_of(table)
         answers = _answers(replies)
-        start, size, _, order, edges = group.candidates(answers)
-        later = np.zeros(len(start), bool)
-        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        found = group.candidates(answers)
+        elsewhere = np.zeros(len(found.first), bool)
+        for p, (a, b) in enumerate(zip(found.edges[:-1], found.edges[1:])):
             if b > a:
-                later[order[a:b]] = np.unpackbits(np.frombuffer(answers[_WINDOWS, p], np.uint8), count=b - a).astype(bool)
+                elsewhere[a:b] = np.unpackbits(np.frombuffer(answers[_WINDOWS, p], np.uint8), count=b - a)
+        later = found.later | elsewhere[found.which]
+        start, size = found.start[later], found.size[later]
         cover = np.zeros(len(group.units) + 1, np.int64)
-        np.add.at(cover, start[later], 1)
-        np.add.at(cover, start[later] + size[later], -1)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + size, -1)
         keep = np.cumsum(cover[:-1]) == 0
         texts, first, data = [], group.first, group.data.tobytes()
         for i in range(table.num_rows):

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskweave.llm import jaccard_join, repeats, vec
@@ -57,6 +59,19 @@ def test_substrings_match_brute_force(spark, length):
     assert got == substring_truth(rows, length)
 
 
+@pytest.mark.parametrize("dedup, search", [(dedup_substrings, repeats.Search(vec.SPACES, 13, 7, repeats.fixed_blocks(7), False)), (dedup_lines, repeats.Search(vec.BREAKS, 2, 1, repeats.winnowed(1, 2), True))])
+def test_a_passage_of_all_documents_is_sent_once_a_group(dedup, search):
+    table = pa.table({"text": ["\n".join(f"own{i}line{j}" for j in range(3)) + "\n" + "\n".join(f"shared{j}" for j in range(30)) for i in range(4000)], "key": range(4000)})
+    group = repeats._Group(table, search, "text", "key", 2)
+    sent = group.anchors()[2]
+    answers = {(repeats._ANCHORS, p): repeats._bits(np.ones(int(np.frombuffer(b, np.uint32, 1)[0]), bool)) for p, b in sent}
+    found = group.candidates(answers)
+    assert len(found.first) == len(set(found.value.tolist())) and len(found.start) > 4000 * 15
+    shared = np.flatnonzero(np.bincount(found.which) == 4000)
+    assert len(shared) == 30 - search.length + 1
+    assert (found.key[found.first[shared]] == 0).all() and found.later[np.isin(found.which, shared)].sum() == 3999 * len(shared)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_substrings(docs).count() == 0
