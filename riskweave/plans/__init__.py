@@ -1,5 +1,5 @@
 """Queries over the shared tables, with the DuckDB SQL that says the same."""
 
-from riskweave.plans import assessments, curation, evidence, filings, market, records, runs, synthetic, texts
+from riskweave.plans import assessments, curation, evidence, filings, market, records, runs, sourcing, synthetic, texts
 
-MODULES = (market, evidence, records, texts, assessments, filings, curation, runs, synthetic)
+MODULES = (market, evidence, records, texts, assessments, filings, curation, runs, synthetic, sourcing)
