@@ -15,8 +15,8 @@ that share one are candidates.  Within every batch of classes the least of each
 ranges of tokens, where the least of them leads again: so a token that a third of all documents share is one entry a
 batch.  Members are verified against their leaders by exact Jaccard similarity on whole texts (``PERCENT``), and what is linked
 is one component.  Where a token's classes are then of several components, those of the smaller ones are compared with all,
-in tiles: pairs whose signatures allow the similarity (five standard deviations) are verified, too.  A component is the least
-key that links reach.  A pair at the threshold shares no band once in 300,000 times, and is below the bound about as rarely.
+in tiles: pairs whose parity sketches allow the similarity (a bound that rejects no link, see ``jaccard_join``) are verified, too.
+A component is the least key that links reach.  A pair at the threshold shares no band once in 300,000 times.
 
 Null and empty texts have the empty set, equal fingerprints, and are near copies of nothing; of rows that share a key the
 least text stands for it as a next document, and they are in one component; rows of null key come before no other, are edited with
@@ -48,18 +48,18 @@ FACTORS = _seeds.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) +
 SHIFTS = _seeds.integers(1, 1 << 63, HASHES, dtype=np.uint64)
 BAND_SEEDS = _seeds.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 SET_SEEDS = _seeds.integers(1, 1 << 63, 2, dtype=np.uint64)
-#: Signatures that agree in fewer places are no pair at the threshold: five standard deviations below it.
-LEAST_EQUAL = int(HASHES * PERCENT / 100 - 5 * (HASHES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+RULE = jaccard_join.Rule(words=WORDS, percent=PERCENT)
 
-_SIGNED = "key long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, n long, a long, b long"
+_SIGNED = "key long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, n long, a long, b long, sketch binary"
 _NAMES = [c.split()[0] for c in _SIGNED.split(", ")]
 
 
-def signatures(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every text: the fingerprint (``HASHES`` numbers of 16 bits), the size of its set, and two hashes of the set."""
+def signatures(column, words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """Of every text: the fingerprint (``HASHES`` numbers of 16 bits), the size of its set, two hashes and a sketch of the set."""
     rows = len(column)
     prints = np.full((rows, HASHES), 0xFFFF, np.uint16)
     sizes, one, two = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    sketches = np.full(rows, b"", object)
     for low, owner, value, count in jaccard_join._shingles(column, words):
         owner, value = jaccard_join._distinct(owner, value)
         n = np.bincount(owner, minlength=count)
@@ -69,13 +69,15 @@ def signatures(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.n
         first = (np.cumsum(n) - n)[some]
         at, room = low + some, np.empty_like(value)
         sizes[at] = n[some]
-        one[at] = np.add.reduceat(vec.mix(value ^ SET_SEEDS[0]), first)
+        mixed = vec.mix(value ^ SET_SEEDS[0])
+        one[at] = np.add.reduceat(mixed, first)
+        sketches[low : low + count] = jaccard_join._sketches(owner, mixed, n)
         two[at] = np.add.reduceat(vec.mix(value ^ SET_SEEDS[1]), first)
         for i in range(HASHES):
             np.multiply(value, FACTORS[i], out=room)
             np.add(room, SHIFTS[i], out=room)
             prints[at, i] = np.minimum.reduceat(room, first).astype(np.uint16)
-    return prints, sizes, one, two
+    return prints, sizes, one, two, sketches
 
 
 def _cut(text: str, after: str) -> str:
@@ -86,7 +88,7 @@ def _cut(text: str, after: str) -> str:
 
 def _rows(keys, texts: list[str], following: list[str], own, following_prints: np.ndarray) -> pa.RecordBatch:
     """Rows of ``_SIGNED``; ``own``: what ``signatures`` gives of ``texts``."""
-    prints, sizes, one, two = own
+    prints, sizes, one, two, sketches = own
     edited = [_cut(t, f) for t, f in zip(texts, following)]
     other = signatures(pa.array(edited, pa.string()))[0]
     blobs = lambda p: pa.array([r.tobytes() for r in p], pa.binary())
@@ -102,6 +104,7 @@ def _rows(keys, texts: list[str], following: list[str], own, following_prints: n
             pa.array(sizes),
             pa.array(one.view(np.int64)),
             pa.array(two.view(np.int64)),
+            pa.array(sketches.tolist(), pa.binary()),
         ],
         _NAMES,
     )
@@ -243,6 +246,18 @@ def _tokens(prints: np.ndarray) -> np.ndarray:
     return vec.mix(np.ascontiguousarray(prints[:, : BANDS * ROWS]).view("<u8") ^ BAND_SEEDS)
 
 
+def _small(sketches: list[bytes]) -> np.ndarray:
+    """Sketches folded to the least width."""
+    return np.stack([jaccard_join._folded(x, jaccard_join.BITS // 8) for x in sketches]) if sketches else np.zeros((0, jaccard_join.BITS // 64), np.uint64)
+
+
+def _may_link(small: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether sizes and folded sketches of ``p`` and ``q`` allow the similarity."""
+    apart = np.bitwise_count(small[p] ^ small[q]).sum(1, dtype=np.int64)
+    near = np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * PERCENT
+    return near & (apart * (100 + PERCENT) <= (100 - PERCENT) * (n[p] + n[q]))
+
+
 def _led(token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by token, then key, and the place in it of each one's leader."""
     order = np.lexsort((key, token))
@@ -253,7 +268,7 @@ def _led(token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _met(classes: DataFrame) -> DataFrame:
     """(token, key, leader, near, band): every class that shares a token with another, and who leads it there; ``near``:
-    whether the signatures allow a link, where both were at hand."""
+    whether the sketches allow a link, where both were at hand."""
     bits = max(0, (store.partitions(classes.sparkSession) - 1).bit_length())
 
     def part_of(hashes):
@@ -264,6 +279,7 @@ def _met(classes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = batch.column("key").to_numpy()
+            n, small = batch.column("n").to_numpy(), _small(batch.column("sketch").to_pylist())
             prints = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), "<u2").reshape(-1, HASHES)
             token = _tokens(prints).ravel()
             row, band = np.divmod(np.arange(len(token)), BANDS)
@@ -273,7 +289,7 @@ def _met(classes: DataFrame) -> DataFrame:
             met = np.zeros(len(own), _MET)
             met["token"], met["key"], met["leader"], met["band"] = token[own], keys[row[own]], keys[row[head]], band[own]
             for a in range(0, len(own), 1 << 15):
-                met["near"][a : a + (1 << 15)] = (prints[row[own[a : a + (1 << 15)]]] == prints[row[head[a : a + (1 << 15)]]]).sum(1) >= LEAST_EQUAL
+                met["near"][a : a + (1 << 15)] = _may_link(small, n, row[own[a : a + (1 << 15)]], row[head[a : a + (1 << 15)]])
             sent = order[alone]
             every = np.arange((1 << bits) + 1)
             part = part_of(vec.mix(met["key"].astype(np.uint64) ^ met["token"]))  # these go anywhere
@@ -309,7 +325,7 @@ def _met(classes: DataFrame) -> DataFrame:
         found = np.concatenate([*met, more])
         return pa.table({"token": found["token"].view(np.int64), "key": found["key"].astype(np.int64), "leader": found["leader"].astype(np.int64), "near": pa.array(found["near"]), "band": pa.array(found["band"].astype(np.int32))})
 
-    sent = classes.select("key", "fingerprint").mapInArrow(send, "part int, blob binary").groupBy("part")
+    sent = classes.select("key", "n", "fingerprint", "sketch").mapInArrow(send, "part int, blob binary").groupBy("part")
     return store.written(sent.applyInArrow(lead_again, "token long, key long, leader long, near boolean, band int"), "met")
 
 
@@ -334,7 +350,7 @@ def _marked(rows: DataFrame, keys: DataFrame, name: str = "key") -> tuple[DataFr
 
 
 def _mixed_pairs(met: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of classes of different components that share a token and whose signatures allow a link."""
+    """Pairs (x, y) of classes of different components that share a token and whose sketches allow a link."""
     spark = met.sparkSession
     comp = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"{side}_comp"))
     placed = met.join(comp("key"), "key", "left").join(comp("leader"), "leader", "left")
@@ -346,7 +362,7 @@ def _mixed_pairs(met: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFr
     rows = store.written(rows, "mixed")
     counts = rows.groupBy("token", "comp").agg(F.count("*").alias("n"))
     most = counts.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"))
-    some, _ = _marked(classes.select("key", F.col("n").alias("shingles"), "fingerprint"), rows.select("key"))
+    some, _ = _marked(classes.select("key", F.col("n").alias("shingles"), "fingerprint", "sketch"), rows.select("key"))
     side = F.ceil(F.col("size") / TILE).cast("int")
     tiled = rows.join(most, "token").join(some, "key").withColumn("home", F.pmod(F.xxhash64("key"), side).cast("int")).withColumn("minor", F.col("comp") != F.col("most"))
     tiled = tiled.withColumn("tile", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), side - 1)).otherwise(F.array("home"))))
@@ -358,6 +374,7 @@ def _mixed_pairs(met: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFr
         order = np.lexsort((n, tile, token))
         token, key, comp, n, home, tile, band, minor = (c[order] for c in (token, key, comp, n, home, tile, band, minor))
         prints = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), "<u2").reshape(-1, HASHES)[order]
+        small = _small(table.column("sketch").to_pylist())[order]
         group = np.concatenate([[0], np.cumsum((np.diff(token) != 0) | (np.diff(tile) != 0))])
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         left, step = np.arange(len(group)), 0
@@ -371,27 +388,28 @@ def _mixed_pairs(met: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFr
                 lower = np.where(key[p] < key[q], p, q)
                 good = (comp[p] != comp[q]) & (~(minor[p] & minor[q]) | (home[lower] == tile[p]))
                 p, q = p[good], q[good]
-                same = prints[p] == prints[q]
-                first = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1)  # a pair is its first common band's
-                good = (same.sum(1) >= LEAST_EQUAL) & (first == band[p])
+                good = _may_link(small, n, p, q)
+                p, q = p[good], q[good]
+                same = prints[p, : BANDS * ROWS] == prints[q, : BANDS * ROWS]
+                good = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[p]  # a pair is its first common band's
                 xs.append(np.minimum(key[p[good]], key[q[good]]))
                 ys.append(np.maximum(key[p[good]], key[q[good]]))
         return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
-    found = tiled.select("part", "token", "key", "comp", "shingles", "home", "tile", "band", "minor", "fingerprint").groupBy("part").applyInArrow(meet, "x long, y long")
-    return store.written(found.distinct(), "pairs")
+    found = tiled.select("part", "token", "key", "comp", "shingles", "home", "tile", "band", "minor", "fingerprint", "sketch").groupBy("part").applyInArrow(meet, "x long, y long")
+    return store.written(jaccard_join._possible(found.distinct(), classes, RULE, False), "pairs")
 
 
 def near_copies(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b, n, component) of the classes of ``signed`` whose component is of more than one key, or whose least key isn't alone."""
-    rule = jaccard_join.Rule(words=WORDS, percent=PERCENT)
-    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("fingerprint").alias("fingerprint"))
+    sets = signed.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), F.count("*").alias("rows"), F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"))
     classes = store.written(sets, "classes")
     met = _met(classes)
-    led = store.written(met.where("near").select(F.least("key", "leader").alias("x"), F.greatest("key", "leader").alias("y")).where("x <> y").distinct(), "led")
-    links = store.written(jaccard_join._verified(docs, led, rule).union(jaccard_join._same_key(signed.select("key", "n", "a", "b"), classes)), "links")
+    led = met.where("near").select(F.least("key", "leader").alias("x"), F.greatest("key", "leader").alias("y")).where("x <> y").distinct()
+    led = store.written(jaccard_join._possible(led, classes, RULE, False), "led")
+    links = store.written(jaccard_join._verified(docs, led, RULE).union(jaccard_join._same_key(signed.select("key", "n", "a", "b"), classes)), "links")
     more = _mixed_pairs(met, components(links), classes)
-    links = links.union(store.written(jaccard_join._verified(docs, more, rule), "links"))
+    links = links.union(store.written(jaccard_join._verified(docs, more, RULE), "links"))
     comps = components(links)
     placed = classes.join(comps, F.col("key") == F.col("node"), "left").where("rows > 1 or component is not null")
     return store.written(placed.select("a", "b", "n", F.coalesce("component", "key").alias("component")), "near")
