@@ -13,14 +13,25 @@ def cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("long")
 
 
+def growth_text(now: str, before: str) -> str:
+    """Growth from ``before`` to ``now`` in basis points, as SQL; of amounts of up to 33 digits."""
+    wide = f"CAST(abs(CAST({now} AS DECIMAL(38,0)) - {before}) AS DECIMAL(33,0))"
+    return f"CASE WHEN {before} <> 0 THEN CASE WHEN {now} < {before} THEN -1 ELSE 1 END * (({wide} * 20000 + abs({before})) div (2 * CAST(abs({before}) AS DECIMAL(38,0)))) END"
+
+
+def share_text(part: str, whole: str) -> str:
+    """part / |whole| in basis points, as SQL; of amounts of up to 33 digits."""
+    return f"CASE WHEN {whole} <> 0 THEN CASE WHEN {part} < 0 THEN -1 ELSE 1 END * ((CAST(abs({part}) AS DECIMAL(33,0)) * 20000 + abs({whole})) div (2 * CAST(abs({whole}) AS DECIMAL(38,0)))) END"
+
+
 def growth_bp(now: str, before: str) -> Column:
     """Growth from ``before`` to ``now`` in basis points."""
-    return F.expr(f"CASE WHEN {before} <> 0 THEN CAST(sign({now} - {before}) AS BIGINT) * ((abs({now} - {before}) * 20000 + abs({before})) div (2 * abs({before}))) END")
+    return F.expr(growth_text(now, before))
 
 
 def share_bp(part: str, whole: str) -> Column:
     """part / |whole| in basis points, rounded half away from zero; null for a zero base."""
-    return F.expr(f"CASE WHEN {whole} <> 0 THEN CAST(sign({part}) AS BIGINT) * ((abs({part}) * 20000 + abs({whole})) div (2 * abs({whole}))) END")
+    return F.expr(share_text(part, whole))
 
 
 def prior_year(periods: DataFrame, keys: list[str], values: list[str], year: str = "y") -> DataFrame:

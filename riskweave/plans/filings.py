@@ -22,8 +22,11 @@ _SUMS = {"total": "amount", **{f"s{c.lower()}": f"CASE WHEN o_orderstatus = '{c}
 NOTES = (("related_party_note", "n >= 3", "Receivables grew while cash collection slowed."), ("generic_accounting_policy", "sp > 0", "Holdings are concentrated, no issuer-level detail."))
 
 
-def _reports(spark, sf) -> DataFrame:
-    """Nested reports of nations' quarters; an account whose sum is 0 isn't shown."""
+STALE = "CASE WHEN n % 7 = 0 THEN 'before' ELSE period END"
+
+
+def _reports(spark, sf, stale: bool = False) -> DataFrame:
+    """Nested reports of nations' quarters; an account whose sum is 0 isn't shown; ``stale``: some cash flows are of another period."""
     urgency = read(spark, sf, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("urgency"))
     n, r = read(spark, sf, "nation"), read(spark, sf, "region")
     profile = F.coalesce(*(F.when(F.col("r_name") == k, F.lit(v)) for k, v in PROFILES.items()), F.lit(reports.STANDARD))
@@ -31,7 +34,8 @@ def _reports(spark, sf) -> DataFrame:
     sums = [F.expr(f"CAST(sum({v}) AS BIGINT)").alias(k) for k, v in _SUMS.items()]
     g = _named_orders(spark, sf).join(urgency, "o_orderkey").groupBy("entity", "y", "q").agg(*sums, F.count("*").alias("n")).join(entities, "entity")
     period = F.format_string("%d-Q%d", "y", "q")
-    cell = lambda a: f"array(named_struct('cell_id', '{a}', 'period', period, 'value', CAST({VALUES[a]} AS DECIMAL(38,0)), 'unit', 'VND'))"
+    when = lambda a: STALE if stale and a == "operating_cash_flow" else "period"
+    cell = lambda a: f"array(named_struct('cell_id', '{a}', 'period', {when(a)}, 'value', CAST({VALUES[a]} AS DECIMAL(38,0)), 'unit', 'VND'))"
     row = lambda a: F.expr(f"CASE WHEN {VALUES[a]} <> 0 THEN named_struct('row_id', 'r_{a}', 'standard_account', '{a}', 'label', '{a}', 'cells', {cell(a)}) END")
     g = g.withColumn("period", period)
     tables = F.array(F.struct(F.lit("t1").alias("table_id"), F.lit("quarter").alias("period_basis"), F.array_compact(F.array(*(row(a) for a in reports.ACCOUNTS))).alias("rows")))

@@ -52,11 +52,11 @@ r AS (
 
 
 def _growth_sql(now: str, before: str) -> str:
-    return f"CASE WHEN {before} <> 0 THEN CAST(sign({now} - {before}) AS BIGINT) * ((abs({now} - {before}) * 20000 + abs({before})) // (2 * abs({before}))) END"
+    return f"CASE WHEN {before} <> 0 THEN CAST(sign({now} - {before}) AS BIGINT) * CAST((abs({now} - {before})::HUGEINT * 20000 + abs({before})) // (2 * abs({before})::HUGEINT) AS BIGINT) END"
 
 
 def _share_sql(part: str, whole: str) -> str:
-    return f"CASE WHEN {whole} <> 0 THEN CAST(sign({part}) AS BIGINT) * ((abs({part}) * 20000 + abs({whole})) // (2 * abs({whole}))) END"
+    return f"CASE WHEN {whole} <> 0 THEN CAST(sign({part}) AS BIGINT) * CAST((abs({part})::HUGEINT * 20000 + abs({whole})) // (2 * abs({whole})::HUGEINT) AS BIGINT) END"
 
 
 _PAIR = "FROM p a JOIN p b ON a.entity = b.entity AND a.q = b.q AND a.y = b.y + 1"
