@@ -80,7 +80,7 @@ def assessment_violation() -> Column:
     differs = lambda n: ~a(n).eqNullSafe(p(n))
     no = lambda column, allowed: ~F.coalesce(column.isin(*allowed), F.lit(False))
     hidden = lambda ids, x: ~F.coalesce(F.array_contains(ids, x), F.lit(False))
-    rationale, refs, signals = a("rationale"), a("refs"), a("signals")
+    rationale, refs, signals, whole = a("rationale"), a("refs"), a("signals"), F.to_json("a")  # phrases may be anywhere in it
     ref_code = lambda r: F.when(no(r["evidence_ref_type"], REF_TYPES), "invalid_evidence_ref_type").when(no(r["role"], REF_ROLES), "invalid_evidence_ref_role").when(hidden(p("visible_ids"), r["ref_id"]), "invalid_evidence_ids")
     first = lambda codes: F.try_element_at(F.array_compact(codes), F.lit(1))
     signal_code = lambda s: F.coalesce(
@@ -91,7 +91,7 @@ def assessment_violation() -> Column:
         (a("assessment_id").isNull(), "schema_mismatch"), (differs("packet_id") | differs("candidate_id") | differs("report_id"), "identity_mismatch"), (differs("risk_category"), "risk_category_mismatch"),
         (no(a("support_level"), SUPPORT_LEVELS), "invalid_support_level"), (no(a("severity"), SEVERITIES), "invalid_severity"), (a("confidence").isNull() | (a("confidence") < 0) | (a("confidence") > 1), "invalid_confidence"),
         (F.coalesce(F.size(signals), F.lit(-1)) <= 0, "schema_mismatch"), (refs.isNull(), "schema_mismatch"), (F.trim(F.coalesce(rationale, F.lit(""))) == "", "schema_mismatch"), (dialects.sentence_count(rationale) > 3, "rationale_too_long"),
-        (mentions(rationale, PROHIBITED), "prohibited_risk_language"), (mentions(rationale, OUTSIDE), "outside_packet_reasoning"), (mentions(rationale, LEAKED), "hidden_injection_leakage"),
+        (mentions(whole, PROHIBITED), "prohibited_risk_language"), (mentions(whole, OUTSIDE), "outside_packet_reasoning"), (mentions(whole, LEAKED), "hidden_injection_leakage"),
     ]
     return F.coalesce(*(F.when(c, F.lit(code)) for c, code in rules), first(F.transform(refs, ref_code)), first(F.transform(signals, signal_code)))
 
@@ -169,7 +169,7 @@ def overall(findings: DataFrame, weak: DataFrame, reports: DataFrame) -> DataFra
     both = reports.join(f, "report_id", "left").join(w, "report_id", "left")
     rank = F.least(F.coalesce("rf", F.lit(3)), F.coalesce("rw", F.lit(3)))
     status = first_failing((F.col("f").isNotNull(), "risk_signals_identified"), (F.col("n_weak") > 0, "weak_or_limited_risk_signals_only"), (F.col("insufficient"), "insufficient_evidence_for_overall_assessment"), default="no_material_irregularity_signal_identified")
-    rest = F.array_distinct(F.flatten(F.transform(F.slice("f", 2, 1000000), lambda x: x["categories"])))
+    rest = F.array_distinct(F.flatten(F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: x["categories"])))
     return both.select("report_id", status.alias("status"), F.try_element_at("f", F.lit(1))["primary_category"].alias("primary_category"), F.coalesce(F.array_join(rest, ","), F.lit("")).alias("secondary"), F.element_at(F.array(*map(F.lit, SEVERITIES)), rank + 1).alias("highest_severity"), (F.col("f").isNotNull() | (F.coalesce("n_weak", F.lit(0)) > 0)).alias("review"))
 
 
@@ -181,7 +181,7 @@ def claims(findings: DataFrame, lineage: DataFrame) -> DataFrame:
     tokens = F.explode_outer(dialects.number_tokens(F.col("summary")))
     flat = rows.select("report_id", "finding_id", "tool_ref", "source_id", "period", "category", "severity", tokens.alias("number"))
     gathered = lambda c: F.array_sort(F.collect_set(c))
-    return flat.groupBy("report_id", "finding_id", "tool_ref", "source_id").agg(gathered("number").alias("numbers"), gathered("period").alias("periods"), gathered("category").alias("categories"), F.max("severity").alias("severity"))
+    return flat.groupBy("report_id", "finding_id", "tool_ref", "source_id").agg(gathered("number").alias("numbers"), gathered("period").alias("periods"), gathered("category").alias("categories"), F.element_at(F.array(*map(F.lit, SEVERITIES)), F.min(rank_of(F.col("severity"), SEVERITIES)) + 1).alias("severity"))
 
 
 def draft_violations(drafts: DataFrame, claimed: DataFrame) -> DataFrame:

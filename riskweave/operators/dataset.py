@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,14 +24,16 @@ def identity_groups(identities: DataFrame, record: str, identity: str, most_roun
     with the logarithm of a chain.  Each is checkpointed in the cluster's shared folder."""
     spark = identities.sparkSession
     edges = identities.select(F.col(record).alias("r"), F.col(identity).alias("i")).where("r is not null and i is not null").distinct()
-    labels, before = edges.select("r", F.col("r").alias("c")).distinct(), None
+    labels, before, old = edges.select("r", F.col("r").alias("c")).distinct(), None, None
     for _ in range(most_rounds):
         least = edges.join(labels, "r").groupBy("i").agg(F.min("c").alias("c"))
         found = edges.join(least, "i").groupBy("r").agg(F.min("c").alias("c"))
         hop = found.select(F.col("r").alias("c"), F.col("c").alias("cc"))
         labels = found.join(hop, "c", "left").select("r", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        labels = _cut(labels)
+        labels, path = _cut(labels)
         now = labels.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+        _drop(spark, old)
+        old = path or labels
         if now == before:
             break
         before = now
@@ -40,14 +42,23 @@ def identity_groups(identities: DataFrame, record: str, identity: str, most_roun
     return labels.select(F.col("r").alias(record), F.col("c").alias("component"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, where it is set, and read again."""
+def _drop(spark: SparkSession, old: DataFrame | str | None) -> None:
+    """Give up a table that nothing reads any more."""
+    if isinstance(old, str):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    elif old is not None:
+        old.unpersist()
+
+
+def _cut(df: DataFrame) -> tuple[DataFrame, str | None]:
+    """``df`` written to the folder that ``spark.checkpoint.dir`` names, where it is set, and read again; and its path."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        return df.persist()
+        return df.persist(), None
     df.write.parquet(path := f"{at.rstrip('/')}/groups-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def apportion(counts: DataFrame, count: str, shares: list[tuple[str, int]]) -> DataFrame:
@@ -58,7 +69,7 @@ def apportion(counts: DataFrame, count: str, shares: list[tuple[str, int]]) -> D
     shares = shares if any(p for _, p in shares) else [(name, int(i == 0)) for i, (name, _) in enumerate(shares)]
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(name).alias("split"), F.lit(p).cast("long").alias("percent")) for i, (name, p) in enumerate(shares)))).alias("s")
     total = counts.agg(F.sum(count).cast("long").alias("total")).select("total", rows).select("total", "s.*")
-    base = total.withColumn("base", F.expr(f"total * percent div {whole}")).withColumn("rest", F.expr(f"total * percent % {whole}"))
+    base = total.withColumn("base", F.expr(f"CAST(total AS DECIMAL(20,0)) * percent div {whole}")).withColumn("rest", F.expr(f"CAST(total AS DECIMAL(20,0)) * percent % {whole}"))
     left = F.max("total").over(Window.partitionBy()) - F.sum("base").over(Window.partitionBy())
     place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), F.desc("split")))
     return base.select("split", (F.col("base") + F.when(place <= left, 1).otherwise(0)).cast("long").alias("n"))

@@ -39,19 +39,6 @@ def ranges(groups: DataFrame, group: str, sizes: list[tuple[str, int]], seed: st
     return placed.withColumn("split", split).drop("__h", "__b", "__before", "__at")
 
 
-def counts_of(total: int, shares: dict[str, float]) -> list[tuple[str, int]]:
-    """Largest remainders over shares that need not sum to one; ties to the greater name; without a share all is train."""
-    names = ("train", "validation", "test", "holdout")
-    weight = {n: max(shares.get(n, 0), 0) for n in names}
-    weight = weight if sum(weight.values()) > 0 else dict.fromkeys(names, 0) | {"train": 1}
-    whole = sum(weight.values())
-    raw = {n: weight[n] * total / whole for n in names}
-    out = {n: int(raw[n]) for n in names}
-    for _, n in sorted(((raw[n] - out[n], n) for n in names), reverse=True)[: total - sum(out.values())]:
-        out[n] += 1
-    return list(out.items())
-
-
 def viability(counts: DataFrame, shares: list[tuple[str, int]], tolerance_bp: int) -> DataFrame:
     """(split, n, wanted_bp, actual_bp, code): splits asked for and empty, or off their share by more than the tolerance."""
     total = sum(p for _, p in shares)

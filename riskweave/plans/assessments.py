@@ -51,7 +51,7 @@ def _assessed(spark, sf) -> DataFrame:
     local = F.when(F.col("l_returnflag") == "R", F.substring_index("ref", ":", -1)).otherwise(F.col("ref"))
     g = lines.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 5, F.col("ref")))).alias("visible"), F.collect_set(signal).alias("known"), F.min_by(F.concat(F.lit("S"), F.col("l_suppkey") % 5), "pos").alias("said"),
-        F.array_sort(F.collect_list(F.when(F.col("pos") <= 2, F.struct("pos", kind.alias("evidence_ref_type"), local.alias("ref_id"), F.lit("supporting").alias("role"))))).alias("r"),
+        F.array_sort(F.collect_list(F.struct("pos", kind.alias("evidence_ref_type"), local.alias("ref_id"), F.lit("supporting").alias("role")))).alias("r"),
     )
     o = read(spark, sf, "orders").withColumn("id", F.col("o_orderkey").cast("string"))
     both = o.join(g, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -120,7 +120,7 @@ def packet_numbers(spark, sf):
 
 
 def _grouped(spark, sf) -> DataFrame:
-    lines = _lines(spark, sf).where("pos <= 2").withColumn("tool", F.concat(F.lit("T"), F.col("l_partkey") % 9))
+    lines = _lines(spark, sf).withColumn("tool", F.concat(F.lit("T"), F.col("l_partkey") % 9))
     tools = _gathered(lines, "t", "tool").select("l_orderkey", F.transform("t", lambda x: x["tool"]).alias("tool_ids"))
     o = read(spark, sf, "orders").where("o_orderstatus <> 'P'").join(tools, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     severity = F.when(F.col("o_totalprice") > 300000, "high").when(F.col("o_totalprice") > 100000, "medium").otherwise("low")
@@ -146,7 +146,7 @@ def claim_allowances(spark, sf):
 
 def _claims(spark, sf) -> DataFrame:
     summary = F.concat(F.lit("Lines of "), F.col("l_quantity").cast("int"), F.lit(" units, discount "), F.round(F.col("l_discount") * 100).cast("int"), F.lit(",5 percent, total 1.234"))
-    f = _lines(spark, sf).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("finding_id"), F.col("l_suppkey").alias("report_id"), F.concat(F.lit("T"), F.col("l_partkey") % 9).alias("tool_ref"), summary.alias("summary"), F.date_format("l_shipdate", "yyyy").alias("period"), F.lit("returns").alias("category"), F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("severity"))
+    f = _lines(spark, sf).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("finding_id"), F.col("l_suppkey").alias("report_id"), F.concat(F.lit("T"), F.col("l_partkey") % 9).alias("tool_ref"), summary.alias("summary"), F.date_format("l_shipdate", "yyyy").alias("period"), F.lit("returns").alias("category"), F.when(F.col("l_quantity") > 40, "high").when(F.col("l_quantity") > 15, "medium").otherwise("low").alias("severity"))
     return op.claims(f, read(spark, sf, "supplier").select(F.col("s_suppkey").alias("report_id"), F.col("s_name").alias("source_id")))
 
 
@@ -195,19 +195,19 @@ _SEV = "CASE {0} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE
 _BACK = "CASE {0} WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'unknown' END"
 _ASSESSED = f"""WITH {_L},
 v AS (SELECT l_orderkey, ref, pos, CASE WHEN l_discount > 0.08 THEN 'picture' ELSE 'table_row' END AS kind, CASE WHEN l_returnflag = 'R' THEN 'ROW_' || pos ELSE ref END AS ref_id, l_quantity > 5 AS seen FROM n),
-r AS (SELECT *, seen AND ref_id <> ref AS repaired FROM v WHERE pos <= 2),
+r AS (SELECT *, seen AND ref_id <> ref AS repaired FROM v),
 t AS (SELECT *, CASE WHEN repaired THEN ref ELSE ref_id END AS id2 FROM r),
 u AS (SELECT *, kind = 'picture' AND seen AS typed, CASE WHEN kind = 'picture' AND seen THEN 'table_row' ELSE kind END AS kind2 FROM t),
 c AS (SELECT *, CASE WHEN kind = 'picture' THEN 'invalid_evidence_ref_type' WHEN NOT (seen AND ref_id = ref) THEN 'invalid_evidence_ids' END AS code1, CASE WHEN kind2 = 'picture' THEN 'invalid_evidence_ref_type' WHEN NOT seen THEN 'invalid_evidence_ids' END AS code2 FROM u),
 g AS (SELECT l_orderkey, arg_min(code1, pos) FILTER (WHERE code1 IS NOT NULL) AS ref1, arg_min(code2, pos) FILTER (WHERE code2 IS NOT NULL) AS ref2, bool_or(repaired) AS by_id, bool_or(typed) AS by_type, string_agg(kind2 || '=' || id2, ',' ORDER BY pos) AS refs FROM c GROUP BY 1),
 k AS (SELECT l_orderkey, list('S' || (l_partkey % 5)) AS known, arg_min('S' || (l_suppkey % 5), pos) AS said FROM n GROUP BY 1),
 o AS (SELECT *, o_custkey % 3 > 0 AS has, list_contains(known, said) AS heard, CASE WHEN o_orderpriority = '1-URGENT' THEN 'prohibited_risk_language' WHEN o_orderpriority = '2-HIGH' THEN 'rationale_too_long' WHEN o_orderpriority = '5-LOW' THEN 'outside_packet_reasoning' END AS told FROM orders JOIN g ON g.l_orderkey = o_orderkey JOIN k ON k.l_orderkey = o_orderkey)"""
-_CLAIMS = f"""WITH {_L}, f AS (SELECT l_orderkey AS finding_id, l_suppkey AS report_id, 'T' || (l_partkey % 9) AS tool_ref, CAST(l_quantity AS INTEGER) AS q, CAST(round(l_discount * 100) AS INTEGER) AS d, CAST(year(l_shipdate) AS VARCHAR) AS period, CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS severity FROM n WHERE l_returnflag = 'R'),
+_CLAIMS = f"""WITH {_L}, f AS (SELECT l_orderkey AS finding_id, l_suppkey AS report_id, 'T' || (l_partkey % 9) AS tool_ref, CAST(l_quantity AS INTEGER) AS q, CAST(round(l_discount * 100) AS INTEGER) AS d, CAST(year(l_shipdate) AS VARCHAR) AS period, CASE WHEN l_quantity > 40 THEN 0 WHEN l_quantity > 15 THEN 1 ELSE 2 END AS severity FROM n WHERE l_returnflag = 'R'),
 x AS (SELECT finding_id, report_id, tool_ref, period, severity, unnest([CAST(q AS VARCHAR), d || '.5', '1234']) AS number FROM f),
-claims AS (SELECT report_id, finding_id, tool_ref, s_name AS source_id, list_sort(list(DISTINCT number)) AS numbers, string_agg(DISTINCT period, ' ' ORDER BY period) AS periods, max(severity) AS severity FROM x JOIN supplier ON s_suppkey = report_id GROUP BY ALL)"""
+claims AS (SELECT report_id, finding_id, tool_ref, s_name AS source_id, list_sort(list(DISTINCT number)) AS numbers, string_agg(DISTINCT period, ' ' ORDER BY period) AS periods, ['high', 'medium', 'low'][min(severity) + 1] AS severity FROM x JOIN supplier ON s_suppkey = report_id GROUP BY ALL)"""
 _CLAIMS = _CLAIMS.replace("GROUP BY ALL", "GROUP BY report_id, finding_id, tool_ref, s_name")
 _GROUPS = f"""WITH {_L},
-tools AS (SELECT l_orderkey, list('T' || (l_partkey % 9) ORDER BY pos) AS t FROM n WHERE pos <= 2 GROUP BY 1),
+tools AS (SELECT l_orderkey, list('T' || (l_partkey % 9) ORDER BY pos) AS t FROM n GROUP BY 1),
 a AS (SELECT o_custkey AS report_id, 'A' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS id, o_orderkey AS pos, substring(o_orderpriority, 1, 1) AS cat, CASE WHEN o_totalprice > 300000 THEN 0 WHEN o_totalprice > 100000 THEN 1 ELSE 2 END AS sev, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS pri, t FROM orders LEFT JOIN tools ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'),
 k AS (SELECT *, coalesce(t[1], cat) AS key, row_number() OVER (PARTITION BY report_id, coalesce(t[1], cat) ORDER BY sev, pri, id) AS r FROM a),
 g AS (SELECT report_id, key, min(pos) AS first, min(sev) AS sev, max(CASE WHEN r = 1 THEN cat END) AS primary_category, max(CASE WHEN r = 1 THEN id END) AS primary_assessment, string_agg(id, ',' ORDER BY pos) AS assessment_ids FROM k GROUP BY 1, 2),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import dialects
-from riskweave.operators import dataset, evaluate, gate, integrity, ranking, splits
+from riskweave.operators import dataset, evaluate, gate, integrity, nested, ranking, splits
 from riskweave.plans import records
 from riskweave.sources.tables import read
 
@@ -38,8 +38,8 @@ def reserved_groups(spark, sf):
 def split_ranges(spark, sf):
     """Texts' groups in consecutive ranges of a seeded order, sized by largest remainders of shares of 105."""
     groups = read(spark, sf, "documents").select(F.sha2("text", 256).alias("group_id")).distinct()
-    sizes = splits.counts_of(groups.count(), dict(SHARES))
-    return splits.ranges(groups, "group_id", sizes, "23").select("group_id", "split")
+    sizes = dict(map(tuple, dataset.apportion(groups.agg(F.count("*").alias("n")), "n", list(SHARES)).collect()))  # one for each split
+    return splits.ranges(groups, "group_id", [(name, sizes[name]) for name, _ in SHARES], "23").select("group_id", "split")
 
 
 def split_viability(spark, sf):
@@ -65,7 +65,7 @@ def split_order(spark, sf):
 def leakage_fields(spark, sf):
     """Values found in several splits, by field, without toxic rows."""
     rows = records._splits(spark, sf).join(read(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_anti")
-    fields = {"text": F.sha2("text", 256), "normalised": dataset.text_hash(F.col("text")), "head": F.sha2(F.substring("text", 1, 80), 256), "tail": F.sha2(F.substring(F.reverse("text"), 1, 80), 256), "size": F.concat_ws(":", "source", F.length("text").cast("string")), "line": F.sha2(F.substring_index("text", "\n", 1), 256)}
+    fields = {"text": F.sha2("text", 256), "normalised": dataset.text_hash(F.col("text")), "words": F.sha2(F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))), " "), 256), "digits": F.sha2(F.regexp_replace("text", "[^0-9]+", ""), 256), "size": F.concat_ws(":", "source", F.length("text").cast("string")), "line": F.sha2(F.substring_index("text", "\n", 1), 256)}
     long = rows.select("split", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()))).alias("f")).select("split", "f.*")
     found = long.groupBy("field", "value").agg(F.array_sort(F.collect_set("split")).alias("s"))
     return found.where(F.size("s") > 1).groupBy("field", F.array_join("s", ",").alias("splits")).agg(F.count("*").alias("n"))
@@ -233,9 +233,9 @@ def chat_messages(spark, sf):
 
 
 def renamed_categories(spark, sf):
-    """A category renamed wherever it is a whole JSON value, and nowhere else."""
-    e = read(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("a"), F.concat(F.lit("my "), "event_type").alias("b"), F.array("event_type", F.lit("x")).alias("c"))).alias("j"))
-    return e.select("event_id", F.regexp_replace("j", '"purchase"', '"sale"').alias("renamed"))
+    """A category renamed wherever it is a whole JSON value, and nowhere else: keys and longer texts keep it."""
+    e = read(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("a"), F.concat(F.lit("my "), "event_type").alias("b"), F.array("event_type", F.lit("x")).alias("c"), F.create_map("event_type", F.concat(F.lit('a "purchase": '), "event_type")).alias("purchase"))).alias("j"))
+    return e.select("event_id", nested.renamed_values(F.col("j"), {"purchase": "sale"}).alias("renamed"))
 
 
 def negative_controls(spark, sf):
@@ -287,7 +287,7 @@ b AS (SELECT split, sum(n) OVER (ORDER BY i) AS top, sum(n) OVER (ORDER BY i) -
     "split_viability": f"{_S}, c AS (SELECT split, count(*) AS n FROM s GROUP BY 1), w AS (SELECT 'train' AS split, 8000 AS wanted_bp UNION ALL SELECT 'validation', 1000 UNION ALL SELECT 'test', 500 UNION ALL SELECT 'holdout', 500), v AS (SELECT w.split, coalesce(n, 0) AS n, CAST(wanted_bp AS BIGINT) AS wanted_bp, CAST(coalesce(n, 0) * 10000 // (SELECT sum(n) FROM c) AS BIGINT) AS actual_bp FROM w LEFT JOIN c ON c.split = w.split) SELECT *, CASE WHEN n = 0 THEN 'empty_requested_split' WHEN abs(actual_bp - wanted_bp) > 200 THEN 'outside_tolerance' ELSE 'viable' END AS code FROM v",
     "stamped_records": f"{_S}, k AS (SELECT s.*, CASE WHEN toxic = 1 THEN 'excluded' ELSE split END AS sp FROM s LEFT JOIN labels ON labels.doc_id = s.doc_id) SELECT doc_id, source AS group_key, sp AS split, sha256('{{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}}') AS packet_content_hash, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS assessment_rationale_hash, sp <> 'excluded' AS usable_for_training, CASE WHEN sp = 'excluded' THEN 'excluded' END AS exclusion_reason FROM k",
     "split_order": f"{_S}, k AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'archive' ELSE split END AS split FROM s), r AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 WHEN 'holdout' THEN 3 WHEN 'excluded' THEN 4 ELSE 99 END AS rank FROM k) SELECT doc_id, split, rank, row_number() OVER (PARTITION BY rank ORDER BY doc_id) AS place FROM r",
-    "leakage_fields": f"{_S}, k AS (SELECT s.* FROM s LEFT JOIN labels ON labels.doc_id = s.doc_id AND toxic = 1 WHERE toxic IS NULL), l AS (SELECT split, 'text' AS field, sha256(text) AS value FROM k UNION ALL SELECT split, 'normalised', {records._HASH} FROM k UNION ALL SELECT split, 'head', sha256(substring(text, 1, 80)) FROM k UNION ALL SELECT split, 'tail', sha256(right(text, 80)) FROM k UNION ALL SELECT split, 'size', source || ':' || length(text) FROM k UNION ALL SELECT split, 'line', sha256(string_split(text, chr(10))[1]) FROM k), f AS (SELECT field, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM l GROUP BY 1, 2 HAVING count(DISTINCT split) > 1) SELECT field, splits, count(*) AS n FROM f GROUP BY 1, 2",
+    "leakage_fields": f"{_S}, k AS (SELECT s.* FROM s LEFT JOIN labels ON labels.doc_id = s.doc_id AND toxic = 1 WHERE toxic IS NULL), l AS (SELECT split, 'text' AS field, sha256(text) AS value FROM k UNION ALL SELECT split, 'normalised', {records._HASH} FROM k UNION ALL SELECT split, 'words', sha256(array_to_string(list_sort(list_distinct(string_split_regex(lower(text), '[^a-z]+'))), ' ')) FROM k UNION ALL SELECT split, 'digits', sha256(regexp_replace(text, '[^0-9]+', '', 'g')) FROM k UNION ALL SELECT split, 'size', source || ':' || length(text) FROM k UNION ALL SELECT split, 'line', sha256(string_split(text, chr(10))[1]) FROM k), f AS (SELECT field, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM l GROUP BY 1, 2 HAVING count(DISTINCT split) > 1) SELECT field, splits, count(*) AS n FROM f GROUP BY 1, 2",
     "composed_dataset": f"{_S} SELECT split, CASE WHEN lang <> 'de' OR split = 'test' THEN 'base' ELSE 'extra' END AS origin, count(*) AS n, CASE WHEN split = 'test' THEN true END AS reserved_kept FROM s GROUP BY 1, 2",
     "scenario_variants": "SELECT n_nationkey AS family, CAST(support AS INTEGER) AS support, CAST(slot AS INTEGER) AS slot, CAST(((support - n_nationkey) % 4 + 4) % 4 AS INTEGER) AS turn, CAST(1000 + n_nationkey * 32 + support * 8 + slot AS BIGINT) AS seed FROM nation CROSS JOIN range(4) a(support) CROSS JOIN range(8) b(slot) WHERE (n_nationkey + support) % 3 > 0",
     "eligibility_reasons": f"{_CAND}, x AS (SELECT 'judge_decision_' || coalesce(decision, 'missing') AS reason FROM r WHERE r1 UNION ALL SELECT 'judge_score_below_promotion_threshold' FROM r WHERE r2 UNION ALL SELECT 'judge_hard_dimension_below_promotion_threshold' FROM r WHERE r3 UNION ALL SELECT 'eligible' FROM r WHERE NOT r1 AND NOT r2 AND NOT r3) SELECT reason, count(*) AS n FROM x GROUP BY 1",
@@ -308,7 +308,7 @@ b AS (SELECT split, sum(n) OVER (ORDER BY i) AS top, sum(n) OVER (ORDER BY i) -
     "sidecar_join": "SELECT CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS predicted, CASE WHEN toxic = 1 THEN 'invalid_response' ELSE 'none' END AS sidecar, count(*) AS n FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id AND toxic = 1 GROUP BY 1, 2",
     "two_formats": "SELECT 'doc-' || doc_id AS example_id, lang AS category, CAST(length(text) AS BIGINT) AS size, 'record' AS format FROM documents UNION ALL SELECT 'chat-' || conv_id, arg_max(role, turn), CAST(sum(length(text)) AS BIGINT), 'chat' FROM conversations GROUP BY conv_id",
     "chat_messages": "SELECT conv_id, sha256('{\"messages\":[' || string_agg('{\"content\":' || to_json(text) || ',\"role\":\"' || role || '\"}', ',' ORDER BY turn) || '],\"metadata\":{\"n\":' || count(*) || '}}') AS digest FROM conversations GROUP BY conv_id",
-    "renamed_categories": "SELECT event_id, '{\"a\":\"' || CASE event_type WHEN 'purchase' THEN 'sale' ELSE event_type END || '\",\"b\":\"my ' || event_type || '\",\"c\":[\"' || CASE event_type WHEN 'purchase' THEN 'sale' ELSE event_type END || '\",\"x\"]}' AS renamed FROM events",
+    "renamed_categories": "SELECT event_id, '{\"a\":\"' || CASE event_type WHEN 'purchase' THEN 'sale' ELSE event_type END || '\",\"b\":\"my ' || event_type || '\",\"c\":[\"' || CASE event_type WHEN 'purchase' THEN 'sale' ELSE event_type END || '\",\"x\"],\"purchase\":{\"' || event_type || '\":\"a \\\"purchase\\\": ' || event_type || '\"}}' AS renamed FROM events",
     "negative_controls": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'candidate' ELSE 'negative_control' END AS kind FROM orders",
     "context_queries": "SELECT l_orderkey, l_returnflag, CAST(n AS INTEGER) AS n, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) WHERE (l_returnflag = 'R' AND n <= 2) OR (l_returnflag = 'N' AND n <= 1)",
     "staged_batches": "WITH g AS (SELECT count(*) AS n, bool_or(l_discount > 0.09 OR l_quantity < 2) AS bad FROM lineitem GROUP BY l_orderkey) SELECT CASE WHEN bad THEN 'refused' ELSE 'staged' END AS state, count(*) AS batches, CAST(sum(n) AS BIGINT) AS records FROM g GROUP BY 1",

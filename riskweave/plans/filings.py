@@ -124,9 +124,11 @@ def corrected_cells(spark, sf):
 def linked_notes(spark, sf):
     """Lines' note hints against notes of the same order: numerals and numbers meet, and so do titles of any case."""
     lines = read(spark, sf, "lineitem")
-    numeral = F.element_at(F.array(*map(F.lit, ("I", "II", "III", "IV", "V", "VI", "VII"))), F.col("l_linenumber"))
-    notes = lines.where("l_returnflag <> 'A' and l_linenumber <= 7").select(F.col("l_orderkey").alias("doc"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("note_id"), numeral.alias("number"), F.concat(F.lit("Note "), "l_linestatus").alias("title"))
-    rows = lines.where("l_linenumber <= 7").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("row"), F.col("l_linenumber").cast("string").alias("note"), F.concat(F.lit("NOTE "), "l_linestatus").alias("title")).distinct()
+    tens = F.element_at(F.array(*map(F.lit, ("", "X", "XX", "XXX", "XL"))), (F.floor(F.col("l_linenumber") / 10) % 5 + 1).cast("int"))
+    ones = F.element_at(F.array(*map(F.lit, ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"))), (F.col("l_linenumber") % 10 + 1).cast("int"))
+    numeral = F.when(F.col("l_linenumber") < 50, F.concat(tens, ones)).otherwise(F.col("l_linenumber").cast("string"))
+    notes = lines.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("doc"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("note_id"), numeral.alias("number"), F.concat(F.lit("Note "), "l_linestatus").alias("title"))
+    rows = lines.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("row"), F.col("l_linenumber").cast("string").alias("note"), F.concat(F.lit("NOTE "), "l_linestatus").alias("title")).distinct()
     return extraction.note_links(rows, notes)
 
 
@@ -272,7 +274,7 @@ SQL = {
     "assembled_reports": f"{_RAWROWS} SELECT l_orderkey AS doc, array_to_string(list_filter([CASE WHEN bool_or(bucket = 'balance') THEN 'balance_sheet' END, CASE WHEN bool_or(bucket = 'cash_flow') THEN 'cash_flow_statement' END, CASE WHEN bool_or(bucket LIKE 'income%') THEN 'income_statement' END], lambda x: x IS NOT NULL), ',') AS sections, count(DISTINCT bucket) AS tables, count(*) AS cells, CAST(sum(value) AS BIGINT) AS total FROM s GROUP BY 1",
     "surface_statuses": f"WITH t AS (SELECT user_id, ['{chr(39).join(extraction.SURFACES).replace(chr(39), chr(39) + ', ' + chr(39))}'][CAST(floor(value) AS INTEGER) % 5 + 1] AS surface, event_id, CASE WHEN event_type = 'error' THEN 'absent_in_source' ELSE 'extracted' END AS state FROM events), l AS (SELECT user_id, surface, arg_max(state, event_id) AS state FROM t GROUP BY 1, 2), d AS (SELECT c_custkey AS doc, unnest(['{chr(39).join(extraction.SURFACES).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS surface FROM customer) SELECT doc, d.surface, coalesce(state, 'unsupported_by_extraction_path') AS state FROM d LEFT JOIN l ON user_id = doc AND l.surface = d.surface",
     "corrected_cells": "WITH c AS (SELECT o_orderkey AS doc, CAST(round(o_totalprice * 100) AS BIGINT) AS value FROM orders), f AS (SELECT doc, count(*) AS n, min(CASE WHEN l_returnflag = 'A' THEN value + 1 ELSE value END) AS original, min(value + l_partkey) AS corrected, bool_and(l_tax < 0.07) AS resolved FROM lineitem JOIN c ON l_orderkey = doc WHERE l_discount > 0.07 GROUP BY 1), k AS (SELECT c.doc, value, corrected, CASE WHEN n IS NULL THEN 'as_filed' WHEN n > 1 THEN 'duplicate_correction' WHEN NOT resolved THEN 'unresolved_correction' WHEN original <> value THEN 'original_value_differs' ELSE 'corrected' END AS code FROM c LEFT JOIN f ON f.doc = c.doc) SELECT doc, 'revenue' AS account, CASE WHEN code = 'corrected' THEN corrected ELSE value END AS value, code FROM k",
-    "linked_notes": "WITH r AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS row, l_linestatus AS t FROM lineitem WHERE l_linenumber <= 7), n AS (SELECT l_orderkey AS doc, l_linenumber AS row, l_linestatus AS t, l_partkey || '-' || l_suppkey AS note_id FROM lineitem WHERE l_returnflag <> 'A' AND l_linenumber <= 7), f AS (SELECT r.doc, r.row, count(note_id) AS n, min(note_id) AS note_id FROM r LEFT JOIN n ON n.doc = r.doc AND n.row = r.row AND n.t = r.t GROUP BY 1, 2) SELECT doc, row, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'linked' END AS status, CASE WHEN n = 1 THEN note_id END AS note_id FROM f",
+    "linked_notes": "WITH r AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS row, l_linestatus AS t FROM lineitem), n AS (SELECT l_orderkey AS doc, l_linenumber AS row, l_linestatus AS t, l_partkey || '-' || l_suppkey AS note_id FROM lineitem WHERE l_returnflag <> 'A'), f AS (SELECT r.doc, r.row, count(note_id) AS n, min(note_id) AS note_id FROM r LEFT JOIN n ON n.doc = r.doc AND n.row = r.row AND n.t = r.t GROUP BY 1, 2) SELECT doc, row, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'linked' END AS status, CASE WHEN n = 1 THEN note_id END AS note_id FROM f",
     "source_selection": f"{_SELECTED} SELECT package, status, code, CAST(doc AS INTEGER) AS doc, superseded, supporting, ignored FROM z",
     "source_records": f"{_SOURCES} SELECT package, CAST(doc AS INTEGER) AS doc, kind FROM k",
     "source_confirmation": f"{_SELECTED}, r AS (SELECT package, count(*) FILTER (WHERE kind IN ('missing_classifier_record', 'inconclusive_classifier_record')) AS errors, count(*) FILTER (WHERE kind LIKE 'english%') AS warnings, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) FILTER (WHERE kind = 'candidate') AS c FROM k GROUP BY 1) SELECT z.package, status, errors, warnings, CASE WHEN status = 'hitl_needed' THEN coalesce(c, '') ELSE '' END AS asked FROM z JOIN r ON r.package = z.package",

@@ -43,7 +43,7 @@ def packet_variants(spark, sf):
     """Orders' packets in every slot, as one line each; the target goes by the order's status."""
     spot = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     ref = F.concat(F.lit("R"), F.col("pos").cast("string"))
-    lines = read(spark, sf, "lineitem").withColumn("pos", spot).where("pos <= 3").withColumn("ref", ref)
+    lines = read(spark, sf, "lineitem").withColumn("pos", spot).withColumn("ref", ref)
     array = lambda c, w=None: F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("v")) if w is None else F.when(w, F.struct("pos", c.alias("v"))))), lambda x: x["v"])
     finding = F.struct(F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("finding_id"), (F.col("l_returnflag") == "R").alias("flag"), F.array("ref").alias("refs"))
     g = lines.groupBy("l_orderkey").agg(array(finding).alias("findings"), array(F.concat(F.lit("N"), F.col("l_partkey").cast("string")), F.col("l_quantity") > 10).alias("notes"), array(F.col("ref")).alias("rows"))
@@ -94,7 +94,7 @@ SQL = {
     "family_flags": f"WITH f AS (SELECT p_partkey, p_size * 200 AS m, {_T}[CAST(p_partkey % 4 + 1 AS INTEGER)] AS target, unnest(['{chr(39).join(op.THRESHOLDS).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS family FROM part), o AS (SELECT *, CASE family {_OVER} END AS over_ FROM f) SELECT family, over_ AS \"over\", CASE WHEN family IN ('revenue_receivables', 'earnings_cashflow') THEN over_ ELSE target <> 'not_supported' END AS flag, count(*) AS n FROM o GROUP BY 1, 2, 3",
     "packet_variants": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem),
 s AS (SELECT slot, i FROM (SELECT unnest(['{chr(39).join(op.SLOTS).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS slot, unnest(range(1, 9)) AS i)),
-x AS (SELECT o_orderkey, o_orderpriority, slot, i, o_orderstatus = 'P' AS bare, pos, l_suppkey, l_partkey, l_quantity, l_returnflag = 'R' AND i <> 6 AS flag, 'R' || pos || CASE WHEN i = 7 THEN '_ALT' ELSE '' END AS ref FROM orders JOIN l ON l_orderkey = o_orderkey AND pos <= 3 CROSS JOIN s),
+x AS (SELECT o_orderkey, o_orderpriority, slot, i, o_orderstatus = 'P' AS bare, pos, l_suppkey, l_partkey, l_quantity, l_returnflag = 'R' AND i <> 6 AS flag, 'R' || pos || CASE WHEN i = 7 THEN '_ALT' ELSE '' END AS ref FROM orders JOIN l ON l_orderkey = o_orderkey CROSS JOIN s),
 n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, slot, l_quantity > 10 ORDER BY pos) AS nth FROM x),
 g AS (SELECT o_orderkey, slot, max(i) AS i, bool_or(bare) AS bare, max(o_orderpriority) AS reason, string_agg('T' || l_suppkey || '/' || CASE WHEN flag THEN 'true' ELSE 'false' END || '/' || ref, ',' ORDER BY pos) AS findings, coalesce(string_agg('N' || l_partkey || CASE WHEN i = 5 THEN ' Little detail is disclosed.' ELSE '' END, ',' ORDER BY pos) FILTER (WHERE l_quantity > 10 AND (i <> 3 OR nth = 1)), '') AS notes, string_agg(ref, ',' ORDER BY pos) AS refs FROM n GROUP BY 1, 2)
 SELECT o_orderkey, slot, CASE WHEN bare OR i = 4 THEN '' ELSE findings END || '|' || CASE WHEN bare THEN '' ELSE notes END || '|' || CASE WHEN i = 2 THEN 'Billing at the end of the quarter explains it.' ELSE '' END || '|' || refs || '|' || CASE WHEN bare OR i = 4 THEN '' ELSE 'S1' END || '|' || CASE WHEN bare OR i IN (3, 4) THEN 'medium' ELSE 'high' END || '|' ||

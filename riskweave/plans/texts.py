@@ -139,7 +139,7 @@ def _profile_sql(text: str, least: int) -> str:
     return f"CASE {' '.join(cases)} ELSE 'standard_corporate' END"
 
 
-_WHOLE = "CASE WHEN regexp_full_match({c}, '-?[0-9]{{1,18}}') THEN CASE WHEN trim({0}) LIKE '(%)' THEN -1 ELSE 1 END * CAST({c} AS BIGINT) END"
+_WHOLE = "CASE WHEN regexp_full_match({c}, '-?[0-9]{{1,38}}') THEN CASE WHEN trim({0}) LIKE '(%)' THEN -1 ELSE 1 END * CAST({c} AS HUGEINT) END"
 _CLEAN = "replace(replace(regexp_replace(trim({0}), '^[()]+|[()]+$', '', 'g'), '.', ''), ',', '')"
 _NUMBER = """CASE WHEN contains(x, '.') AND contains(x, ',') THEN replace(replace(x, '.', ''), ',', '.')
   WHEN contains(x, ',') THEN CASE WHEN regexp_full_match(x, '[^,]*,[0-9]{1,2}') THEN replace(x, ',', '.') WHEN regexp_full_match(x, '[^,]*(,[0-9]{3})+') THEN replace(x, ',', '') ELSE replace(x, ',', '.') END

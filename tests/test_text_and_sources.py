@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import dialects as d
-from riskweave.operators import splits, workflow
+from riskweave.operators import dataset, workflow
 from riskweave.sources import jsonl
 
 
@@ -39,10 +39,12 @@ def test_formatters(spark):
     assert one(spark, d.document_role, "bao cao tai chinh", "thuyet minh dieu chinh", "thuyet minh thay the toan bo, giai trinh", "x") == ["financial_statement", "amendment_context_attachment", "variance_explanation", "out_of_scope"]
 
 
-def test_split_counts():
-    assert dict(splits.counts_of(10, {"train": 0.7, "validation": 0.15, "test": 0.15})) == {"train": 7, "validation": 2, "test": 1, "holdout": 0}
-    assert dict(splits.counts_of(3, {"train": 0, "test": -1})) == {"train": 3, "validation": 0, "test": 0, "holdout": 0}
-    assert sum(n for _, n in splits.counts_of(101, {"train": 2, "holdout": 1})) == 101
+def test_split_counts(spark):
+    of = lambda n, *shares: dict(map(tuple, dataset.apportion(spark.createDataFrame([(n,)], "n long"), "n", list(shares)).collect()))
+    assert of(10, ("train", 70), ("validation", 15), ("test", 15)) == {"train": 7, "validation": 2, "test": 1}
+    assert of(3, ("train", 0), ("test", -1)) == {"train": 3, "test": 0}
+    assert sum(of(101, ("train", 2), ("holdout", 1), ("own", 4)).values()) == 101
+    assert sum(of(2**62 + 1, ("train", 1), ("test", 1)).values()) == 2**62 + 1
 
 
 def test_unknown_mode(spark):
