@@ -21,14 +21,6 @@ MODES = {
     "fetched": ("NFKD", "lower", "d", None),
     "discovery": ("NFKD", "lower", None, r"[^a-zA-Z0-9]+"),
 }
-# Markers of document roles, in the order in which they decide.
-AMENDED = ("dieu chinh", "bo sung", "sua doi", "thay the", "adjusted", "amended")
-# Markers of a report profile; three of them decide.
-PROFILES = {
-    "securities": ("fvtpl", "margin", "brokerage", "securities", "trading"),
-    "insurance": ("premium", "claims", "reinsurance", "insurance", "policyholder"),
-    "credit_institution": ("loan", "deposit", "credit", "bank", "interest"),
-}
 
 
 def normalise(value: str | None, mode: str) -> str | None:
@@ -115,20 +107,6 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def document_role(text: Column) -> Column:
-    """The role of a document from its normalised text, by the first rule that holds."""
-    has = lambda *m: F.expr(" or ".join(["false"])) if not m else _any(text, m)
-    replaced = has("thay the toan bo", "full replacement")
-    return (
-        F.when(has("business overview", "tong quan tinh hinh kinh doanh"), "business_overview")
-        .when(has("cong bo thong tin", "information disclosure"), "cover_or_disclosure")
-        .when(has("thuyet minh", "dieu chinh") & ~replaced, "amendment_context_attachment")
-        .when(has("giai trinh", "explanation"), "variance_explanation")
-        .when(has("bao cao tai chinh", "financial statement", "bctc"), "financial_statement")
-        .otherwise("out_of_scope")
-    )
-
-
 def _any(text: Column, markers) -> Column:
     found = F.lit(False)
     for m in markers:
@@ -136,17 +114,6 @@ def _any(text: Column, markers) -> Column:
     return found
 
 
-def amendment_hints(text: Column) -> Column:
-    """The first four markers of an amendment in a normalised text."""
-    return F.slice(F.array_compact(F.array(*(F.when(text.contains(m), F.lit(m)) for m in AMENDED))), 1, 4)
-
-
-def profile(text: Column, least: int = 3) -> Column:
-    """The first profile of which a text has ``least`` markers, else ``standard_corporate``."""
-    hits = lambda markers: sum((text.contains(m).cast("int") for m in markers), F.lit(0))
-    return F.coalesce(*(F.when(hits(markers) >= least, F.lit(name)) for name, markers in PROFILES.items()), F.lit("standard_corporate"))
-
-
 def is_vietnamese(text: Column) -> Column:
     return F.lower(text).rlike("[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.functions import dialects as d
+from riskweave.functions import markers
 from riskweave.functions import text as t
 from riskweave.sources.tables import read
 
@@ -55,17 +56,17 @@ def fenced_json(spark, sf):
 
 
 def document_roles(spark, sf):
-    """Roles, amendment hints and profile of every document from its normalised text."""
-    text = d.normalised(F.col("text"), "fetched")
-    docs = read(spark, sf, "documents").select("doc_id", text.alias("n"))
-    n = F.col("n")
-    return docs.select("doc_id", d.document_role(n).alias("role"), F.array_join(d.amendment_hints(n), ",").alias("hints"), d.profile(n, 2).alias("profile"), d.is_vietnamese(n).alias("vietnamese"))
+    """Roles, amendment hints, language and profile of every document from one scan of its normalised text."""
+    docs = read(spark, sf, "documents").select("doc_id", d.normalised(F.col("text"), "fetched").alias("n"))
+    docs = docs.withColumn("found", markers.found_in(F.col("n"), (*markers.SOURCE, *markers.PROFILE)))
+    f = F.col("found")
+    return docs.select("doc_id", markers.role(f).alias("role"), F.array_join(markers.amendment_hints(f), ",").alias("hints"), markers.language(f).alias("language"), markers.profile(f).alias("profile"), d.is_vietnamese(F.col("n")).alias("vietnamese"))
 
 
 def role_counts(spark, sf):
     """Roles of conversations' turns, which speak of explanations and the like more than documents do."""
-    n = F.lower("text")
-    return read(spark, sf, "conversations").groupBy(d.document_role(n).alias("role"), d.profile(n, 1).alias("profile")).agg(F.count("*").alias("n"))
+    found = read(spark, sf, "conversations").select(markers.found_in(F.lower("text"), (*markers.SOURCE, *markers.PROFILE)).alias("found"))
+    return found.groupBy(markers.role(F.col("found")).alias("role"), markers.language(F.col("found")).alias("language")).agg(F.count("*").alias("n"))
 
 
 def grouped_amounts(spark, sf):
@@ -134,9 +135,18 @@ _ROLE = """CASE WHEN contains({0}, 'business overview') OR contains({0}, 'tong q
   WHEN contains({0}, 'bao cao tai chinh') OR contains({0}, 'financial statement') OR contains({0}, 'bctc') THEN 'financial_statement' ELSE 'out_of_scope' END"""
 
 
-def _profile_sql(text: str, least: int) -> str:
-    cases = [f"WHEN {' + '.join(f'''CASE WHEN contains({text}, '{m}') THEN 1 ELSE 0 END''' for m in markers)} >= {least} THEN '{name}'" for name, markers in d.PROFILES.items()]
-    return f"CASE {' '.join(cases)} ELSE 'standard_corporate' END"
+def _any_sql(text: str, names: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{m}')" for m in names) + ")"
+
+
+def language_sql(text: str) -> str:
+    vi, en = _any_sql(text, markers.VIETNAMESE), _any_sql(text, markers.ENGLISH)
+    return f"CASE WHEN {vi} AND {en} THEN 'mixed' WHEN {en} THEN 'en' WHEN {vi} OR {_any_sql(text, ('bao cao', 'cong bo', 'bctc'))} THEN 'vi' ELSE 'unknown' END"
+
+
+def profile_sql(text: str) -> str:
+    count = " + ".join(f"CAST(contains({text}, '{m}') AS INTEGER)" for m in markers.STANDARD)
+    return f"CASE WHEN {_any_sql(text, markers.INSURANCE)} THEN 'insurance' WHEN {_any_sql(text, markers.SECURITIES)} THEN 'securities' WHEN {count} >= 3 THEN 'standard_corporate' ELSE 'unknown' END"
 
 
 _WHOLE = "CASE WHEN regexp_full_match({c}, '-?[0-9]{{1,38}}') THEN CASE WHEN trim({0}) LIKE '(%)' THEN -1 ELSE 1 END * CAST({c} AS HUGEINT) END"
@@ -160,8 +170,8 @@ SELECT doc_id, string_agg(x, ' ' ORDER BY spot) AS numbers FROM f GROUP BY doc_i
     "note_references": "WITH s AS (SELECT p_partkey, ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XL', 'A', 'b'][CAST(p_size % 13 + 1 AS INTEGER)] AS sign, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 40, NULL, NULL][CAST(p_size % 13 + 1 AS INTEGER)] AS major FROM part) SELECT p_partkey, coalesce(CAST(major AS VARCHAR), lower(sign)) || '.' || CAST(p_partkey % 100 AS VARCHAR) AS note, CAST(major AS BIGINT) AS major FROM s",
     "sentence_counts": "WITH s AS (SELECT item_id, CAST(len(list_filter(string_split_regex(regexp_replace(regexp_replace(text, '([0-9])\\.([0-9])', '\\1<DECIMAL>\\2', 'g'), '([0-9])\\.([0-9])', '\\1<DECIMAL>\\2', 'g'), '[.!?]+'), lambda x: trim(x) <> '')) AS BIGINT) AS sentences FROM benchmark) SELECT *, sentences > 3 AS too_long FROM s",
     "fenced_json": "SELECT event_id, sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') AS digest, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "document_roles": f"WITH n AS (SELECT doc_id, {_FETCHED} AS n FROM documents) SELECT doc_id, {_ROLE.format('n')} AS role, array_to_string(list_slice(list_filter(['dieu chinh', 'bo sung', 'sua doi', 'thay the', 'adjusted', 'amended'], lambda m: contains(n, m)), 1, 4), ',') AS hints, {_profile_sql('n', 2)} AS profile, regexp_matches(n, '[ăâđêôơư]') AS vietnamese FROM n",
-    "role_counts": f"WITH n AS (SELECT lower(text) AS n FROM conversations) SELECT {_ROLE.format('n')} AS role, {_profile_sql('n', 1)} AS profile, count(*) AS n FROM n GROUP BY 1, 2",
+    "document_roles": f"WITH n AS (SELECT doc_id, {_FETCHED} AS n FROM documents) SELECT doc_id, {_ROLE.format('n')} AS role, array_to_string(list_slice(list_filter(['dieu chinh', 'bo sung', 'sua doi', 'thay the', 'adjusted', 'amended'], lambda m: contains(n, m)), 1, 4), ',') AS hints, {language_sql('n')} AS language, {profile_sql('n')} AS profile, regexp_matches(n, '[ăâđêôơư]') AS vietnamese FROM n",
+    "role_counts": f"WITH n AS (SELECT lower(text) AS n FROM conversations) SELECT {_ROLE.format('n')} AS role, {language_sql('n')} AS language, count(*) AS n FROM n GROUP BY 1, 2",
     "grouped_amounts": "WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer), f AS (SELECT c_custkey, cents, format('{:,}', abs(cents)) AS s FROM c) SELECT c_custkey, CASE WHEN cents < 0 THEN '(' || s || ')' ELSE s END AS comma, CASE WHEN cents < 0 THEN '(' || replace(s, ',', '.') || ')' ELSE replace(s, ',', '.') END AS dot, cents AS back FROM f",
     "page_texts": f"WITH p AS (SELECT page_id, {_TEXT.format('html')} AS t FROM pages) SELECT page_id, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS digest, replace(CASE WHEN length(t) > 120 THEN rtrim(substring(t, 1, 117)) || '...' ELSE t END, '|', '\\|') AS cell FROM p",
     "page_segments": f"WITH p AS (SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS part FROM (SELECT page_id, string_split_regex(html, '<h2[^>]*>') AS l FROM pages)) SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos > 0 THEN {_TEXT.format('''string_split(part, '</h2>')[1]''')} END AS heading, CAST(length(part) AS BIGINT) AS chars FROM p",

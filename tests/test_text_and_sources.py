@@ -36,7 +36,6 @@ def test_formatters(spark):
     assert one(spark, lambda t: d.excerpt(t, 10), "a  b\nc", "0123456789x") == ["a b c", "0123456..."]
     assert one(spark, d.upper_token, "a-b  c!", "") == ["A_B_C", ""]
     assert one(spark, d.html_text, "<p>a &lt; b</p>\n<b>c</b>") == ["a < b c"]
-    assert one(spark, d.document_role, "bao cao tai chinh", "thuyet minh dieu chinh", "thuyet minh thay the toan bo, giai trinh", "x") == ["financial_statement", "amendment_context_attachment", "variance_explanation", "out_of_scope"]
 
 
 def test_split_counts(spark):
