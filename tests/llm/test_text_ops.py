@@ -8,7 +8,6 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -149,23 +148,21 @@ def test_decontamination_of_a_full_block_finds_every_copy(spark):
     assert got == {(d, i) for d, text in docs for i, item in items[d : d + 1] if item in text}
 
 
-@pytest.mark.parametrize("spread", [1, 2, 6])
-def test_decontamination_finds_near_columns_as_a_dense_product_does(spread):
-    rng = np.random.default_rng(5)
-    weights = rng.uniform(1, 9, 300).astype(np.float32)
-    columns = [np.unique(rng.integers(0, 300, 18) ** spread // 300 ** (spread - 1)) for _ in range(90)]
-    index = decontamination.Index(*[None] * 9, *decontamination._columns(columns, weights))
-    own = np.array([rng.permutation(300 if i % 2 else 80)[:18] for i in range(40)])
-    own[rng.random(own.shape) < 0.3] = -1
-    value = np.where(own < 0, 3, weights[own])
-    norm = np.sqrt((value**2).sum(1))
-    dense = np.array([[sum(weights[f] ** 2 for f in set(o.tolist()) & set(c.tolist())) / np.linalg.norm(weights[c]) for c in columns] for o in own]) / norm[:, None]
-    rows, cols, cosine = decontamination._exact(own, value, norm, index)
-    assert np.allclose(cosine, dense[rows, cols], rtol=1e-4) and len(set(zip(rows.tolist(), cols.tolist()))) == len(rows)
-    sure, perhaps = dense >= decontamination.COSINE + 1e-4, dense >= decontamination.COSINE - 1e-4
-    found = np.zeros(dense.shape, bool)
-    found[rows, cols] = True
-    assert sure.any() and not (sure & ~found).any() and not (found & ~perhaps).any()
+def test_decontamination_of_equal_and_giant_items_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 7)
+    monkeypatch.setattr(decontamination, "TOGETHER", 2)
+    rng = random.Random(18)
+    some = lambda n: " ".join(f"term{rng.randint(0, 900)}" for _ in range(n))
+    texts = [some(40) for _ in range(30)]
+    items = list(enumerate(texts)) + [(100 + i, texts[3]) for i in range(20)] + [(200, some(4000)), (201, None), (202, ""), (None, texts[4])]
+    giant = items[50][1].split()
+    docs = [(i, f"{some(15)} {t} {some(15)}") for i, t in enumerate(texts)] + [(90, " ".join(giant)), (91, some(60)), (92, None)]
+    frame = spark.createDataFrame(docs, "item_id long, text string").repartition(3)
+    found = decontamination.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string"), key="item_id")
+    assert found.columns[:2] == ["item_id", "_item_id"]
+    got = {tuple(r)[:2] for r in found.collect()}
+    want = {(i, i) for i in range(30)} | {(3, 100 + i) for i in range(20)} | {(90, 200), (4, None)}
+    assert got == want
 
 
 def test_decontamination_of_adjacent_copies_and_repeated_words(spark):
