@@ -27,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = Observation()  # of the rows as they are written
         edges = store.written(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
         now = (seen.get["n"], seen.get["sum"])
+        store.settle(edges.sparkSession)
         if now == before:
             root = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(root)

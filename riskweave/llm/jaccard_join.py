@@ -404,10 +404,12 @@ def join(docs: DataFrame, rule: Rule = Rule(), text: str = "text", key: str = "d
     classes = store.written(sets, "classes")
     store.drop(signed)
     near = store.written(_leader_pairs(classes, rule), "leaders")
+    store.settle(docs.sparkSession)
     links = store.written(_verified(own, near, rule).union(_same_key(members, classes)), "links")
     comps = components(links)
     named = classes.join(comps, classes["key"] == comps["node"], "left").select(*(classes[c] for c in ("key", "n", "matches", "prefix", "sketch", "least")), F.coalesce("component", classes["key"]).alias("comp"))
     far = store.written(_prefix_pairs(named, rule), "pairs")
+    store.settle(docs.sparkSession)
     labels = store.written(classes.select("a", "b", "n", "key"), "labels")
     store.drop(classes)
     more = store.written(_verified(own, far, rule), "links")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,15 @@ def drop(df: DataFrame) -> None:
             _delete(df.sparkSession, known)
 
 
+def settle(spark: SparkSession) -> None:
+    """Have shuffles that nothing reads any more deleted now.
+
+    Spark deletes them once the driver's objects for them are collected, which a driver with memory to spare does rarely: without
+    this, an iteration keeps the shuffles of all its steps on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
