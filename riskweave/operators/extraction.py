@@ -25,10 +25,13 @@ def account_code(cells: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(F.slice(cells, 1, 4), lambda x: F.trim(x)), lambda c: c.rlike(r"(?i)^\d{1,3}(\.\d+)?[a-z]?$")), F.lit(1))
 
 
-def label(cells: Column, code: Column) -> Column:
-    """The first cell that is neither empty, the code, a numeral, a single letter nor a number; else empty."""
-    plain = lambda c: (c != "") & ~F.coalesce(c == code, F.lit(False)) & ~F.lower(c).rlike("^([ivx]+|[a-z])$") & ~c.rlike(r"^[-–]$") & dialects.whole_amount(c).isNull()
-    return F.coalesce(F.try_element_at(F.filter(F.transform(cells, lambda x: F.trim(x)), plain), F.lit(1)), F.lit(""))
+def label(cells: Column, amounts: Column, code: Column) -> Column:
+    """The first cell that is neither empty, the code, a numeral, a single letter nor a number; else empty.
+
+    ``cells`` without outer spaces; ``amounts``: what each comes to as a number, or null."""
+    plain = lambda c: (c != "") & ~F.coalesce(c == code, F.lit(False)) & ~F.lower(c).rlike("^([ivx]+|[a-z])$") & ~c.rlike(r"^[-–]$")
+    both = F.filter(F.arrays_zip(cells.alias("c"), amounts.alias("v")), lambda x: plain(x["c"]) & x["v"].isNull())
+    return F.coalesce(F.try_element_at(both, F.lit(1))["c"], F.lit(""))
 
 
 def standard_account(code: Column, text: Column, cash_flow: Column) -> Column:
@@ -50,14 +53,14 @@ def account_group(account: Column) -> Column:
     return F.coalesce(*(F.when(account.isin(*names), F.lit(g)) for g, names in GROUPS.items()), F.lit("unknown"))
 
 
-def selected_value(cells: Column, account: Column, code: Column, to_date: Column) -> Column:
+def selected_value(cells: Column, amounts: Column, account: Column, code: Column, to_date: Column) -> Column:
     """A row's value: of the numbers behind the code, without a small leading note number, the first; the third of three
     or more for profit, and for revalued gains to date the third of four, else the last."""
-    trimmed = F.transform(cells, lambda x: F.trim(x))
-    after = F.when(code.isNotNull(), F.slice(trimmed, (F.array_position(trimmed, code) + 1).cast("int"), 1000)).otherwise(trimmed)
-    numbers = F.filter(F.transform(after, dialects.whole_amount), lambda v: v.isNotNull())
-    note = (F.size(numbers) >= 2) & (F.abs(F.try_element_at(numbers, F.lit(1))) < 1000) & F.exists(F.slice(numbers, 2, 1000), lambda v: F.abs(v) >= 1000)
-    values = F.when(note, F.slice(numbers, 2, 1000)).otherwise(numbers)
+    after = F.when(code.isNotNull(), F.slice(amounts, (F.array_position(cells, code) + 1).cast("int"), F.size(amounts))).otherwise(amounts)
+    numbers = F.filter(after, lambda v: v.isNotNull())
+    rest = F.slice(numbers, F.lit(2), F.size(numbers))
+    note = (F.size(numbers) >= 2) & (F.abs(F.try_element_at(numbers, F.lit(1))) < 1000) & F.exists(rest, lambda v: F.abs(v) >= 1000)
+    values = F.when(note, rest).otherwise(numbers)
     at, n = (lambda i: F.try_element_at(values, F.lit(i))), F.size(values)
     return F.when((account == "fvtpl_unrealized_gain") & to_date & (n >= 2), F.when(n >= 4, at(3)).otherwise(at(-1))).when((account == "profit_after_tax") & (n >= 3), at(3)).otherwise(at(1))
 
@@ -77,11 +80,15 @@ def bucket(account: Column) -> Column:
 def statement_rows(rows: DataFrame) -> DataFrame:
     """Raw rows (doc, table, pos, cells; texts already without accents) as statement rows: the first of each account in its
     bucket, preferred revenue labels before others.  Tables' words tell cash flow and year-to-date context."""
-    text = F.lower(F.array_join(F.flatten(F.collect_list("cells")), " "))
-    context = rows.groupBy("doc", "table").agg(text.contains("luu chuyen tien").alias("cash_flow"), text.contains("luy ke").alias("to_date"))
-    r = rows.join(context, ["doc", "table"]).withColumn("code", account_code(F.col("cells"))).withColumn("label", label(F.col("cells"), F.col("code")))
-    r = r.withColumn("account", standard_account(F.col("code"), F.lower("label"), F.col("cash_flow"))).where("account is not null")
-    r = r.withColumn("value", selected_value(F.col("cells"), F.col("account"), F.col("code"), F.col("to_date"))).where("value is not null").withColumn("bucket", bucket(F.col("account")))
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))  # noqa: E731  a generator keeps it from being written out again
+    text = F.lower(F.array_join("cells", " "))
+    context = rows.groupBy("doc", "table").agg(F.bool_or(text.contains("luu chuyen tien")).alias("cash_flow"), F.bool_or(text.contains("luy ke")).alias("to_date"))
+    r = rows.join(context, ["doc", "table"]).withColumn("cells", F.transform("cells", lambda x: F.trim(x)))
+    r = once(r, "amounts", F.transform("cells", dialects.whole_amount))
+    r = once(r, "code", account_code(F.col("cells")))
+    r = once(r, "label", label(F.col("cells"), F.col("amounts"), F.col("code")))
+    r = once(r, "account", standard_account(F.col("code"), F.lower("label"), F.col("cash_flow"))).where("account is not null")
+    r = once(r, "value", selected_value(F.col("cells"), F.col("amounts"), F.col("account"), F.col("code"), F.col("to_date"))).where("value is not null").withColumn("bucket", bucket(F.col("account")))
     preferred = F.when((F.col("account") == "revenue") & dialects._any(F.lower("label"), ("doanh thu thuan", "cong doanh thu hoat dong")), 0).otherwise(1)
     order = [F.when(F.col("bucket") == "income_quarter", preferred).otherwise(0), "table", "pos"]
     first = F.row_number().over(Window.partitionBy("doc", "bucket", "account").orderBy(*order))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import dialects
 from riskweave.operators import extraction, reports, selection
 from riskweave.plans.market import _growth_sql, _named_orders, _share_sql
+from riskweave.sources import html
 from riskweave.sources.tables import read
 
 PROFILES = {"AFRICA": reports.STANDARD, "AMERICA": reports.CREDIT, "ASIA": reports.SECURITIES, "EUROPE": reports.INSURANCE}
@@ -98,12 +99,24 @@ def _raw_rows(spark, sf) -> DataFrame:
 
 
 def statement_rows(spark, sf):
-    return extraction.statement_rows(_raw_rows(spark, sf)).select("doc", "table", "pos", "code", "account", "bucket", "value")
+    return extraction.statement_rows(_raw_rows(spark, sf)).select("doc", "table", "pos", "code", "account", "bucket", F.col("value").cast("long").alias("value"))
+
+
+def page_statement_rows(spark, sf):
+    """The same rows by way of HTML: every order is a text with a page for each of two tables, broken declarations among them,
+    which is parsed back into cells."""
+    rows = _raw_rows(spark, sf)
+    tr = F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda c: F.concat(F.lit("<td> "), c, F.lit("</td>"))), "\n"), F.lit("</tr>"))
+    of = lambda t: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("table") == t, F.struct("pos", tr.alias("tr"))))), lambda x: x["tr"]), "")
+    whole = F.concat(F.lit("<h2>Page 1</h2><table>"), of(0), F.lit("</table><![><p>x<![ y]]><h2>Page 2</h2><TABLE class='t'>"), of(1), F.lit("</TABLE>"))
+    pages = rows.groupBy("doc").agg(whole.alias("html"))
+    found = extraction.statement_rows(html.table_rows(pages, "doc"))
+    return found.select("doc", "table", "code", "account", "bucket", F.col("value").cast("long").alias("value"))
 
 
 def assembled_reports(spark, sf):
     a = extraction.assembled(extraction.statement_rows(_raw_rows(spark, sf)))
-    return a.select("doc", F.array_join("sections", ",").alias("sections"), F.size("tables").cast("long").alias("tables"), F.size("cell_index").cast("long").alias("cells"), F.aggregate(F.map_values("cell_index"), F.lit(0).cast("long"), lambda x, v: x + v).alias("total"))
+    return a.select("doc", F.array_join("sections", ",").alias("sections"), F.size("tables").cast("long").alias("tables"), F.size("cell_index").cast("long").alias("cells"), F.aggregate(F.map_values("cell_index"), F.lit(0).cast("decimal(38,0)"), lambda x, v: (x + v).cast("decimal(38,0)")).cast("long").alias("total"))
 
 
 def surface_statuses(spark, sf):
@@ -158,7 +171,7 @@ def source_confirmation(spark, sf):
     return selection.confirmation(selection.selected(docs), selection.named(docs))
 
 
-NAMES = "check_suite_research check_suite_runtime tool_gating suite_support suite_candidates suite_packets report_quality report_cells statement_rows assembled_reports surface_statuses corrected_cells linked_notes source_selection source_records source_confirmation".split()
+NAMES = "check_suite_research check_suite_runtime tool_gating suite_support suite_candidates suite_packets report_quality report_cells statement_rows page_statement_rows assembled_reports surface_statuses corrected_cells linked_notes source_selection source_records source_confirmation".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _ACCOUNTS = ", ".join(f"nullif({VALUES[a]}, 0) AS {a}" for a in reports.ACCOUNTS)
@@ -270,6 +283,7 @@ SQL = {
     "suite_packets": f"{_suite(_RESEARCH, 'research')}, p AS (SELECT target, list(\"check\" ORDER BY \"check\") AS l FROM f WHERE status = 'flagged' GROUP BY 1) SELECT 'PACKET_' || target || '_' || lpad(CAST(row_number() OVER (PARTITION BY regexp_replace(target, '[0-9]{{4}}.*$', '') ORDER BY target) AS VARCHAR), 3, '0') AS packet_id, target, array_to_string(l[1:2], ',') AS checks, array_to_string(l[3:], ',') AS omitted FROM p",
     "report_quality": f"{_WIDE}, cells AS (SELECT report_id, unnest(['{chr(39).join(reports.ACCOUNTS).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS id, unnest([{', '.join(reports.ACCOUNTS)}]) AS value, n FROM r), v AS (SELECT report_id, id FROM cells WHERE value IS NOT NULL AND id <> 'revenue') SELECT report_id, 'cell_not_indexed' AS code, count(*) AS n, min(id) AS first FROM v GROUP BY 1 UNION ALL SELECT report_id, 'index_value_differs', 1, 'revenue' FROM r WHERE n = 4 AND revenue IS NOT NULL",
     "report_cells": f"{_WIDE}, cells AS (SELECT unnest(['{chr(39).join(reports.ACCOUNTS).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS standard_account, unnest([{', '.join(reports.ACCOUNTS)}]) AS value FROM r) SELECT standard_account, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM cells WHERE value IS NOT NULL GROUP BY 1",
+    "page_statement_rows": f"{_RAWROWS} SELECT l_orderkey AS doc, tab AS \"table\", code, account, bucket, value FROM s",
     "statement_rows": f"{_RAWROWS} SELECT l_orderkey AS doc, tab AS \"table\", CAST(pos AS INTEGER) AS pos, code, account, bucket, value FROM s",
     "assembled_reports": f"{_RAWROWS} SELECT l_orderkey AS doc, array_to_string(list_filter([CASE WHEN bool_or(bucket = 'balance') THEN 'balance_sheet' END, CASE WHEN bool_or(bucket = 'cash_flow') THEN 'cash_flow_statement' END, CASE WHEN bool_or(bucket LIKE 'income%') THEN 'income_statement' END], lambda x: x IS NOT NULL), ',') AS sections, count(DISTINCT bucket) AS tables, count(*) AS cells, CAST(sum(value) AS BIGINT) AS total FROM s GROUP BY 1",
     "surface_statuses": f"WITH t AS (SELECT user_id, ['{chr(39).join(extraction.SURFACES).replace(chr(39), chr(39) + ', ' + chr(39))}'][CAST(floor(value) AS INTEGER) % 5 + 1] AS surface, event_id, CASE WHEN event_type = 'error' THEN 'absent_in_source' ELSE 'extracted' END AS state FROM events), l AS (SELECT user_id, surface, arg_max(state, event_id) AS state FROM t GROUP BY 1, 2), d AS (SELECT c_custkey AS doc, unnest(['{chr(39).join(extraction.SURFACES).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS surface FROM customer) SELECT doc, d.surface, coalesce(state, 'unsupported_by_extraction_path') AS state FROM d LEFT JOIN l ON user_id = doc AND l.surface = d.surface",

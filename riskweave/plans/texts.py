@@ -73,7 +73,7 @@ def grouped_amounts(spark, sf):
     """Balances written with commas, and with dots, and read back."""
     cents = F.round(F.col("c_acctbal") * 100).cast("long")
     c = read(spark, sf, "customer").select("c_custkey", cents.alias("cents"))
-    return c.select("c_custkey", d.grouped(F.col("cents")).alias("comma"), d.grouped(F.col("cents"), ".").alias("dot"), d.whole_amount(d.grouped(F.col("cents"), ".")).alias("back"))
+    return c.select("c_custkey", d.grouped(F.col("cents")).alias("comma"), d.grouped(F.col("cents"), ".").alias("dot"), d.whole_amount(d.grouped(F.col("cents"), ".")).cast("long").alias("back"))
 
 
 def page_texts(spark, sf):

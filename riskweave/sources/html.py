@@ -17,6 +17,9 @@ def elements(pages: DataFrame, tags: str = "p|li|h[1-6]", html: str = "html") ->
     return out.withColumn("text", html_text(F.col("text")))
 
 
+PIECE = 1 << 16  # characters parsed at a time
+
+
 class _Tables(HTMLParser):
     """Cells of all tables, and the page number that the last heading ``Page N`` gave."""
 
@@ -27,6 +30,12 @@ class _Tables(HTMLParser):
         self.cell: list[str] | None = None
         self.out: list[tuple] = []
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section without a name
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.table, self.row, self.depth = self.table + 1, -1, self.depth + 1
@@ -55,21 +64,31 @@ class _Tables(HTMLParser):
                 target.append(data)
 
 
+class TableCells:
+    """A table function: of an HTML text, a row (table, row, col, page, cell) for each table cell, in order.
+
+    The text is parsed piece by piece, and what a piece completes is given out at once, so that no page's cells are gathered."""
+
+    def eval(self, html: str):
+        parser, at = _Tables(), 0
+        while html and at < len(html):
+            parser.feed(html[at : at + PIECE])
+            at += PIECE
+            yield from parser.out
+            parser.out.clear()
+        parser.close()
+        yield from parser.out
+
+
 def table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """A row for each table cell: ``key``, table, row, col, page, cell."""
-    import pyarrow as pa
-
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            rows, cells = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                parser = _Tables()
-                parser.feed(text or "")
-                rows += [i] * len(parser.out)
-                cells += parser.out
-            columns = list(zip(*cells)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int32()) for c in columns[:4]), pa.array(columns[4], pa.string())], [key, "table", "row", "col", "page", "cell"])
-
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, `table` int, `row` int, col int, page int, cell string")
+    """A row for each table cell: ``key``, table, row, col, page, cell, by a lateral join with ``TableCells``."""
+    cells = F.udtf(TableCells, returnType="`table` int, `row` int, col int, page int, cell string")
+    found = pages.select(key, html).lateralJoin(cells(F.col(html).outer()))
+    return found.select(key, "table", "row", "col", "page", "cell")
+
+
+def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The rows of all tables: ``key``, table, pos (from 0), page and cells, an array in order."""
+    cells = table_cells(pages, key, html)
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct("col", "cell"))), lambda x: x["cell"])
+    return cells.groupBy(key, "table", F.col("row").alias("pos")).agg(F.min("page").alias("page"), gathered.alias("cells"))

@@ -95,3 +95,23 @@ def test_streamed_state_matches_batch(spark, tmp_path):
     query.stop()
     want = {r[0]: (r[1], r[2]) for r in events.groupBy("user_id").agg(F.count("*"), F.max_by("event_type", "event_id")).collect()}
     assert {r["user_id"]: (r["n"], r["latest"]) for r in spark.table("state").collect()} == want
+
+
+def test_broken_and_long_html_tables(spark):
+    pages = ["<table><tr><td>a<![>b<td>c</table>", "<![ x<table><tr><td>1</td>", None, "", "<table>" + "".join(f"<tr><td>r{i}</td><td>{'x' * 500}</td></tr>" for i in range(400)) + "</table>", "<h2>Page 7</h2><table><tr><th>A &amp; B</th></tr></table><table></table><table><tr><td>z</td></tr></table>"]
+    rows = html.table_cells(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").repartition(3)).collect()
+    of = lambda k: sorted((r["table"], r["row"], r["col"], r["page"], r["cell"]) for r in rows if r["page_id"] == k)
+    assert of(0) == [] or all(r[0] == 0 for r in of(0))
+    assert of(2) == of(3) == [] and len(of(4)) == 800 and of(4)[-1] == (0, 399, 1, 1, "x" * 500)
+    assert of(5) == [(0, 0, 0, 7, "A & B"), (2, 0, 0, 7, "z")]
+    gathered = html.table_rows(spark.createDataFrame([(1, pages[5])], "page_id long, html string")).collect()
+    assert sorted((r["table"], r["pos"], r["cells"]) for r in gathered) == [(0, 0, ["A & B"]), (2, 0, ["z"])]
+
+
+def test_statement_rows_of_wide_tables(spark):
+    from riskweave.operators import extraction
+
+    wide = ["131", "Phai thu ngan han cua khach hang", "5", *["-"] * 1500, "1.234.567"]
+    rows = [("D", 0, 0, wide), ("D", 0, 1, ["60", "Luu chuyen tien", "(7,000)"]), ("D", 0, 2, ["01.2", "Danh gia lai FVTPL", "12", "1,000", "2,000", "3,000", "4,000"]), ("D", 1, 0, ["10", "Doanh thu", "9,999,999,999,999,999,999,999"]), ("D", 1, 1, ["x", "10", "Doanh thu thuan", "8"])]
+    got = {(r["account"], r["code"]): int(r["value"]) for r in extraction.statement_rows(spark.createDataFrame(rows, "doc string, table int, pos int, cells array<string>")).collect()}
+    assert got == {("trade_receivables", "131"): 1234567, ("operating_cash_flow", "60"): -7000, ("fvtpl_unrealized_gain", "01.2"): 1000, ("revenue", "10"): 8}
