@@ -12,6 +12,8 @@ from riskweave.operators.checks import first_failing
 # The stages of a run, in order; a reset goes back to the third.
 STAGES = ("intake", "source_confirmation", "cache_lookup", "extraction", "tools", "detector", "aggregation", "report")
 RESET_TO = 2
+# The status that an end leaves.
+STATUS_AT_END = {"fail": "failed", "cancel": "cancelled", "complete": "completed"}
 
 
 def run_states(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import checks, integrity, ranking
+from riskweave.sources import keyed
 from riskweave.sources.tables import read
 
 
@@ -83,6 +84,15 @@ def sweep_rank(spark, sf):
     return read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", F.row_number().over(spot).alias("rank"))
 
 
+def upserted_records(spark, sf):
+    """A user's latest event of a kind, kept in a table by identity: an earlier part of the events first, then the rest."""
+    e = read(spark, sf, "events").select("user_id", "event_type", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    at = keyed.folder(spark, "records")
+    for part in (e.where("cents >= 2000"), e.where("cents < 2000 and event_type <> 'signup'"), e.where("cents < 2000 and event_type = 'signup'")):
+        keyed.upsert(part, at, ["user_id", "event_type"], ["event_id"], buckets=16)
+    return keyed.read(spark, at)
+
+
 def latest_per_identity(spark, sf):
     latest = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.count("*").alias("versions"))
     return latest.select("user_id", "event_type", "event_id", "versions")
@@ -176,7 +186,7 @@ def period_clues(spark, sf):
     return read(spark, sf, "orders").select(period.alias("period"), "o_orderkey").groupBy("period").agg(F.count("*").alias("n"))
 
 
-NAMES = "packet_cap_trim packet_cap_omitted evidence_dedupe_keep_first group_by_first_link ordered_distinct_list ref_integrity_violations missing_extra_keys required_field_violations reason_histogram manifest_reconcile best_of_n sweep_rank latest_per_identity interleave_round_robin scenario_cross matched_pairs_complete number_parse account_classify basis_family_match suffix_repair note_match_cardinality json_canonical_hash stage_machine_state cache_outcome limitation_dedupe period_clues".split()
+NAMES = "packet_cap_trim packet_cap_omitted evidence_dedupe_keep_first group_by_first_link ordered_distinct_list ref_integrity_violations missing_extra_keys required_field_violations reason_histogram manifest_reconcile best_of_n sweep_rank latest_per_identity upserted_records interleave_round_robin scenario_cross matched_pairs_complete number_parse account_classify basis_family_match suffix_repair note_match_cardinality json_canonical_hash stage_machine_state cache_outcome limitation_dedupe period_clues".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -196,6 +206,7 @@ SQL = {
     "manifest_reconcile": "WITH o AS (SELECT year(o_orderdate) AS y, o_orderstatus, o_orderkey FROM orders), e AS (SELECT y, o_orderstatus, count(*) AS expected FROM o GROUP BY y, o_orderstatus), a AS (SELECT y, o_orderstatus, count(*) AS actual FROM o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10) GROUP BY y, o_orderstatus) SELECT e.y, e.o_orderstatus, expected, actual FROM e LEFT JOIN a ON e.y = a.y AND e.o_orderstatus = a.o_orderstatus WHERE actual IS NULL OR actual <> expected",
     "best_of_n": "SELECT l_orderkey, l_linenumber, l_partkey, c AS candidates FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, CAST(round(l_discount * 100) AS BIGINT) DESC, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1",
     "sweep_rank": "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(round(s_acctbal * 100) AS BIGINT) DESC, s_suppkey % 3 DESC, s_suppkey) AS INTEGER) AS rank FROM supplier",
+    "upserted_records": "SELECT user_id, event_type, max(event_id) AS event_id, CAST(round(arg_max(value, event_id) * 100) AS BIGINT) AS cents FROM events GROUP BY user_id, event_type",
     "latest_per_identity": "SELECT user_id, event_type, max(event_id) AS event_id, count(*) AS versions FROM events GROUP BY user_id, event_type",
     "interleave_round_robin": "WITH t AS (SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS turn FROM supplier) SELECT *, row_number() OVER (ORDER BY turn, s_nationkey) AS place FROM t",
     "scenario_cross": "SELECT r_regionkey, n_nationkey, CAST(((n_nationkey - r_regionkey) % 4 + 4) % 4 AS INTEGER) AS turn FROM region CROSS JOIN nation",
