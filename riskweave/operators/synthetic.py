@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.checks import first_failing, growth_bp
+from riskweave.operators.checks import first_failing, growth_bp, share_bp
 
 # Slots of variants, in order, and what a family's metric is measured against, in basis points.
 SLOTS = (
@@ -33,6 +33,56 @@ def injected_cash(multiplier_bp: Column) -> Column:
     return F.floor((F.col("profit") * multiplier_bp + 5000) / 10000).cast("long")
 
 
+#: The other six families: the account that is changed, how its metric is measured (``growth`` of the account, the account's growth
+#: over revenue's or revenue's over the account's, or its ``share`` of a base), and the base or the account's year before.
+# The bases as hundredths of revenue, of the year before for growth; receivables where there is none.
+FAMILIES = {
+    "receivables_credit_quality": ("receivables_allowance", "share", None),
+    "inventory_cost_asset_flow": ("inventory", "growth_over_revenue", 45),
+    "expense_liability_understatement": ("operating_expenses", "revenue_over_growth", 60),
+    "asset_quality_valuation": ("soft_assets", "growth", 55),
+    "related_party_disclosure": ("related_party_balance", "share", 200),
+    "disclosure_inconsistency": ("note_value", "growth", None),
+}
+FAR_BP = 2500
+
+
+def solved_text(base: str, least_bp: str, side: str) -> str:
+    """The whole number nearest to a threshold for which 10000 * it / ``base``, rounded half away from zero, is strictly above
+    (below) ``least_bp`` or, for ``not_above`` (``not_below``), isn't; as SQL over a positive base of up to 30 digits."""
+    edge = f"(CAST({base} AS DECIMAL(38,0)) * (2 * {least_bp} {'+' if side.endswith('above') else '-'} 1))"
+    lower, upper = f"(({edge} - pmod({edge}, 20000)) div 20000)", f"(({edge} + pmod(-{edge}, 20000)) div 20000)"
+    return f"{lower} + 1" if side in ("above", "not_below") else f"{upper} - 1"
+
+
+def family_values(rows: DataFrame) -> DataFrame:
+    """A synthetic value for each of ``FAMILIES``: family, account, base, value, metric_bp and exceeded, with the rows' columns.
+
+    rows has revenue, revenue_prior, receivables (whole amounts, positive) and target.  The value is solved for: a weak target
+    lands just beyond the family's threshold, a supported one ``FAR_BP`` further, any other just within.  A value below 0 becomes
+    0, where the wanted side can't be reached."""
+    growth = "(CASE WHEN revenue_prior <> 0 THEN growth_of_revenue ELSE 0 END)"
+    rows = rows.withColumn("growth_of_revenue", growth_bp("revenue", "revenue_prior"))
+    made = []
+    for family, (account, form, part) in FAMILIES.items():
+        side, at = THRESHOLDS[family]
+        year = "revenue_prior" if "growth" in form else "revenue"
+        base = f"greatest(1, {'receivables' if part is None else f'CAST(({year} * {part}) div 100 AS BIGINT)'})"
+        shift = {"growth_over_revenue": f"{at} + {growth}", "revenue_over_growth": f"{growth} - {at}"}.get(form, str(at))
+        up = side == "above" and form != "revenue_over_growth"
+        beyond, within = ("above", "not_above") if up else ("below", "not_below")
+        far = f"(({shift}) {'+' if up else '-'} {FAR_BP})" if form != "share" or up else f"(({shift}) div 3)"
+        found = f"CASE WHEN target = 'weakly_supported' THEN {solved_text(base, f'({shift})', beyond)} WHEN target = 'supported' THEN {solved_text(base, far, beyond)} ELSE {solved_text(base, f'({shift})', within)} END"
+        value = f"greatest(0, {found} + {base if form != 'share' else '0'})"
+        made.append(F.struct(F.lit(family).alias("family"), F.lit(account).alias("account"), F.lit(form).alias("form"), F.expr(base).cast("long").alias("base"), F.expr(value).cast("long").alias("value")))
+    kept = [c for c in rows.columns if c != "growth_of_revenue"]
+    out = rows.select(*kept, "growth_of_revenue", F.explode(F.array(*made)).alias("m")).select(*kept, "growth_of_revenue", "m.*")
+    own = growth_bp("value", "base")
+    metric = F.when(F.col("form") == "share", share_bp("value", "base")).when(F.col("form") == "growth_over_revenue", own - F.expr(growth)).when(F.col("form") == "revenue_over_growth", F.expr(growth) - own).otherwise(own)
+    out = out.withColumn("metric_bp", metric)
+    return out.select(*kept, "family", "account", "base", "value", "metric_bp", exceeded(F.col("family"), F.col("metric_bp")).alias("exceeded"))
+
+
 def exceeded(family: Column, metric_bp: Column) -> Column:
     """Whether a metric is beyond its family's threshold; null for an unknown family."""
     return F.coalesce(*(F.when(family == name, metric_bp > at if side == "above" else metric_bp < at) for name, (side, at) in THRESHOLDS.items()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import synthetic as op
 from riskweave.operators.checks import growth_bp, prior_year
-from riskweave.plans.market import _PROFIT, _REVENUE, _growth_sql, periods, with_profit
+from riskweave.plans.market import _PROFIT, _REVENUE, _growth_sql, _share_sql, periods, with_profit
 from riskweave.sources.tables import read
 
 TARGETS = ("supported", "weakly_supported", "not_supported", "insufficient_evidence")
@@ -32,6 +32,11 @@ def injected_cash_flows(spark, sf):
     return rows.select("entity", "y", "q", "synthetic", op.exceeded(F.lit("earnings_cashflow"), ratio).alias("exceeded"))
 
 
+def family_values(spark, sf):
+    """The other six families' synthetic values over nations' quarters, and which side of the threshold they are on."""
+    return op.family_values(_paired(spark, sf)).select("entity", "y", "q", "target", "family", "account", "base", "value", "metric_bp", "exceeded")
+
+
 def family_flags(spark, sf):
     """Every family's threshold against parts' sizes, and the flag that the target gives."""
     rows = read(spark, sf, "part").select("p_partkey", (F.col("p_size") * 200).alias("metric_bp"), F.element_at(F.array(*map(F.lit, TARGETS)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("target"), F.explode(F.array(*map(F.lit, op.THRESHOLDS))).alias("family"))
@@ -82,13 +87,40 @@ def evidence_matching(spark, sf):
     return out.groupBy(state.alias("state"), "by_period", "by_basis").agg(F.count("*").alias("n"))
 
 
-NAMES = "injected_values injected_cash_flows family_flags packet_variants calibration_pairs metadata_rows evidence_matching".split()
+NAMES = "injected_values family_values injected_cash_flows family_flags packet_variants calibration_pairs metadata_rows evidence_matching".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _T = "['supported', 'weakly_supported', 'not_supported', 'insufficient_evidence']"
 _OVER = " ".join(f"WHEN '{name}' THEN m {'>' if side == 'above' else '<'} {at}" for name, (side, at) in op.THRESHOLDS.items())
 
+
+
+def _nearest(base: str, at: str, side: str) -> str:
+    """The whole number strictly over (1), or strictly under (-1), ``base`` times ``at`` and a half basis point."""
+    edge = f"(CAST({base} AS HUGEINT) * (2 * ({at}) {'+' if side[1] == 'above' else '-'} 1))"
+    floor = f"(({edge} - (({edge} % 20000) + 20000) % 20000) // 20000)"
+    return f"{floor} + 1" if side[0] > 0 else f"{floor} - CASE WHEN {edge} % 20000 = 0 THEN 1 ELSE 0 END"
+
+
+def _family_sql() -> str:
+    out = []
+    for family, (account, form, part) in op.FAMILIES.items():
+        at = op.THRESHOLDS[family][1]
+        over = op.THRESHOLDS[family][0] == "above" and form != "revenue_over_growth"
+        base = "greatest(1, receivables)" if part is None else f"greatest(1, {'revenue_prior' if 'growth' in form else 'revenue'} * {part} // 100)"
+        t = {"growth_over_revenue": f"{at} + g", "revenue_over_growth": f"g - {at}"}.get(form, str(at))
+        kind = "above" if over else "below"
+        far = f"{t} + 2500" if over else f"({t}) // 3" if form == "share" else f"{t} - 2500"
+        d = f"CASE target WHEN 'weakly_supported' THEN {_nearest('base', t, (1 if over else -1, kind))} WHEN 'supported' THEN {_nearest('base', far, (1 if over else -1, kind))} ELSE {_nearest('base', t, (-1 if over else 1, kind))} END"
+        grown = f"({_growth_sql('value', 'base')})"
+        metric = {"share": _share_sql("value", "base"), "growth_over_revenue": f"{grown} - g", "revenue_over_growth": f"g - {grown}"}.get(form, grown)
+        test = f"metric_bp {'>' if op.THRESHOLDS[family][0] == 'above' else '<'} {at}"
+        out.append(f"SELECT entity, y, q, target, '{family}' AS family, '{account}' AS account, base, value, metric_bp, {test} AS exceeded FROM (SELECT *, {metric} AS metric_bp FROM (SELECT *, CAST(greatest(0, {d} + {'0' if form == 'share' else 'base'}) AS BIGINT) AS value FROM (SELECT *, CAST({base} AS BIGINT) AS base FROM s)))")
+    return " UNION ALL ".join(out)
+
+
 SQL = {
+    "family_values": f"{_REVENUE}, a AS (SELECT a.entity, a.y, a.q, {_T}[a.q] AS target, a.revenue, b.revenue AS revenue_prior, a.receivables FROM p a JOIN p b ON a.entity = b.entity AND a.q = b.q AND a.y = b.y + 1), s AS (SELECT *, coalesce({_growth_sql('revenue', 'revenue_prior')}, 0) AS g FROM a) {_family_sql()}",
     "injected_values": f"{_REVENUE}, a AS (SELECT a.entity, a.y, a.q, {_T}[a.q] AS target, a.revenue, b.revenue AS revenue_prior, a.receivables, b.receivables AS receivables_prior FROM p a JOIN p b ON a.entity = b.entity AND a.q = b.q AND a.y = b.y + 1), s AS (SELECT *, {_growth_sql('revenue', 'revenue_prior')} AS g FROM a), k AS (SELECT *, CAST(greatest(receivables + 1, CASE WHEN target = 'weakly_supported' THEN floor((receivables_prior * (10000 + g + 1050) + 5000) / 10000) ELSE floor((revenue * 9000 + 5000) / 10000) END) AS BIGINT) AS synthetic FROM s), l AS (SELECT *, ({_growth_sql('synthetic', 'receivables_prior')}) - g AS lead_bp FROM k) SELECT entity, y, q, target, synthetic, lead_bp, lead_bp > 1000 AS flag FROM l",
     "injected_cash_flows": f"{_PROFIT}, s AS (SELECT entity, y, q, profit, CAST(floor((profit * -2500 + 5000) / 10000) AS BIGINT) AS synthetic FROM r) SELECT entity, y, q, synthetic, CASE WHEN profit <> 0 THEN trunc(synthetic * 10000 / abs(profit)) < 8000 END AS exceeded FROM s",
     "family_flags": f"WITH f AS (SELECT p_partkey, p_size * 200 AS m, {_T}[CAST(p_partkey % 4 + 1 AS INTEGER)] AS target, unnest(['{chr(39).join(op.THRESHOLDS).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS family FROM part), o AS (SELECT *, CASE family {_OVER} END AS over_ FROM f) SELECT family, over_ AS \"over\", CASE WHEN family IN ('revenue_receivables', 'earnings_cashflow') THEN over_ ELSE target <> 'not_supported' END AS flag, count(*) AS n FROM o GROUP BY 1, 2, 3",
