@@ -48,7 +48,8 @@ def whole_amount(text: Column) -> Column:
     """A written whole amount: parentheses are negative, dots and commas group; a dash, more than 38 digits or anything else
     is null."""
     bare = F.trim(text)
-    digits = F.regexp_replace(F.regexp_replace(bare, r"^[()]+|[()]+$", ""), "[.,]", "")
+    inner = F.when(bare.contains("(") | bare.contains(")"), F.regexp_replace(bare, r"^[()]+|[()]+$", "")).otherwise(bare)
+    digits = F.translate(inner, ".,", "")
     value = F.when(digits.rlike(r"^-?\d{1,38}$"), digits.cast("decimal(38,0)"))
     return F.when(bare.startswith("(") & bare.endswith(")"), -value).otherwise(value)
 

@@ -30,7 +30,7 @@ def label(cells: Column, amounts: Column, code: Column) -> Column:
 
     ``cells`` without outer spaces; ``amounts``: what each comes to as a number, or null."""
     plain = lambda c: (c != "") & ~F.coalesce(c == code, F.lit(False)) & ~F.lower(c).rlike("^([ivx]+|[a-z])$") & ~c.rlike(r"^[-–]$")
-    both = F.filter(F.arrays_zip(cells.alias("c"), amounts.alias("v")), lambda x: plain(x["c"]) & x["v"].isNull())
+    both = F.filter(F.arrays_zip(cells.alias("c"), amounts.alias("v")), lambda x: x["v"].isNull() & plain(x["c"]))
     return F.coalesce(F.try_element_at(both, F.lit(1))["c"], F.lit(""))
 
 
@@ -53,16 +53,22 @@ def account_group(account: Column) -> Column:
     return F.coalesce(*(F.when(account.isin(*names), F.lit(g)) for g, names in GROUPS.items()), F.lit("unknown"))
 
 
-def selected_value(cells: Column, amounts: Column, account: Column, code: Column, to_date: Column) -> Column:
-    """A row's value: of the numbers behind the code, without a small leading note number, the first; the third of three
-    or more for profit, and for revalued gains to date the third of four, else the last."""
+def numbers_behind(cells: Column, amounts: Column, code: Column) -> Column:
+    """The numbers of a row behind its code."""
     after = F.when(code.isNotNull(), F.slice(amounts, (F.array_position(cells, code) + 1).cast("int"), F.size(amounts))).otherwise(amounts)
-    numbers = F.filter(after, lambda v: v.isNotNull())
+    return F.filter(after, lambda v: v.isNotNull())
+
+
+def selected_value(numbers: Column, account: Column, to_date: Column) -> Column:
+    """A row's value: of the ``numbers_behind`` its code, without a small leading note number, the first; the third of three
+    or more for profit, and for revalued gains to date the third of four, else the last."""
     rest = F.slice(numbers, F.lit(2), F.size(numbers))
     note = (F.size(numbers) >= 2) & (F.abs(F.try_element_at(numbers, F.lit(1))) < 1000) & F.exists(rest, lambda v: F.abs(v) >= 1000)
-    values = F.when(note, rest).otherwise(numbers)
-    at, n = (lambda i: F.try_element_at(values, F.lit(i))), F.size(values)
-    return F.when((account == "fvtpl_unrealized_gain") & to_date & (n >= 2), F.when(n >= 4, at(3)).otherwise(at(-1))).when((account == "profit_after_tax") & (n >= 3), at(3)).otherwise(at(1))
+    skipped = F.when(note, 1).otherwise(0)
+    n = F.size(numbers) - skipped
+    at = lambda i: F.try_element_at(numbers, i + skipped)
+    last = F.try_element_at(numbers, F.lit(-1))
+    return F.when((account == "fvtpl_unrealized_gain") & to_date & (n >= 2), F.when(n >= 4, at(3)).otherwise(last)).when((account == "profit_after_tax") & (n >= 3), at(3)).otherwise(at(1))
 
 
 def ambiguous_columns(header: Column) -> Column:
@@ -82,14 +88,18 @@ def statement_rows(rows: DataFrame) -> DataFrame:
     bucket, preferred revenue labels before others.  Tables' words tell cash flow and year-to-date context."""
     once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))  # noqa: E731  a generator keeps it from being written out again
     text = F.lower(F.array_join("cells", " "))
-    context = rows.groupBy("doc", "table").agg(F.bool_or(text.contains("luu chuyen tien")).alias("cash_flow"), F.bool_or(text.contains("luy ke")).alias("to_date"))
-    r = rows.join(context, ["doc", "table"]).withColumn("cells", F.transform("cells", lambda x: F.trim(x)))
+    own = Window.partitionBy("doc", "table")
+    r = once(rows.where("doc is not null and table is not null"), "__text", text)
+    r = r.withColumns({"cash_flow": F.bool_or(F.col("__text").contains("luu chuyen tien")).over(own), "to_date": F.bool_or(F.col("__text").contains("luy ke")).over(own)}).drop("__text")
+    r = once(r, "cells", F.transform("cells", lambda x: F.trim(x)))
     r = once(r, "amounts", F.transform("cells", dialects.whole_amount))
     r = once(r, "code", account_code(F.col("cells")))
     r = once(r, "label", label(F.col("cells"), F.col("amounts"), F.col("code")))
-    r = once(r, "account", standard_account(F.col("code"), F.lower("label"), F.col("cash_flow"))).where("account is not null")
-    r = once(r, "value", selected_value(F.col("cells"), F.col("amounts"), F.col("account"), F.col("code"), F.col("to_date"))).where("value is not null").withColumn("bucket", bucket(F.col("account")))
-    preferred = F.when((F.col("account") == "revenue") & dialects._any(F.lower("label"), ("doanh thu thuan", "cong doanh thu hoat dong")), 0).otherwise(1)
+    r = once(r, "__low", F.lower("label"))
+    r = once(r, "account", standard_account(F.col("code"), F.col("__low"), F.col("cash_flow"))).where("account is not null")
+    r = once(r, "numbers", numbers_behind(F.col("cells"), F.col("amounts"), F.col("code")))
+    r = once(r, "value", selected_value(F.col("numbers"), F.col("account"), F.col("to_date"))).where("value is not null").withColumn("bucket", bucket(F.col("account")))
+    preferred = F.when((F.col("account") == "revenue") & dialects._any(F.col("__low"), ("doanh thu thuan", "cong doanh thu hoat dong")), 0).otherwise(1)
     order = [F.when(F.col("bucket") == "income_quarter", preferred).otherwise(0), "table", "pos"]
     first = F.row_number().over(Window.partitionBy("doc", "bucket", "account").orderBy(*order))
     return r.withColumn("__n", first).where("__n = 1").select("doc", "table", "pos", "code", "label", "account", "bucket", "value")
