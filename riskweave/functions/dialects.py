@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values: (form of decomposition, case folding, the letter d with stroke, what becomes a space) of each dialect.
+# Texts that are Python objects at a time; (form of decomposition, case folding, the letter d with stroke, what becomes a space) of each dialect.
+PIECE = 64
 MODES = {
     "mapper": ("NFD", "fold", "d", r"[^\w\s.]+"),
     "assembler": ("NFD", "fold", None, r"[^\w\s.]+"),
@@ -23,23 +24,46 @@ MODES = {
 }
 
 
+_WORDS = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))  # ASCII letters and digits, all else a space
+
+
 def normalise(value: str | None, mode: str) -> str | None:
-    """One text in one dialect; null stays null."""
+    """One text in one dialect; null stays null.
+
+    What goes is looked up among the text's distinct characters, so that no loop runs over all of its characters."""
     if value is None:
         return None
     form, case, stroke, gaps = MODES[mode]
     text = value.strip().casefold() if case == "fold" else value
-    text = "".join(c for c in unicodedata.normalize(form, text) if unicodedata.category(c) != "Mn" and not unicodedata.combining(c))
-    if stroke:
-        text = text.replace("đ", stroke).replace("Đ", stroke)
+    if not text.isascii():
+        text = unicodedata.normalize(form, text)
+        for c in set(text):
+            if c > "\x7f" and (unicodedata.category(c) == "Mn" or unicodedata.combining(c)):
+                text = text.replace(c, "")
+        if stroke:
+            text = text.replace("đ", stroke).replace("Đ", stroke)
     text = text.lower() if case == "lower" else text
-    text = re.sub(r"\s+", " ", re.sub(gaps, " ", text) if gaps else text)
-    return text.strip(" .") if mode == "assembler" else text.strip() if gaps else text
+    if gaps == MODES["selection"][3]:
+        return b" ".join(text.encode("ascii", "replace").translate(_WORDS).split()).decode("ascii")
+    if gaps:
+        for c in set(text):
+            if re.match(gaps, c):
+                text = text.replace(c, " ")
+        text = " ".join(text.split())
+        return text.strip(" .") if mode == "assembler" else text
+    inner = " ".join(text.split())
+    return (" " if text[:1].isspace() else "") + inner + (" " if inner and text[-1:].isspace() else "")
+
+
+def in_pieces(texts: pa.Array, of, kind: pa.DataType) -> pa.Array:
+    """``of`` every text; of a batch only its Arrow form is held, and the Python objects of one piece."""
+    pieces = [pa.array([of(t) for t in texts.slice(i, PIECE).to_pylist()], kind) for i in range(0, len(texts), PIECE)]
+    return pa.concat_arrays(pieces) if pieces else pa.array([], kind)
 
 
 def normalised(text: Column, mode: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([normalise(t, mode) for t in texts.to_pylist()], pa.string())
+        return in_pieces(texts, lambda t: normalise(t, mode), pa.string())
 
     return F.arrow_udf(run, "string")(text)
 
@@ -116,7 +140,8 @@ def _any(text: Column, markers) -> Column:
 
 
 def is_vietnamese(text: Column) -> Column:
-    return F.lower(text).rlike("[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]")
+    rest = F.regexp_replace(F.lower(text), r"[\x00-\x7f]+", "")  # a text is searched without its ASCII, all of which is passed over
+    return F.when(F.octet_length(text) == F.length(text), False).otherwise(rest.rlike("[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"))
 
 
 def grouped(amount: Column, mark: str = ",") -> Column:

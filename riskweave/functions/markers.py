@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskweave.functions import dialects
+
 # Markers of a normalised text (lower case, without accents), by what they tell.
 TITLES = ("bao cao tai chinh", "financial statement", "cong bo thong tin", "information disclosure", "giai trinh", "explanation")
 VIETNAMESE = ("bao cao", "cong ty", "quy", "cong bo thong tin")
@@ -66,8 +68,7 @@ def found_in(text: Column, markers: tuple[str, ...]) -> Column:
     kind = pa.list_(pa.struct([("marker", pa.string()), ("at", pa.int32())]))
 
     def run(texts: pa.Array) -> pa.Array:
-        rows = [[{"marker": m, "at": at} for m, at in first_places(t or "", markers)] if markers else [] for t in texts.to_pylist()]
-        return pa.array(rows, kind)
+        return dialects.in_pieces(texts, lambda t: [{"marker": m, "at": at} for m, at in first_places(t or "", markers)] if markers else [], kind)
 
     return F.arrow_udf(run, "array<struct<marker:string,at:int>>")(F.coalesce(text, F.lit("")))
 

@@ -1,5 +1,8 @@
 """Text dialects by their traps, splits' arithmetic, and JSON lines with numbers, releases and sidecars."""
 
+import unicodedata
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +20,38 @@ def test_normalisers_differ(mode, want):
     assert d.normalise(None, mode) is None and d.normalise("", mode) == ""
 
 
+def test_normalising_looks_at_distinct_characters_in_small_pieces(monkeypatch):
+    calls, sizes = [], []
+
+    class Counting:
+        normalize, combining = staticmethod(unicodedata.normalize), staticmethod(unicodedata.combining)
+        category = staticmethod(lambda c: calls.append(c) or unicodedata.category(c))
+
+    monkeypatch.setattr(d, "unicodedata", Counting)
+    assert d.normalise("điều chỉnh " * 1000, "fetched") == "dieu chinh " * 1000 and len(calls) < 20
+
+    class Texts:
+        def __init__(self, texts):
+            self.texts = texts
+
+        def __len__(self):
+            return len(self.texts)
+
+        def slice(self, at, n):
+            return Texts(self.texts[at : at + n])
+
+        def to_pylist(self):
+            sizes.append(len(self.texts))
+            return self.texts
+
+    assert d.in_pieces(Texts([None, "a"] * 500), lambda t: t, pa.string()).to_pylist() == [None, "a"] * 500
+    assert max(sizes) <= d.PIECE and d.in_pieces(Texts([]), str, pa.string()).to_pylist() == []
+
+
+def test_vietnamese_letters(spark):
+    assert one(spark, d.is_vietnamese, "Điều", "ascii only", "", None, "naïve – ß", "x" * 50 + "Ữ") == [True, False, False, None, False, True]
+
+
 def one(spark, column, *texts):
     return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(column(F.col("t"))).collect()]
 
