@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import dialects
 from riskweave.operators import dataset, evaluate, gate, integrity, nested, ranking, splits
 from riskweave.plans import records
-from riskweave.sources.tables import read
+from riskweave.sources.tables import dealt, read
 
 SHARES = [("train", 70), ("validation", 15), ("test", 10), ("holdout", 10)]
 
@@ -95,10 +95,11 @@ def _candidates(spark, sf) -> DataFrame:
     c = F.col
     spot = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
     o = read(spark, sf, "orders").select(c("o_orderkey").alias("l_orderkey"), F.when(c("o_orderstatus") == "F", "supported").when(c("o_orderstatus") == "O", "weakly_supported").otherwise("not_supported").alias("target"), F.substring("o_orderpriority", 1, 1).alias("target_category"))
-    rows = read(spark, sf, "lineitem").join(o, "l_orderkey")
+    placed = dealt(read(spark, sf, "lineitem"), spark, sf, "lineitem", "l_orderkey").withColumn("spot", spot)
+    rows = placed.join(dealt(o, spark, sf, "lineitem", "l_orderkey"), "l_orderkey")
     dims = F.array(F.when(c("l_partkey") % 7 == 0, 4).otherwise(5), F.when(c("l_suppkey") % 9 == 0, 3).otherwise(5))
     return rows.select(
-        c("l_orderkey").alias("example"), spot.alias("idx"), F.when(c("l_returnflag") == "R", "reject").when(c("l_quantity") < 3, None).otherwise("keep").alias("decision"), (F.lit(60) + F.round(c("l_tax") * 100).cast("int") * 5).alias("score"),
+        c("l_orderkey").alias("example"), c("spot").alias("idx"), F.when(c("l_returnflag") == "R", "reject").when(c("l_quantity") < 3, None).otherwise("keep").alias("decision"), (F.lit(60) + F.round(c("l_tax") * 100).cast("int") * 5).alias("score"),
         dims.alias("dims"), (dims[0] + dims[1]).alias("total"), "target", F.when(c("l_linestatus") == "F", "supported").otherwise("weakly_supported").alias("assessed"), "target_category", (c("l_partkey") % 5 + 1).cast("string").alias("category"),
     )
 
@@ -130,7 +131,7 @@ def replayed_candidates(spark, sf):
 def gate_outcomes(spark, sf):
     """Examples by outcome; examples without any candidate fail."""
     examples = read(spark, sf, "orders").select(F.col("o_orderkey").alias("example"))
-    done = examples.join(gate.promoted(_candidates(spark, sf)), "example", "left")
+    done = dealt(examples, spark, sf, "lineitem", "example").join(gate.promoted(_candidates(spark, sf)), "example", "left")
     return done.groupBy(F.coalesce("outcome", F.lit("no_candidates")).alias("outcome"), F.coalesce("assessed", F.lit("")).alias("assessed")).agg(F.count("*").alias("n"))
 
 
@@ -240,10 +241,9 @@ def renamed_categories(spark, sf):
 
 def negative_controls(spark, sf):
     """Orders without a returned line get a control candidate."""
-    hit = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    o = read(spark, sf, "orders")
-    found = o.join(hit, "o_orderkey", "left_semi").select("o_orderkey", F.lit("candidate").alias("kind"))
-    return found.unionByName(o.join(hit, "o_orderkey", "left_anti").select("o_orderkey", F.lit("negative_control").alias("kind")))
+    hit = dealt(read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), spark, sf, "lineitem", "o_orderkey").distinct().withColumn("hit", F.lit(True))
+    o = dealt(read(spark, sf, "orders").select("o_orderkey"), spark, sf, "lineitem", "o_orderkey")
+    return o.join(hit, "o_orderkey", "left").select("o_orderkey", F.when(F.col("hit"), "candidate").otherwise("negative_control").alias("kind"))
 
 
 def context_queries(spark, sf):
