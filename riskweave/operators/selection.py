@@ -6,7 +6,7 @@ amended, reviewed (booleans) and fetched (compared as text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.checks import first_failing
@@ -26,10 +26,12 @@ def named(docs: DataFrame) -> DataFrame:
     helps = F.col("supporting") | F.col("role").isin(*SUPPORTING_ROLES)
     is_main = main & F.col("language").isin("vi", "mixed") & (F.col("state") == "classified")
     per = docs.withColumns({"__main": F.coalesce(is_main & ~helps, F.lit(False)), "__helps": F.coalesce(helps, F.lit(False)), "__english": F.coalesce(main & (F.col("language") == "en"), F.lit(False))})
-    has_main = per.groupBy("package").agg(F.bool_or(F.coalesce(main & F.col("language").isin("vi", "mixed"), F.lit(False))).alias("__has_main"))
-    same = per.where("state = 'classified' and supporting and language = 'vi'").select("package", "role", F.when(F.col("basis").isin(*NON_CONSOLIDATED), "own").otherwise(F.col("basis")).alias("__family")).distinct().withColumn("__twin", F.lit(True))
-    out = per.join(has_main, "package").withColumn("__family", F.when(F.col("basis").isin(*NON_CONSOLIDATED), "own").otherwise(F.col("basis"))).join(same, ["package", "role", "__family"], "left")
-    english = (F.col("language") == "en") & (F.col("__has_main") | F.col("__twin").isNotNull())
+    # Both facts of a package come by windows in one order of its rows, without joins to rows that are read again.
+    own = Window.partitionBy("package", "role", "__family")
+    twin = (F.col("state") == "classified") & F.col("supporting") & (F.col("language") == "vi") & F.col("role").isNotNull() & F.col("__family").isNotNull()
+    out = per.where(F.col("package").isNotNull()).withColumn("__family", F.when(F.col("basis").isin(*NON_CONSOLIDATED), "own").otherwise(F.col("basis")))
+    out = out.withColumn("__twin", F.bool_or(F.coalesce(twin, F.lit(False))).over(own)).withColumn("__has_main", F.bool_or(F.coalesce(main & F.col("language").isin("vi", "mixed"), F.lit(False))).over(Window.partitionBy("package")))
+    english = (F.col("language") == "en") & (F.col("__has_main") | F.col("__twin"))
     kind = first_failing(
         (F.col("state").isNull(), "missing_classifier_record"), (F.col("state") != "classified", "inconclusive_classifier_record"), (F.col("__helps") & english, "english_supporting_duplicate_ignored"), (F.col("__helps"), "supporting"),
         (F.col("__main"), "candidate"), (F.col("__english"), "english_financial_statement_duplicate_ignored"), default="ignored",

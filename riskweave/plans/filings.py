@@ -10,7 +10,7 @@ from riskweave.functions import dialects
 from riskweave.operators import extraction, reports, selection
 from riskweave.plans.market import _growth_sql, _named_orders, _share_sql
 from riskweave.sources import html
-from riskweave.sources.tables import read
+from riskweave.sources.tables import dealt, read
 
 PROFILES = {"AFRICA": reports.STANDARD, "AMERICA": reports.CREDIT, "ASIA": reports.SECURITIES, "EUROPE": reports.INSURANCE}
 # Which sums stand for which account, as SQL over total, by status (sf, so, sp) and by priority (p1 to p5).
@@ -149,9 +149,10 @@ def _sources(spark, sf) -> DataFrame:
     spot = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_custkey") % 2 == 0, "consolidated").otherwise("separate").alias("requested"))
     c = F.col
-    rows = read(spark, sf, "lineitem").join(o, "l_orderkey")
+    placed = dealt(read(spark, sf, "lineitem"), spark, sf, "lineitem", "l_orderkey").withColumn("spot", spot)
+    rows = placed.join(dealt(o, spark, sf, "lineitem", "l_orderkey"), "l_orderkey")
     return rows.select(
-        c("l_orderkey").alias("package"), spot.alias("doc"), F.when(c("l_quantity") < 3, None).when(c("l_quantity") < 6, "inconclusive").otherwise("classified").alias("state"),
+        c("l_orderkey").alias("package"), c("spot").alias("doc"), F.when(c("l_quantity") < 3, None).when(c("l_quantity") < 6, "inconclusive").otherwise("classified").alias("state"),
         F.when(c("l_partkey") % 5 == 0, "variance_explanation").when(c("l_partkey") % 11 == 0, "amendment_context_attachment").otherwise("financial_statement").alias("role"), F.when(c("l_suppkey") % 5 == 0, "en").when(c("l_suppkey") % 7 == 0, "mixed").otherwise("vi").alias("language"),
         F.when(c("l_returnflag") == "A", "consolidated").when(c("l_returnflag") == "N", "parent").otherwise("separate").alias("basis"), "requested", (c("l_discount") < 0.09).alias("full"), (c("l_partkey") % 5 == 0).alias("supporting"), (c("l_tax") > 0.06).alias("searchable"),
         (c("l_linestatus") == "F").alias("confirmed"), (c("l_partkey") % 13 > 0).alias("same"), (c("l_tax") < 0.02).alias("amended"), (c("l_partkey") % 3 == 0).alias("reviewed"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("fetched"),
