@@ -25,10 +25,16 @@ LEAKED = ("hidden injection", "injection scenario", "target support level", "tar
 SURFACE_STATES = ("absent_in_source", "not_applicable", "unsupported_by_extraction_path", "not_extracted_yet", "ambiguous_failed_closed")
 
 
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def mentions(text: Column, phrases: tuple[str, ...]) -> Column:
-    low, found = F.lower(text), F.lit(False)
+    """Whether a text in lower case holds any of the phrases."""
+    found = F.lit(False)
     for p in phrases:
-        found = found | low.contains(p)
+        found = found | text.contains(p)
     return found
 
 
@@ -80,7 +86,7 @@ def assessment_violation() -> Column:
     differs = lambda n: ~a(n).eqNullSafe(p(n))
     no = lambda column, allowed: ~F.coalesce(column.isin(*allowed), F.lit(False))
     hidden = lambda ids, x: ~F.coalesce(F.array_contains(ids, x), F.lit(False))
-    rationale, refs, signals, whole = a("rationale"), a("refs"), a("signals"), F.to_json("a")  # phrases may be anywhere in it
+    rationale, refs, signals, whole = a("rationale"), a("refs"), a("signals"), F.lower(F.to_json("a"))  # phrases may be anywhere in it
     ref_code = lambda r: F.when(no(r["evidence_ref_type"], REF_TYPES), "invalid_evidence_ref_type").when(no(r["role"], REF_ROLES), "invalid_evidence_ref_role").when(hidden(p("visible_ids"), r["ref_id"]), "invalid_evidence_ids")
     first = lambda codes: F.try_element_at(F.array_compact(codes), F.lit(1))
     signal_code = lambda s: F.coalesce(
@@ -91,9 +97,10 @@ def assessment_violation() -> Column:
         (a("assessment_id").isNull(), "schema_mismatch"), (differs("packet_id") | differs("candidate_id") | differs("report_id"), "identity_mismatch"), (differs("risk_category"), "risk_category_mismatch"),
         (no(a("support_level"), SUPPORT_LEVELS), "invalid_support_level"), (no(a("severity"), SEVERITIES), "invalid_severity"), (a("confidence").isNull() | (a("confidence") < 0) | (a("confidence") > 1), "invalid_confidence"),
         (F.coalesce(F.size(signals), F.lit(-1)) <= 0, "schema_mismatch"), (refs.isNull(), "schema_mismatch"), (F.trim(F.coalesce(rationale, F.lit(""))) == "", "schema_mismatch"), (dialects.sentence_count(rationale) > 3, "rationale_too_long"),
-        (mentions(whole, PROHIBITED), "prohibited_risk_language"), (mentions(whole, OUTSIDE), "outside_packet_reasoning"), (mentions(whole, LEAKED), "hidden_injection_leakage"),
     ]
-    return F.coalesce(*(F.when(c, F.lit(code)) for c, code in rules), first(F.transform(refs, ref_code)), first(F.transform(signals, signal_code)))
+    language = ((PROHIBITED, "prohibited_risk_language"), (OUTSIDE, "outside_packet_reasoning"), (LEAKED, "hidden_injection_leakage"))
+    said = _let(whole, lambda w: F.coalesce(*(F.when(mentions(w, phrases), F.lit(code)) for phrases, code in language)))
+    return F.coalesce(*(F.when(c, F.lit(code)) for c, code in rules), said, first(F.transform(refs, ref_code)), first(F.transform(signals, signal_code)))
 
 
 def repaired(rows: DataFrame) -> DataFrame:
@@ -112,28 +119,28 @@ def repaired(rows: DataFrame) -> DataFrame:
     wanted = F.filter(F.coalesce(a("signal_ids"), p("candidate_signal_ids")), lambda s: F.array_contains(p("signal_ids"), s))
     lost = a("signals").isNull() & F.coalesce(level.isin(*SUPPORT_LEVELS), F.lit(False)) & some & (F.size(wanted) > 0)
     kind = rows.schema["a"].dataType["signals"].dataType.simpleString()  # all of it nullable
-    listed = rows.schema["a"].dataType["refs"].dataType.simpleString()
     made = F.transform(wanted, lambda s: F.struct(s.alias("signal_id"), status_of(level).alias("status"), level.alias("support_level"), F.lit(None).cast("string").alias("tool_result_id"), a("refs").alias("refs"))).cast(kind)
     ends = lambda ref: F.filter(p("visible_ids"), lambda v: v.endswith(F.concat(F.lit(":"), F.substring_index(ref, ":", -1))))
     unseen = lambda r: ~F.array_contains(p("visible_ids"), r["ref_id"])
-    one = lambda r: unseen(r) & (F.size(ends(r["ref_id"])) == 1)
-    id_of = lambda r: F.when(one(r), F.element_at(ends(r["ref_id"]), 1)).otherwise(r["ref_id"])
-    odd = lambda r: ~F.coalesce(r["evidence_ref_type"].isin(*REF_TYPES), F.lit(False)) & F.try_element_at(p("types"), id_of(r)).isNotNull()
-    ref = lambda r: r.withField("evidence_ref_type", F.when(odd(r), F.try_element_at(p("types"), id_of(r))).otherwise(r["evidence_ref_type"])).withField("ref_id", id_of(r))
+    seen_as = lambda r: _let(F.when(unseen(r), ends(r["ref_id"])), lambda e: F.struct(F.coalesce(F.size(e) == 1, F.lit(False)).alias("one"), F.when(F.size(e) == 1, F.element_at(e, 1)).otherwise(r["ref_id"]).alias("id")))
+    typed = lambda r, k: _let(F.when(~F.coalesce(r["evidence_ref_type"].isin(*REF_TYPES), F.lit(False)), F.try_element_at(p("types"), k["id"])), lambda t: F.struct(r.withField("evidence_ref_type", F.coalesce(t, r["evidence_ref_type"])).withField("ref_id", k["id"]).alias("ref"), k["one"].alias("one"), t.isNotNull().alias("odd")))
+    look = lambda r: _let(seen_as(r), lambda k: typed(r, k))  # noqa: E731 (a reference is looked up once)
     unknown = lambda s: s["tool_result_id"].isNotNull() & ~F.array_contains(p("tool_ids"), s["tool_result_id"])
     signals = F.when(lost, made).otherwise(a("signals").cast(kind))
-    signal = lambda s: s.withField("refs", F.transform(s["refs"], ref)).withField("tool_result_id", F.when(unknown(s), F.lit(None)).otherwise(s["tool_result_id"]))
-    none = F.array().cast(listed)
-    every = F.concat(F.coalesce(a("refs").cast(listed), none), F.coalesce(F.flatten(F.transform(signals, lambda s: s["refs"])), none))
+    # Columns of their own, so that what several rules read is worked out once a row.
+    rows = rows.withColumn("__signals", signals).withColumns({"__refs": F.transform(a("refs"), look), "__signal_refs": F.transform("__signals", lambda s: F.transform(s["refs"], look))})
+    signals = F.col("__signals")
+    signal = lambda s, i: s.withField("refs", F.transform(F.get("__signal_refs", i), lambda x: x["ref"])).withField("tool_result_id", F.when(unknown(s), F.lit(None)).otherwise(s["tool_result_id"]))
+    some_ref = lambda name: F.coalesce(F.exists("__refs", lambda x: x[name]), F.lit(False)) | F.coalesce(F.exists(F.flatten("__signal_refs"), lambda x: x[name]), F.lit(False))
     actions = [
         (legacy, "repaired_legacy_decision_support_level"), (no_id, "repaired_missing_assessment_id"), *((wrong[n] & a(n).isNull(), f"repaired_missing_{n}") for n in ids), *((wrong[n] & a(n).isNotNull(), f"repaired_{n}_identity") for n in ids),
-        (lost, "repaired_missing_validated_signals"), (F.exists(every, one), "repaired_evidence_ref_id"), (F.exists(every, odd), "repaired_evidence_ref_type"), (F.coalesce(F.exists(signals, unknown), F.lit(False)), "removed_invalid_optional_tool_result_id"),
+        (lost, "repaired_missing_validated_signals"), (some_ref("one"), "repaired_evidence_ref_id"), (some_ref("odd"), "repaired_evidence_ref_type"), (F.coalesce(F.exists(signals, unknown), F.lit(False)), "removed_invalid_optional_tool_result_id"),
     ]
     fixed = F.col("a").withField("support_level", level).withField("assessment_id", F.when(no_id, F.concat(F.lit("ASSESS_"), p("packet_id"))).otherwise(a("assessment_id")))
     for n in ids:
         fixed = fixed.withField(n, F.when(wrong[n], p(n)).otherwise(a(n)))
-    fixed = fixed.withField("refs", F.transform(a("refs"), ref)).withField("signals", F.transform(signals, signal))
-    return rows.withColumns({"actions": F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in actions)))), "__fixed": fixed}).drop("a").withColumnRenamed("__fixed", "a")
+    fixed = fixed.withField("refs", F.transform("__refs", lambda x: x["ref"])).withField("signals", F.transform(signals, signal))
+    return rows.withColumns({"actions": F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in actions)))), "__fixed": fixed}).drop("a", "__signals", "__refs", "__signal_refs").withColumnRenamed("__fixed", "a")
 
 
 def rank_of(column: Column, order: tuple[str, ...]) -> Column:
