@@ -24,6 +24,7 @@ def identity_groups(identities: DataFrame, record: str, identity: str, most_roun
     with the logarithm of a chain.  Each is checkpointed in the cluster's shared folder."""
     spark = identities.sparkSession
     edges = identities.select(F.col(record).alias("r"), F.col(identity).alias("i")).where("r is not null and i is not null").distinct()
+    edges, kept = _cut(edges)  # every round reads them twice: their texts are read and hashed once
     labels, before, old = edges.select("r", F.col("r").alias("c")).distinct(), None, None
     for _ in range(most_rounds):
         least = edges.join(labels, "r").groupBy("i").agg(F.min("c").alias("c"))
@@ -39,6 +40,7 @@ def identity_groups(identities: DataFrame, record: str, identity: str, most_roun
         before = now
     else:
         raise RuntimeError("identity_groups: labels didn't settle")
+    _drop(spark, kept or edges)
     return labels.select(F.col("r").alias(record), F.col("c").alias("component"))
 
 

@@ -63,8 +63,9 @@ def reserved_collision(spark, sf):
     items = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w")).withColumn("k", F.least(F.lit(4), F.size("w") - 2))
     keys = items.where("k > 0").select("item_id", "k", F.array_join(F.slice("w", F.lit(2), F.col("k")), " ").alias("gram"))
     sizes = ranking.bounded(keys.select("k").distinct(), 4)  # one to four
-    places = F.explode(F.when(F.size("w") >= F.col("k"), F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)))
-    grams = docs.select("doc_id", words.alias("w")).crossJoin(sizes).select("doc_id", "k", "w", places.alias("i")).select("doc_id", "k", F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("gram"))
+    # Only the runs of words are dealt out, not a copy of all words with each of them; a run counts once a document.
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " ")))
+    grams = docs.select("doc_id", words.alias("w")).crossJoin(sizes).select("doc_id", "k", F.explode(F.when(F.size("w") >= F.col("k"), runs)).alias("gram"))
     met = grams.join(keys, ["k", "gram"]).select("doc_id", "item_id").distinct()
     long = met.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
     short = docs.crossJoin(ranking.bounded(items.where("k <= 0").select("item_id", "passage"), 100_000)).where(F.col("text").contains(F.col("passage")))
