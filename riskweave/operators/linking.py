@@ -25,8 +25,9 @@ def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
     wanted = names.select("name", F.explode(F.coalesce(*(F.when(short == i, _grams(F.col("name"), i)) for i in range(1, GRAM + 1)))).alias("gram"))
     there = texts.select("id", "text", F.explode(F.filter(sizes, lambda s: s <= F.length("text"))).alias("size"))
     there = there.select("id", F.explode(F.coalesce(*(F.when(F.col("size") == i, _grams(F.col("text"), i)) for i in range(1, GRAM + 1)))).alias("gram"))
-    there = there.join(wanted.select("gram").distinct(), "gram", "left_semi")
-    often = there.groupBy("gram").agg(F.count("*").alias("n"))
+    # Names' runs (of an alphabet's letters, at most three) go to the texts, so that no other run is shuffled; one exchange serves both uses.
+    there = there.join(F.broadcast(wanted.select("gram").distinct()), "gram", "left_semi").repartition("gram")
+    often = there.groupBy("gram").agg(F.count("id").alias("n"))
     rarest = wanted.join(often, "gram", "left").groupBy("name").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     return there.join(rarest, "gram").join(texts, "id").where(F.col("text").contains(F.col("name"))).select("id", "name")
 

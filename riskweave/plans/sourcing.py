@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import dialects
-from riskweave.operators import linking, safety
+from riskweave.operators import dataset, linking, safety
 from riskweave.sources.tables import read
 
 CACHED, LATEST = 45, 2
@@ -66,7 +66,7 @@ def _titled(spark, sf) -> DataFrame:
 
 def supporting_links(spark, sf):
     """Pages whose texts speak of a host, linked to the first of the host's own pages: same language, host's name in both."""
-    pages = _titled(spark, sf)
+    pages, _ = dataset._cut(_titled(spark, sf))  # texts are normalised once for all their uses
     found = linking.contained(pages.select("id", "text"), pages.select("name"))
     role = F.when(F.length("text") % 2 == 0, "amendment_context_attachment").otherwise("variance_explanation")
     documents = pages.select("id", role.alias("role"), "language", F.lit("parent").alias("basis"))
