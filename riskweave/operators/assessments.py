@@ -120,15 +120,15 @@ def repaired(rows: DataFrame) -> DataFrame:
     lost = a("signals").isNull() & F.coalesce(level.isin(*SUPPORT_LEVELS), F.lit(False)) & some & (F.size(wanted) > 0)
     kind = rows.schema["a"].dataType["signals"].dataType.simpleString()  # all of it nullable
     made = F.transform(wanted, lambda s: F.struct(s.alias("signal_id"), status_of(level).alias("status"), level.alias("support_level"), F.lit(None).cast("string").alias("tool_result_id"), a("refs").alias("refs"))).cast(kind)
-    ends = lambda ref: F.filter(p("visible_ids"), lambda v: v.endswith(F.concat(F.lit(":"), F.substring_index(ref, ":", -1))))
+    ends = lambda ref: _let(F.concat(F.lit(":"), F.substring_index(ref, ":", -1)), lambda tail: F.filter(p("visible_ids"), lambda v: v.endswith(tail)))
     unseen = lambda r: ~F.array_contains(p("visible_ids"), r["ref_id"])
     seen_as = lambda r: _let(F.when(unseen(r), ends(r["ref_id"])), lambda e: F.struct(F.coalesce(F.size(e) == 1, F.lit(False)).alias("one"), F.when(F.size(e) == 1, F.element_at(e, 1)).otherwise(r["ref_id"]).alias("id")))
     typed = lambda r, k: _let(F.when(~F.coalesce(r["evidence_ref_type"].isin(*REF_TYPES), F.lit(False)), F.try_element_at(p("types"), k["id"])), lambda t: F.struct(r.withField("evidence_ref_type", F.coalesce(t, r["evidence_ref_type"])).withField("ref_id", k["id"]).alias("ref"), k["one"].alias("one"), t.isNotNull().alias("odd")))
     look = lambda r: _let(seen_as(r), lambda k: typed(r, k))  # noqa: E731 (a reference is looked up once)
     unknown = lambda s: s["tool_result_id"].isNotNull() & ~F.array_contains(p("tool_ids"), s["tool_result_id"])
     signals = F.when(lost, made).otherwise(a("signals").cast(kind))
-    # Columns of their own, so that what several rules read is worked out once a row.
-    rows = rows.withColumn("__signals", signals).withColumns({"__refs": F.transform(a("refs"), look), "__signal_refs": F.transform("__signals", lambda s: F.transform(s["refs"], look))})
+    # Columns of their own behind a generator, so that what several rules read is worked out once a row.
+    rows = rows.withColumn("a", F.explode(F.array("a"))).withColumn("__signals", signals).withColumns({"__refs": F.transform(a("refs"), look), "__signal_refs": F.transform("__signals", lambda s: F.transform(s["refs"], look))})
     signals = F.col("__signals")
     signal = lambda s, i: s.withField("refs", F.transform(F.get("__signal_refs", i), lambda x: x["ref"])).withField("tool_result_id", F.when(unknown(s), F.lit(None)).otherwise(s["tool_result_id"]))
     some_ref = lambda name: F.coalesce(F.exists("__refs", lambda x: x[name]), F.lit(False)) | F.coalesce(F.exists(F.flatten("__signal_refs"), lambda x: x[name]), F.lit(False))
@@ -140,7 +140,9 @@ def repaired(rows: DataFrame) -> DataFrame:
     for n in ids:
         fixed = fixed.withField(n, F.when(wrong[n], p(n)).otherwise(a(n)))
     fixed = fixed.withField("refs", F.transform("__refs", lambda x: x["ref"])).withField("signals", F.transform(signals, signal))
-    return rows.withColumns({"actions": F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in actions)))), "__fixed": fixed}).drop("a", "__signals", "__refs", "__signal_refs").withColumnRenamed("__fixed", "a")
+    done = rows.withColumns({"actions": F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in actions)))), "__fixed": fixed})
+    # A generator, as the optimizer would put the whole repair into every place that reads a field of it.
+    return done.drop("a", "__signals", "__refs", "__signal_refs").withColumn("a", F.explode(F.array("__fixed"))).drop("__fixed")
 
 
 def rank_of(column: Column, order: tuple[str, ...]) -> Column:

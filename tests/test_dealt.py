@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import assessments, dataset
 from riskweave.plans import assessments as packets
-from riskweave.plans import curation, filings
+from riskweave.plans import curation, filings, sourcing
 from riskweave.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,14 @@ def test_an_assessment_is_written_as_json_once(spark):
     rows = packets._assessed(spark, SF).select(assessments.assessment_violation().alias("code"))
     assert rows._jdf.queryExecution().analyzed().toString().count("to_json") == 1
     assert rows.where(F.col("code").isNull()).count() >= 0
+
+
+def test_a_repair_looks_a_reference_up_once(spark):
+    rows = assessments.repaired(packets._assessed(spark, SF))
+    assert rows._jdf.queryExecution().analyzed().toString().count("substring_index") <= 4  # the packets' own, the references, the signals'
+
+
+def test_page_texts_are_kept_for_all_uses(spark, monkeypatch):
+    kept, cut = [], dataset._cut
+    monkeypatch.setattr(dataset, "_cut", lambda df: kept.append(df) or cut(df))
+    assert sourcing.supporting_links(spark, SF).columns == ["package", "canonical", "supporting", "correction"] and len(kept) == 1
