@@ -68,16 +68,35 @@ def normalised(text: Column, mode: str) -> Column:
     return F.arrow_udf(run, "string")(text)
 
 
+# A text that ``whole_amount`` reads, without outer spaces.
+WHOLE = r"^[()]*+[.,]*+-?(?:[.,]*+\d){1,38}+[.,]*+[()]*+(?:\r\n|[\r\n])?+\z"
+
+
+def without(text: Column, *marks: str) -> Column:
+    for m in marks:
+        text = F.replace(text, F.lit(m), F.lit(""))
+    return text
+
+
 def whole_amount(text: Column) -> Column:
     """A written whole amount: parentheses are negative, dots and commas group; a dash, more than 38 digits or anything else
     is null."""
     bare = F.trim(text)
     inner = F.when(bare.contains("(") | bare.contains(")"), F.regexp_replace(bare, r"^[()]+|[()]+$", "")).otherwise(bare)
-    digits = F.translate(inner, ".,", "")
+    digits = without(inner, ".", ",")
     value = F.when(digits.rlike(r"^-?\d{1,38}$"), digits.cast("decimal(38,0)"))
     return F.when(bare.startswith("(") & bare.endswith(")"), -value).otherwise(value)
 
 
+def whole_amounts(cells: Column) -> Column:
+    """The ``whole_amount`` of each of an array's texts that is one, in order; null for none.
+
+    Only the search for them is a function over an array; what it finds becomes numbers as one text, which Spark compiles."""
+    text = F.array_join(F.filter(cells, lambda c: F.trim(c).rlike(WHOLE)), "\x1f")
+    signed = without(F.regexp_replace(text, r"(?<![^\x1f]) *\(([^\x1f]*)\) *(?![^\x1f])", "-$1"), ".", ",", "(", ")", "--")
+    return F.split(F.nullif(signed, F.lit("")), "\x1f").cast("array<decimal(38,0)>")
+
+
 def number_tokens(text: Column) -> Column:
     """Numbers of a narrative in order, each once: canonical, and for a negative one its positive form after it."""
     found = F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w.,])-?[0-9]+(?:[.,][0-9]+)*(?!\w)(?![.,][0-9])"), 0)

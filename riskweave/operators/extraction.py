@@ -20,18 +20,26 @@ GROUPS = {
 SURFACES = ("notes", "variance_explanations", "related_party_evidence", "accounting_policy_evidence", "extraction_quality")
 
 
-def account_code(cells: Column) -> Column:
-    """The first of a row's first four cells that looks like an account code."""
-    return F.try_element_at(F.filter(F.transform(F.slice(cells, 1, 4), lambda x: F.trim(x)), lambda c: c.rlike(r"(?i)^\d{1,3}(\.\d+)?[a-z]?$")), F.lit(1))
+HEAD = 4  # cells that are looked at one by one, without a function over arrays, which Spark doesn't compile
 
 
-def label(cells: Column, amounts: Column, code: Column) -> Column:
+def head(i: int) -> str:
+    return f"__c{i}"
+
+
+def code_position(n: int = HEAD) -> Column:
+    """The place, from 1, of the first of a row's first cells (``head``) that looks like an account code; 0 for none."""
+    return F.coalesce(*(F.when(F.col(head(i)).rlike(r"(?i)^\d{1,3}(\.\d+)?[a-z]?$"), F.lit(i)) for i in range(1, n + 1)), F.lit(0))
+
+
+def label(cells: Column, code: Column) -> Column:
     """The first cell that is neither empty, the code, a numeral, a single letter nor a number; else empty.
 
-    ``cells`` without outer spaces; ``amounts``: what each comes to as a number, or null."""
-    plain = lambda c: (c != "") & ~F.coalesce(c == code, F.lit(False)) & ~F.lower(c).rlike("^([ivx]+|[a-z])$") & ~c.rlike(r"^[-–]$")
-    both = F.filter(F.arrays_zip(cells.alias("c"), amounts.alias("v")), lambda x: x["v"].isNull() & plain(x["c"]))
-    return F.coalesce(F.try_element_at(both, F.lit(1))["c"], F.lit(""))
+    The first cells are ``head``; the others, ``cells`` behind them, are only looked at where none of those is a label."""
+    plain = lambda c: (c != "") & ~F.coalesce(c == code, F.lit(False)) & ~F.lower(c).rlike("^([ivx]+|[a-z])$") & ~c.rlike(r"^[-–]$") & ~c.rlike(dialects.WHOLE)
+    first = (F.when(plain(F.col(head(i))), F.col(head(i))) for i in range(1, HEAD + 1))
+    rest = F.filter(F.transform(F.slice(cells, F.lit(HEAD + 1), F.size(cells)), lambda x: F.trim(x)), plain)
+    return F.coalesce(*first, F.try_element_at(rest, F.lit(1)), F.lit(""))
 
 
 def standard_account(code: Column, text: Column, cash_flow: Column) -> Column:
@@ -53,17 +61,17 @@ def account_group(account: Column) -> Column:
     return F.coalesce(*(F.when(account.isin(*names), F.lit(g)) for g, names in GROUPS.items()), F.lit("unknown"))
 
 
-def numbers_behind(cells: Column, amounts: Column, code: Column) -> Column:
-    """The numbers of a row behind its code."""
-    after = F.when(code.isNotNull(), F.slice(amounts, (F.array_position(cells, code) + 1).cast("int"), F.size(amounts))).otherwise(amounts)
-    return F.filter(after, lambda v: v.isNotNull())
+def numbers_behind(cells: Column, spot: Column) -> Column:
+    """The numbers of a row behind its code, which is at ``spot``; null for none."""
+    return dialects.whole_amounts(F.slice(cells, spot + 1, F.size(cells)))
 
 
 def selected_value(numbers: Column, account: Column, to_date: Column) -> Column:
     """A row's value: of the ``numbers_behind`` its code, without a small leading note number, the first; the third of three
     or more for profit, and for revalued gains to date the third of four, else the last."""
     rest = F.slice(numbers, F.lit(2), F.size(numbers))
-    note = (F.size(numbers) >= 2) & (F.abs(F.try_element_at(numbers, F.lit(1))) < 1000) & F.exists(rest, lambda v: F.abs(v) >= 1000)
+    large = (F.array_max(rest) >= 1000) | (F.array_min(rest) <= -1000)
+    note = (F.size(numbers) >= 2) & (F.abs(F.try_element_at(numbers, F.lit(1))) < 1000) & large
     skipped = F.when(note, 1).otherwise(0)
     n = F.size(numbers) - skipped
     at = lambda i: F.try_element_at(numbers, i + skipped)
@@ -86,19 +94,20 @@ def bucket(account: Column) -> Column:
 def statement_rows(rows: DataFrame) -> DataFrame:
     """Raw rows (doc, table, pos, cells; texts already without accents) as statement rows: the first of each account in its
     bucket, preferred revenue labels before others.  Tables' words tell cash flow and year-to-date context."""
-    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))  # noqa: E731  a generator keeps it from being written out again
-    text = F.lower(F.array_join("cells", " "))
+    c = F.col
     own = Window.partitionBy("doc", "table")
-    r = once(rows.where("doc is not null and table is not null"), "__text", text)
-    r = r.withColumns({"cash_flow": F.bool_or(F.col("__text").contains("luu chuyen tien")).over(own), "to_date": F.bool_or(F.col("__text").contains("luy ke")).over(own)}).drop("__text")
-    r = once(r, "cells", F.transform("cells", lambda x: F.trim(x)))
-    r = once(r, "amounts", F.transform("cells", dialects.whole_amount))
-    r = once(r, "code", account_code(F.col("cells")))
-    r = once(r, "label", label(F.col("cells"), F.col("amounts"), F.col("code")))
-    r = once(r, "__low", F.lower("label"))
-    r = once(r, "account", standard_account(F.col("code"), F.col("__low"), F.col("cash_flow"))).where("account is not null")
-    r = once(r, "numbers", numbers_behind(F.col("cells"), F.col("amounts"), F.col("code")))
-    r = once(r, "value", selected_value(F.col("numbers"), F.col("account"), F.col("to_date"))).where("value is not null").withColumn("bucket", bucket(F.col("account")))
+    words = {"cash_flow": "luu chuyen tien", "to_date": "luy ke"}
+    r = rows.where("doc is not null and table is not null").withColumn("__text", F.lower(F.array_join("cells", " ")))
+    r = r.withColumns({k: c("__text").contains(w) for k, w in words.items()})
+    r = r.withColumns({head(i): F.trim(F.try_element_at("cells", F.lit(i))) for i in range(1, HEAD + 1)}).withColumn("__spot", code_position())
+    r = r.withColumns({"code": F.coalesce(*(F.when(c("__spot") == i, c(head(i))) for i in range(1, HEAD + 1))), "numbers": numbers_behind(c("cells"), c("__spot"))})
+    r = r.withColumn("label", label(c("cells"), c("code"))).withColumn("__low", F.lower("label"))
+    # Whole tables are told of their words when their rows are narrow.
+    r = r.select("doc", "table", "pos", "code", "label", "__low", "numbers", *(F.bool_or(k).over(own).alias(k) for k in words))
+    r = r.withColumn("account", standard_account(c("code"), c("__low"), c("cash_flow")))
+    r = r.withColumn("value", selected_value(c("numbers"), c("account"), c("to_date")))
+    # A generator keeps the conditions from being worked out again with all that is before them.
+    r = r.select("doc", "table", "pos", "code", "label", "__low", F.inline(F.array(F.struct("account", "value")))).where("account is not null and value is not null").withColumn("bucket", bucket(c("account")))
     preferred = F.when((F.col("account") == "revenue") & dialects._any(F.col("__low"), ("doanh thu thuan", "cong doanh thu hoat dong")), 0).otherwise(1)
     order = [F.when(F.col("bucket") == "income_quarter", preferred).otherwise(0), "table", "pos"]
     first = F.row_number().over(Window.partitionBy("doc", "bucket", "account").orderBy(*order))

@@ -89,13 +89,23 @@ RAW = (
 )
 
 
-def _raw_rows(spark, sf) -> DataFrame:
-    spot = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+RAW_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def _raw_cells() -> list:
     at = (F.col("l_partkey") % len(RAW) + 1).cast("int")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     note = F.when(F.col("l_discount") > 0.05, F.col("l_quantity").cast("int").cast("string")).otherwise("")
-    cells = F.array(F.element_at(F.array(*(F.lit(c) for c, _ in RAW)), at), F.element_at(F.array(*(F.lit(t) for _, t in RAW)), at), note, dialects.grouped(cents), dialects.grouped(F.floor(cents / 2).cast("long"), "."), dialects.grouped(-F.floor(cents / 3).cast("long")))
-    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("table"), spot.alias("pos"), cells.alias("cells"))
+    return [F.element_at(F.array(*(F.lit(c) for c, _ in RAW)), at), F.element_at(F.array(*(F.lit(t) for _, t in RAW)), at), note, dialects.grouped(cents), dialects.grouped(F.floor(cents / 2).cast("long"), "."), dialects.grouped(-F.floor(cents / 3).cast("long"))]
+
+
+def _raw_table():
+    return F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
+
+
+def _raw_rows(spark, sf) -> DataFrame:
+    spot = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*RAW_ORDER))
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), _raw_table().alias("table"), spot.alias("pos"), F.array(*_raw_cells()).alias("cells"))
 
 
 def statement_rows(spark, sf):
@@ -105,12 +115,14 @@ def statement_rows(spark, sf):
 def page_statement_rows(spark, sf):
     """The same rows by way of HTML: every order is a text with a page for each of two tables, broken declarations among them,
     which is parsed back into cells."""
-    rows = _raw_rows(spark, sf)
-    tr = F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda c: F.concat(F.lit("<td> "), c, F.lit("</td>"))), "\n"), F.lit("</tr>"))
-    of = lambda t: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("table") == t, F.struct("pos", tr.alias("tr"))))), lambda x: x["tr"]), "")
+    tr = F.concat(F.lit("<tr>"), F.concat_ws("\n", *(F.concat(F.lit("<td> "), c, F.lit("</td>")) for c in _raw_cells())), F.lit("</tr>"))
+    lines = read(spark, sf, "lineitem").select("l_orderkey", *RAW_ORDER, "l_linestatus", "l_discount", "l_quantity")
+    rows = dealt(lines, spark, sf, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("doc"), *RAW_ORDER, _raw_table().alias("table"), tr.alias("tr"))
+    of = lambda t: F.array_join(F.sort_array(F.collect_list(F.when(F.col("table") == t, F.struct(*RAW_ORDER, "tr"))))["tr"], "")
     whole = F.concat(F.lit("<h2>Page 1</h2><table>"), of(0), F.lit("</table><![><p>x<![ y]]><h2>Page 2</h2><TABLE class='t'>"), of(1), F.lit("</TABLE>"))
     pages = rows.groupBy("doc").agg(whole.alias("html"))
-    found = extraction.statement_rows(html.table_rows(pages, "doc"))
+    packed = dealt(html.packed(pages, "doc"), spark, sf, "lineitem", "doc")
+    found = extraction.statement_rows(html.unpacked(packed, "doc"))
     return found.select("doc", "table", "code", "account", "bucket", F.col("value").cast("long").alias("value"))
 
 
